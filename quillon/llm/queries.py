@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .mixing import mix
 from .pii import find_personal_data
 from .quality import quality
@@ -16,6 +17,7 @@ from .toxicity import toxicity
 CONTRACT = {
     "op2_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"],
     "op5_block_naming": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op9_token_combinations": ["doc_id", "n_shingles", "component_id"],
 }
 
 
@@ -47,8 +49,12 @@ def op7_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op9_token_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read(spark, sf_dir, "documents")).select(*CONTRACT["op9_token_combinations"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_string_tiling, op2_personal_data, op3_factorization_machine, op4_quadratic_discriminant, op5_block_naming, op7_proportional_fitting)
+    f.__name__: f for f in (op1_string_tiling, op2_personal_data, op3_factorization_machine, op4_quadratic_discriminant, op5_block_naming, op7_proportional_fitting, op9_token_combinations)
 }
 
 #: DuckDB twins where plain SQL says the same.
