@@ -14,8 +14,8 @@ are not in y, which prefix filtering uses:
   a change of G index both ways, wide enough that no linked pair falls between.
 
 Rare tokens that only one set holds can't meet anything and aren't indexed. Buckets are not expanded at once: each
-set is first compared with its bucket's first member, linked sets are contracted to components, and only pairs of
-different components that still share a bucket are compared. A parity bitmap bounds the symmetric difference from
+set is first compared with its bucket's most central members, linked sets are contracted to components, and only
+pairs of different components that still share a bucket are compared. A parity bitmap bounds the symmetric difference from
 below and spares most of the comparisons; the rest compares the full sets. So groups of near copies cost about one
 comparison a member, and no link between different components is lost.
 
@@ -43,6 +43,7 @@ from .graph import components
 SLOT_BITS = 26  # of the two bitmaps over token hashes: repeated, frequent
 PARITY_BITS = 1024
 SHARD_BITS = 8
+STARS = 2  # rounds that compare a bucket with one of its members
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 MASK, HALF = (1 << 64) - 1, 1 << 63
 #: (least set size, classes of frequent tokens); 0 classes: alone.
@@ -190,24 +191,25 @@ def indexed(texts: DataFrame, maps, size: int, percent: int, id_type: str) -> Da
         seen: set = set()
 
         def step(cols: dict) -> dict:
-            out: dict = {k: [] for k in ("n", "hi", "lo", "keys", "parity")}
+            out: dict = {k: [] for k in ("n", "hi", "lo", "keys", "parity", "central")}
             if len(seen) > 500_000:
                 seen.clear()
             for s in shingle_sets(cols["text"], size):
                 hi, lo = key = fingerprint(s)
-                keys, bits = None, None
+                keys, bits, central = None, None, None
                 if len(s) and key not in seen:
                     seen.add(key)
-                    found = signatures(s, _flags(repeated, s), _flags(frequent, s), percent)
+                    often = _flags(frequent, s)
+                    found = signatures(s, _flags(repeated, s), often, percent)
                     if len(found):
-                        keys, bits = found.view(np.int64), parity(s)
-                for k, v in zip(out, (len(s), hi, lo, keys, bits)):
+                        keys, bits, central = found.view(np.int64), parity(s), float(often.mean())
+                for k, v in zip(out, (len(s), hi, lo, keys, bits, central)):
                     out[k].append(v)
             return {"_id": cols["_id"], **out}
 
         return step
 
-    return map_batches(texts, make, f"_id {id_type}, n bigint, hi bigint, lo bigint, keys array<bigint>, parity array<bigint>", rows=256)
+    return map_batches(texts, make, f"_id {id_type}, n bigint, hi bigint, lo bigint, keys array<bigint>, parity array<bigint>, central double", rows=256)
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame, size: int, ws: Workspace, tag: str) -> DataFrame:
@@ -238,8 +240,8 @@ def _sets_of(texts: DataFrame, nodes: DataFrame, size: int, ws: Workspace, tag:
 
     slot = (F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")) % width).cast("int")
     found = map_batches(texts.select(slot.alias("slot"), "text"), make, "hi bigint, lo bigint, tokens binary")
-    once = nodes.select("sid", "hi", "lo").join(found, ["hi", "lo"]).groupBy("sid").agg(F.first("tokens").alias("tokens"))
-    return ws.save(once, f"{tag}_sets")
+    once = found.groupBy("hi", "lo").agg(F.first("tokens").alias("tokens"))
+    return ws.save(nodes.select("sid", "hi", "lo").join(once, ["hi", "lo"]).select("sid", "tokens"), f"{tag}_sets")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, ws: Workspace, tag: str) -> DataFrame:
@@ -280,31 +282,40 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = ws.save(indexed(texts, maps, size, percent, id_type), "rows")
     nodes = rows.groupBy("hi", "lo", "n").agg(F.min("_id").alias("min_id"), F.count("*").alias("copies"))
     nodes = ws.save(nodes.withColumn("sid", F.monotonically_increasing_id()), "nodes")
-    with_keys = ws.save(rows.filter(F.size("keys") > 0).groupBy("hi", "lo").agg(F.first(F.struct("keys", "parity")).alias("x")).join(nodes.select("hi", "lo", "sid", "n"), ["hi", "lo"]).select("sid", "n", "x.keys", "x.parity"), "keyed")
-    parities = with_keys.select("sid", "n", "parity")
-
-    index = with_keys.select(F.explode("keys").alias("key"), "sid")
-    heads = index.groupBy("key").agg(F.min("sid").alias("a"), F.count("*").alias("members")).filter("members > 1")
-    heads = ws.save(heads, "heads")
-    index = ws.save(index.join(heads, "key").select("key", "sid", "a"), "index")
+    keyed = rows.filter(F.size("keys") > 0).groupBy("hi", "lo").agg(F.first(F.struct("keys", "parity", "central")).alias("x"))
+    keyed = ws.save(keyed.join(nodes.select("hi", "lo", "sid", "n"), ["hi", "lo"]).select("sid", "n", "x.*"), "keyed")
+    parities = keyed.select("sid", "n", "parity")
+    index = keyed.select(F.explode("keys").alias("key"), "sid", "central")
+    shared = index.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    left = ws.save(index.join(shared, "key").withColumn("comp", F.col("sid")), "shared")
 
     def side(k: int) -> DataFrame:
         return parities.select(F.col("sid").alias("ab"[k - 1]), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
 
-    first = index.filter("sid != a").select("a", F.col("sid").alias("b")).distinct()
-    first = ws.save(first.join(side(1), "a").join(side(2), "b").filter(_may_link(percent)).select("a", "b"), "pairs1")
-    links = _verified(first, nodes, texts, size, percent, ws, "star")
-    comps = components(links, ws, "comp1")
-
-    named = index.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
-    open_rows = ws.save(named.join(open_keys, "key").join(parities, "sid"), "open")
+    links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    for k in range(STARS):
+        # Most central first: the text that the others of its bucket were copied from holds the fewest tokens of its own.
+        heads = left.groupBy("key").agg(F.max(F.struct("central", (-F.col("sid")).alias("s"), "comp")).alias("h")).select("key", (-F.col("h.s")).alias("a"), F.col("h.comp").alias("c1"))
+        if k:
+            # A bucket's next head is from another component than its last.
+            rest = left.join(last, "key").filter("comp != c0")
+            heads = rest.groupBy("key").agg(F.max(F.struct("central", (-F.col("sid")).alias("s"), "comp")).alias("h")).select("key", (-F.col("h.s")).alias("a"), F.col("h.comp").alias("c1"))
+        heads = ws.save(heads, f"heads{k}")
+        pairs = left.join(heads, "key").filter("comp != c1").select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct()
+        pairs = ws.save(pairs.join(side(1), "a").join(side(2), "b").filter(_may_link(percent)).select("a", "b"), f"pairs{k}")
+        links = links.unionByName(_verified(pairs, nodes, texts, size, percent, ws, f"star{k}"))
+        comps = components(links, ws, f"comp{k}")
+        named = left.drop("comp").join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "central", F.coalesce("comp", "sid").alias("comp"))
+        open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
+        left = ws.save(named.join(open_keys, "key"), f"open{k}")
+        last = heads.select("key", F.col("a").alias("node")).join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("c0"))
+    open_rows = ws.save(left.join(parities, "sid"), "open")
     one = open_rows.select("key", F.col("sid").alias("a"), F.col("comp").alias("c1"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
     two = open_rows.select("key", F.col("sid").alias("b"), F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("parity").alias("p2"))
     second = one.join(two, (one.key == two.key) & (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _may_link(percent)).select("a", "b").distinct()
-    second = ws.save(second.join(first, ["a", "b"], "left_anti"), "pairs2")
+    second = ws.save(second, "pairs")
     links = links.unionByName(_verified(second, nodes, texts, size, percent, ws, "cross"))
-    comps = components(links, ws, "comp2")
+    comps = components(links, ws, "comp")
 
     member = nodes.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("hi", "lo", "n", "copies", "min_id", F.coalesce("comp", "sid").alias("comp"))
     member = ws.save(member, "member")
