@@ -80,6 +80,12 @@ class Workspace:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
 
 
+def shard_bits(spark: SparkSession, least: int = 6) -> int:
+    """log2 of how many shards packed arrays are dealt into: four a shuffle partition, so that one fits in memory
+    wherever the shuffle partitions are sized to."""
+    return max(least, min(20, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, rows: int = 512) -> DataFrame:
     """Maps slices of at most ``rows`` rows: ``make()`` runs once a task and returns a function from
     {column: list} to {column: list or array}. Columns go over Arrow; only the slice is held as Python objects."""
@@ -99,3 +105,28 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
                 yield pa.RecordBatch.from_arrays([pa.array(made[n], arrow.field(n).type) for n in names], schema=arrow)
 
     return df.mapInArrow(run, kind)
+
+
+def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], text_column: str = "text", rows: int = 256) -> DataFrame:
+    """Rows whose text passes: ``make()`` runs once a task and returns a function from texts to booleans. All columns
+    stay as they are, nothing is shuffled, and rows are judged one by one whatever their ids."""
+    on_workers(df.sparkSession)
+    at = df.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                part = batch.slice(k, rows)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, column: str, most: int = 1_000_000) -> DataFrame:
+    """Rows whose id isn't in ``ids`` (one column of that name, written before). Up to ``most`` ids are broadcast,
+    counted first; more are met by a shuffled join. A null id is an id like others."""
+    gone = ids.select(F.col(column).alias("_gone")).distinct()
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return df.join(gone, F.col(column).eqNullSafe(F.col("_gone")), "left_anti")

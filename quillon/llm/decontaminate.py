@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import filter_rows, map_batches
 
 WORDS = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -173,3 +173,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
         out = out.unionByName(map_batches(texts, make, schema))
     return out.select(F.col("_id").alias(id_column), F.col("_item").alias(item_column), "item_words", "covered", (F.col("covered") / F.col("item_words")).alias("coverage"), "n_tiles", "longest_tile")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", seed: int = 5, least: int = 3, threshold: float = 0.7, block_words: int = 1_000_000) -> DataFrame:
+    """The rows of docs that leak no benchmark item, with all their columns."""
+    for block in blocks_of(benchmark.select(item_column, item_text), block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(Benchmark(block, seed, least))
+        docs = filter_rows(docs, lambda sent=sent: lambda texts: [not sent.value.leaks(t, threshold) for t in texts], text_column)
+    return docs

@@ -72,6 +72,15 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """One row per input row: id, keep_id, group_size, kept, text_sha256, row_id."""
     ws = Workspace(docs.sparkSession, "dedup")
     identities = ws.save(block_identity(docs, id_column, text_column, block_bytes, ws), "identities")
-    groups = identities.groupBy("n_blocks", "name").agg(F.max(F.struct(F.col(id_column), "row_id")).alias("keep"), F.count("*").alias("group_size"))
+    groups = ws.save(identities.groupBy("n_blocks", "name").agg(F.max(F.struct(F.col(id_column), "row_id")).alias("keep"), F.count("*").alias("group_size")), "groups")
     out = identities.join(groups, ["n_blocks", "name"])
     return out.select(id_column, F.col(f"keep.{id_column}").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept"), "text_sha256", "row_id")
+
+
+def distinct_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that stay, with all their columns: one row for each text, that of the largest id. Of rows that repeat
+    both id and text one stays, which one isn't said."""
+    stay = exact_dedup(docs, id_column, text_column, block_bytes).filter("kept").select(F.col(id_column).alias("_id"), F.col("text_sha256").alias("_of"))
+    rows = docs.withColumn("_sha", F.sha2(text_of(text_column), 256))
+    met = rows.join(stay, rows[id_column].eqNullSafe(stay["_id"]) & (rows["_sha"] == stay["_of"]), "left_semi")
+    return met.dropDuplicates([id_column, "_sha"]).drop("_sha")

@@ -37,12 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_words, map_batches
+from .common import Workspace, byte_words, map_batches, shard_bits, without_ids
 from .graph import components
 
 SLOT_BITS = 26  # of the two bitmaps over token hashes: repeated, frequent
 PARITY_BITS = 1024
-SHARD_BITS = 8
 STARS = 2  # rounds that compare a bucket with one of its members
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 MASK, HALF = (1 << 64) - 1, 1 << 63
@@ -136,7 +135,8 @@ def token_bitmaps(texts: DataFrame, size: int, frequent: int) -> tuple[np.ndarra
     Every task sends its tokens, packed by shard; a shard counts them and returns its stretch of both bitmaps, so
     the driver gets 2 * 2**SLOT_BITS bits whatever the input.
     """
-    shards, slots = 1 << SHARD_BITS, 1 << (SLOT_BITS - SHARD_BITS)
+    held = shard_bits(texts.sparkSession)
+    shards, slots = 1 << held, 1 << (SLOT_BITS - held)
 
     def spread():
         seen: set = set()
@@ -150,8 +150,8 @@ def token_bitmaps(texts: DataFrame, size: int, frequent: int) -> tuple[np.ndarra
             if len(seen) > 500_000:
                 seen.clear()
             flat = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-            cut = np.searchsorted(flat, np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - SHARD_BITS))
-            parts = np.split(((flat >> np.uint64(32 - SHARD_BITS)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), cut)
+            cut = np.searchsorted(flat, np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - held))
+            parts = np.split(((flat >> np.uint64(32 - held)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), cut)
             use = [k for k, p in enumerate(parts) if len(p)]
             return {"shard": use, "tokens": [parts[k].tobytes() for k in use]}
 
@@ -162,7 +162,7 @@ def token_bitmaps(texts: DataFrame, size: int, frequent: int) -> tuple[np.ndarra
         flat = np.sort(np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for c in table["tokens"].chunks for b in c]))
         start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
         n = np.diff(np.r_[start, len(flat)])
-        slot = flat[start] >> np.uint32(32 - (SLOT_BITS - SHARD_BITS))
+        slot = flat[start] >> np.uint32(32 - (SLOT_BITS - held))
         maps = []
         for least in (1, frequent):
             bits = np.zeros(slots, bool)
@@ -324,3 +324,11 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     out = rows.select("_id", "n", "hi", "lo").join(named, ["hi", "lo"])
     alone = F.col("n") == 0
     return out.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), F.when(alone, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 1).otherwise(F.col("copies")).alias("n_copies"))
+
+
+def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
+    """The rows of docs whose id is its component's least, with all their columns. Rows that share an id share its
+    fate: the id stays if any of its rows represents a group."""
+    found = jaccard_join(docs, id_column, text_column, **how).select(F.col(id_column), F.col(id_column).eqNullSafe(F.col("component_id")).alias("stays"))
+    gone = found.groupBy(id_column).agg(F.bool_or("stays").alias("stays")).filter("not stays").select(id_column)
+    return without_ids(docs, Workspace(docs.sparkSession, "gone").save(gone, "ids"), id_column)

@@ -130,21 +130,42 @@ def _fit_spread(cells: DataFrame, powers: dict[str, float], fixed: dict, share:
     return weights.drop("tokens"), high
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", topic: Column | None = None, powers: dict[str, float] | None = None, fixed: dict[str, dict[str, float]] | None = None, share: float = 0.5, seed: int = 1, driver_cells: int = 200_000) -> DataFrame:
-    """One row per input row: id, source, lang, topic, n_tokens, weight, probability, kept."""
-    ws = Workspace(docs.sparkSession, "mixing")
+def _described(docs: DataFrame, text_column: str, topic: Column | None) -> DataFrame:
+    """docs with the cell's columns and the token count beside its own, as _source, _lang, _topic, _tokens."""
+    text = text_of(text_column)
+    plain = lambda d: F.coalesce(F.col(d).cast("string"), F.lit("")).alias(f"_{d}")
+    return docs.select("*", plain("source"), plain("lang"), F.coalesce(topic_of(text) if topic is None else topic, F.lit("")).alias("_topic"), words_in(text).alias("_tokens"))
+
+
+def judged(rows: DataFrame, cells: DataFrame, id_column: str, powers: dict[str, float] | None, fixed: dict | None, share: float, seed: int, driver_cells: int, ws: Workspace) -> DataFrame:
+    """rows (with _source, _lang, _topic, _tokens) and their _weight, _probability and _kept."""
     powers = {"source": 0.5, "lang": 1.0, "topic": 0.7} if powers is None else powers
     fixed = {"lang": LANGUAGES} if fixed is None else fixed
-    text = F.col("_t")
-    base = docs.select(F.col(id_column), *(F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in DIMENSIONS[:2]), text_of(text_column).alias("_t"))
-    rows = ws.save(base.select(id_column, "source", "lang", (topic_of(text) if topic is None else topic).alias("topic"), words_in(text).alias("n_tokens")), "rows")
-    cells = ws.save(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     if cells.count() <= driver_cells:
         made, rate = _fit_local(cells.collect(), powers, fixed, share)
-        weights = F.broadcast(docs.sparkSession.createDataFrame(made, "source string, lang string, topic string, weight double"))
+        weights = F.broadcast(rows.sparkSession.createDataFrame(made, "source string, lang string, topic string, weight double"))
     else:
         weights, rate = _fit_spread(cells, powers, fixed, share, ws)
-    draw = (F.xxhash64(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(seed)) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
-    chance = F.when(F.col("weight") <= 0, 0.0).otherwise(F.lit(1.0) if rate == float("inf") else F.least(F.lit(1.0), rate * F.col("weight")))
-    out = rows.join(weights, list(DIMENSIONS)).withColumn("probability", chance)
-    return out.select(id_column, *DIMENSIONS, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("kept"))
+    weights = weights.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"))
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    chance = F.when(F.col("_weight") <= 0, 0.0).otherwise(F.lit(1.0) if rate == float("inf") else F.least(F.lit(1.0), rate * F.col("_weight")))
+    out = rows.join(weights, [f"_{d}" for d in DIMENSIONS]).withColumn("_probability", chance)
+    return out.withColumn("_kept", draw < F.col("_probability"))
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", topic: Column | None = None, powers: dict[str, float] | None = None, fixed: dict[str, dict[str, float]] | None = None, share: float = 0.5, seed: int = 1, driver_cells: int = 200_000) -> DataFrame:
+    """One row per input row: id, source, lang, topic, n_tokens, weight, probability, kept."""
+    ws = Workspace(docs.sparkSession, "mixing")
+    columns = [f"_{d}" for d in (*DIMENSIONS, "tokens")]
+    rows = ws.save(_described(docs.select(id_column, "source", "lang", text_column), text_column, topic).select(id_column, *columns), "rows")
+    cells = ws.save(rows.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_tokens").alias("tokens")), "cells")
+    out = judged(rows, cells, id_column, powers, fixed, share, seed, driver_cells, ws)
+    return out.select(id_column, *(F.col(f"_{d}").alias(d) for d in DIMENSIONS), F.col("_tokens").alias("n_tokens"), *(F.col(f"_{c}").alias(c) for c in ("weight", "probability", "kept")))
+
+
+def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", topic: Column | None = None, powers: dict[str, float] | None = None, fixed: dict[str, dict[str, float]] | None = None, share: float = 0.5, seed: int = 1, driver_cells: int = 200_000) -> DataFrame:
+    """The rows of docs that are drawn, with all their columns; a second read, no shuffle of texts."""
+    ws = Workspace(docs.sparkSession, "mixing")
+    rows = _described(docs, text_column, topic)
+    cells = ws.save(rows.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_tokens").alias("tokens")), "cells")
+    return judged(rows, cells, id_column, powers, fixed, share, seed, driver_cells, ws).filter("_kept").select(*(F.col(c) for c in docs.columns))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bucket_of, map_batches
+from .common import Workspace, bucket_of, filter_rows, map_batches
 
 #: Byte classes: lower, upper, digit, space, line end, sentence mark, other ASCII mark, above ASCII.
 CLASSES = np.full(256, 7)
@@ -114,19 +114,27 @@ def class_moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[:, 0], out[:, 1 : 1 + SIZE], out[:, 1 + SIZE :].reshape(2, SIZE, SIZE)
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", modulus: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
-    """id, held_out, score, predicted for every row."""
-    ws = Workspace(docs.sparkSession, "quality")
-    kind = docs.schema[id_column].dataType.simpleString()
+def vectors_of(docs: DataFrame, id_column: str, text_column: str, ws: Workspace) -> DataFrame:
+    """(_id, x) of every row, written."""
 
     def make():
         return lambda cols: {"_id": cols["_id"], "x": [statistics(t) for t in cols["text"]]}
 
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
-    vectors = ws.save(map_batches(texts, make, f"_id {kind}, x array<double>", rows=256), "vectors")
+    return ws.save(map_batches(texts, make, f"_id {docs.schema[id_column].dataType.simpleString()}, x array<double>", rows=256), "vectors")
+
+
+def fitted(vectors: DataFrame, labels: DataFrame, id_column: str, label_column: str, modulus: int, held: int) -> Discriminant:
+    """The discriminant of all training rows."""
     known = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("label")).dropna().filter("label in (0, 1)").groupBy("_id").agg(F.max("label").alias("label"))
-    model = Discriminant(*class_moments(vectors.join(known.filter(bucket_of("_id", modulus) != held), "_id").select("label", "x")))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return Discriminant(*class_moments(vectors.join(known.filter(bucket_of("_id", modulus) != held), "_id").select("label", "x")))
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", modulus: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
+    """id, held_out, score, predicted for every row."""
+    ws = Workspace(docs.sparkSession, "quality")
+    vectors = vectors_of(docs, id_column, text_column, ws)
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(vectors, labels, id_column, label_column, modulus, held))
 
     def scored():
         def step(cols: dict) -> dict:
@@ -135,5 +143,20 @@ def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
 
         return step
 
+    kind = docs.schema[id_column].dataType.simpleString()
     out = map_batches(vectors.withColumn("held_out", bucket_of("_id", modulus) == held), scored, f"_id {kind}, held_out boolean, score double, predicted int", rows=8192)
     return out.withColumnRenamed("_id", id_column)
+
+
+def of_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", modulus: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that are predicted 1, with all their columns; without training rows of both classes, all rows."""
+    vectors = vectors_of(docs, id_column, text_column, Workspace(docs.sparkSession, "quality"))
+    model = fitted(vectors, labels, id_column, label_column, modulus, held)
+    if model.parts is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        return lambda texts: (sent.value.score(np.array([statistics(t) for t in texts]).reshape(-1, SIZE)) >= threshold).tolist()
+
+    return filter_rows(docs, make, text_column)

@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .hmm import hmm_scores
 from .jaccard_join import jaccard_join
+from .language import language_of_pages
 from .mixing import mix
 from .pii import find_personal_data
 from .quality import quality
+from .token_rollup import TokenRollup, counted
 from .toxicity import toxicity
 
 CONTRACT = {
@@ -45,16 +49,40 @@ def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).select(*CONTRACT["op5_block_naming"])
 
 
+def op6_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of_pages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op7_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(read(spark, sf_dir, "documents"))
+
+
 def op9_token_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents")).select(*CONTRACT["op9_token_combinations"])
 
 
+def op10_delta_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted under two tokenizer versions; documents labelled of low quality are deleted; those
+    labelled toxic get revised counts (one end token more); every batch is then delivered a second time."""
+    rollup, labels = TokenRollup(spark), read(spark, sf_dir, "labels")
+    rollup.commit("insert", counted(read(spark, sf_dir, "documents")).withColumn("seq", F.lit(0)))
+    kinds = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    gone = kinds.filter("quality = 0").select("doc_id", *(F.lit(None).cast("string").alias(c) for c in ("source", "lang", "version")), F.lit(None).cast("long").alias("n_tokens"), F.lit(0).alias("seq"))
+    rollup.commit("delete", gone)
+    revised = rollup.ledger().join(kinds.filter("toxic = 1"), "doc_id", "left_semi").select("doc_id", "source", "lang", "version", (F.col("tokens") + 1).alias("n_tokens"), F.lit(0).alias("seq"))
+    rollup.commit("revise", revised)
+    for again, rows in (("delete", gone), ("revise", revised)):
+        if rollup.commit(again, rows):
+            raise RuntimeError(f"batch {again} was taken twice")
+    return rollup.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_string_tiling, op2_personal_data, op3_factorization_machine, op4_quadratic_discriminant, op5_block_naming, op7_proportional_fitting, op9_token_combinations)
+    f.__name__: f for f in (op1_string_tiling, op2_personal_data, op3_factorization_machine, op4_quadratic_discriminant, op5_block_naming, op6_evidence_fusion, op7_proportional_fitting, op8_hidden_markov, op9_token_combinations, op10_delta_rollups)
 }
 
 #: DuckDB twins where plain SQL says the same.
