@@ -42,7 +42,7 @@ from .graph import components
 
 SLOT_BITS = 26  # of the two bitmaps over token hashes: repeated, frequent
 PARITY_BITS = 1024
-STARS = 2  # rounds that compare a bucket with one of its members
+STARS = 1  # rounds that compare a bucket with one of its members
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 MASK, HALF = (1 << 64) - 1, 1 << 63
 #: (least set size, classes of frequent tokens); 0 classes: alone.
@@ -212,21 +212,26 @@ def indexed(texts: DataFrame, maps, size: int, percent: int, id_type: str) -> Da
     return map_batches(texts, make, f"_id {id_type}, n bigint, hi bigint, lo bigint, keys array<bigint>, parity array<bigint>, central double", rows=256)
 
 
-def _sets_of(texts: DataFrame, nodes: DataFrame, size: int, ws: Workspace, tag: str) -> DataFrame:
-    """(sid, tokens) of the nodes (sid, hi, lo, min_id): their texts are read again and only theirs are hashed."""
+PARTNERS = 256  # members that one copy of a head's set is compared with
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _wanted_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(hi, lo, tokens) of the texts whose id may be among ``wanted``: texts are read again and only those are hashed."""
     width = 1 << 22
-    slots = nodes.select((F.crc32(F.coalesce(F.col("min_id").cast("string"), F.lit("")).cast("binary")) % width).cast("int").alias("s")).distinct().toPandas()["s"]
+    slot = lambda c: (F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % width).cast("int")
+    slots = wanted.select(slot("min_id").alias("s")).distinct().toPandas()["s"]
     bits = np.zeros(width, bool)  # at most 2**22 bits whatever the nodes
     bits[slots.to_numpy(np.int64)] = True
     sent = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def make():
-        wanted, seen = np.unpackbits(sent.value).astype(bool), set()
+        bits, seen = np.unpackbits(sent.value).astype(bool), set()
 
         def step(cols: dict) -> dict:
             if len(seen) > 500_000:
                 seen.clear()
-            hit = np.flatnonzero(wanted[np.array(cols["slot"], np.int64)]) if cols["slot"] else []
+            hit = np.flatnonzero(bits[np.array(cols["slot"], np.int64)]) if cols["slot"] else []
             out: dict = {"hi": [], "lo": [], "tokens": []}
             for s in shingle_sets([cols["text"][k] for k in hit], size):
                 key = fingerprint(s)
@@ -238,31 +243,48 @@ def _sets_of(texts: DataFrame, nodes: DataFrame, size: int, ws: Workspace, tag:
 
         return step
 
-    slot = (F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")) % width).cast("int")
-    found = map_batches(texts.select(slot.alias("slot"), "text"), make, "hi bigint, lo bigint, tokens binary")
-    once = found.groupBy("hi", "lo").agg(F.first("tokens").alias("tokens"))
-    return ws.save(nodes.select("sid", "hi", "lo").join(once, ["hi", "lo"]).select("sid", "tokens"), f"{tag}_sets")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, ws: Workspace, tag: str) -> DataFrame:
-    """The pairs (a, b) that link, by their full sets."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sets = _sets_of(texts, nodes.join(used, "sid", "left_semi"), size, ws, tag)
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
+    return map_batches(texts.select(slot("_id").alias("slot"), "text"), make, "hi bigint, lo bigint, tokens binary")
 
-    def make():
-        def step(cols: dict) -> dict:
-            keep = []
-            for x, y in zip(cols["x"], cols["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            return {"a": [a for a, k in zip(cols["a"], keep) if k], "b": [b for b, k in zip(cols["b"], keep) if k]}
 
-        return step
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, ws: Workspace, tag: str, most: int = 1_000_000) -> DataFrame:
+    """The pairs (a, b) that link, by their full sets.
 
-    links = ws.save(map_batches(both, make, "a bigint, b bigint", rows=256), f"{tag}_links")
-    ws.drop(f"{tag}_sets")
+    Each set travels once for each pair: to its head a, whose own set comes first in the sorted stream. The members
+    of a large head are split, each part with a copy of the head. Where sets are wanted is broadcast up to ``most``
+    rows (counted first) and joined by a shuffle beyond.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    placed = ws.save(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), f"{tag}_placed")
+    rows = placed.select(F.col("b").alias("sid"), "a", "part", F.lit(1).alias("late")).unionByName(placed.select(F.col("a").alias("sid"), "a", "part", F.lit(0).alias("late")).distinct())
+    wanted = ws.save(rows.join(nodes.select("sid", "hi", "lo", "min_id"), "sid"), f"{tag}_wanted")
+    sets = _wanted_sets(texts, wanted, size)
+    to = wanted.drop("min_id")
+    if to.count() <= most:
+        to = F.broadcast(to)
+    stream = sets.join(to, ["hi", "lo"]).select("a", "part", "late", "sid", "tokens").repartition("a", "part").sortWithinPartitions("a", "part", "late")
+
+    def compare(batches):
+        head, own = None, None
+        for batch in batches:
+            out: list = []
+            for a, part, late, sid, tokens in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                tokens = np.frombuffer(tokens, np.uint64)
+                if not late:
+                    head, own = (a, part), tokens
+                elif head == (a, part):
+                    both = len(np.intersect1d(own, tokens, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(tokens) - both):
+                        out.append((a, sid))
+            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    conf = texts.sparkSession.conf
+    before = conf.get(BATCH_CONF)
+    conf.set(BATCH_CONF, 512)  # whole sets are wide rows
+    try:
+        links = ws.save(stream.mapInArrow(compare, "a bigint, b bigint"), f"{tag}_links")
+    finally:
+        conf.set(BATCH_CONF, before)
+    ws.drop(f"{tag}_placed", f"{tag}_wanted")
     return links
 
 
