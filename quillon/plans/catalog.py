@@ -221,7 +221,7 @@ def stratified_sample(spark, sf_dir):
     return summary.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 5, "s7")
 
 
-AB = PREDS + ", ab AS (SELECT a.seed, a.image_id, a.pred = a.target AS ok_a, b.pred = b.target AS ok_b, a.p_true AS pa, b.p_true AS pb FROM preds a JOIN preds b ON a.seed = b.seed AND a.image_id = b.image_id AND a.arm = 'A0' AND b.arm = 'A3'), t AS (SELECT seed, count(*) FILTER (ok_a AND ok_b) AS "both", count(*) FILTER (ok_a AND NOT ok_b) AS a_only, count(*) FILTER (NOT ok_a AND ok_b) AS b_only, count(*) FILTER (NOT ok_a AND NOT ok_b) AS neither FROM ab GROUP BY 1)"
+AB = PREDS + """, ab AS (SELECT a.seed, a.image_id, a.pred = a.target AS ok_a, b.pred = b.target AS ok_b, a.p_true AS pa, b.p_true AS pb FROM preds a JOIN preds b ON a.seed = b.seed AND a.image_id = b.image_id AND a.arm = 'A0' AND b.arm = 'A3'), t AS (SELECT seed, count(*) FILTER (ok_a AND ok_b) AS "both", count(*) FILTER (ok_a AND NOT ok_b) AS a_only, count(*) FILTER (NOT ok_a AND ok_b) AS b_only, count(*) FILTER (NOT ok_a AND NOT ok_b) AS neither FROM ab GROUP BY 1)"""
 
 
 def _ab(spark, sf_dir):
