@@ -15,8 +15,8 @@ are not in y, which prefix filtering uses:
 
 Rare tokens that only one set holds can't meet anything and aren't indexed. Buckets are not expanded at once: each
 set is first compared with its bucket's most central members, linked sets are contracted to components, and only
-pairs of different components that still share a bucket are compared. A parity bitmap bounds the symmetric difference from
-below and spares most of the comparisons; the rest compares the full sets. So groups of near copies cost about one
+pairs of different components that still share a bucket are compared. Parity bitmaps, a narrow one and one as wide as
+the set is large, bound the symmetric difference from below and spare most comparisons; the rest compares full sets. So groups of near copies cost about one
 comparison a member, and no link between different components is lost.
 
 Sets that are equal are one node from the start, told apart by 128 bits.
@@ -124,8 +124,9 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return (x >> 64) - HALF, (x & MASK) - HALF
 
 
-def parity(tokens: np.ndarray) -> list[int]:
-    bits = np.bincount((tokens & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+def parity(tokens: np.ndarray, width: int = PARITY_BITS) -> list[int]:
+    """Which of ``width`` classes (low bits) hold an odd number of tokens; halves of a wide one fold by xor."""
+    bits = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(bool)).view(np.int64).tolist()
 
 
@@ -191,25 +192,27 @@ def indexed(texts: DataFrame, maps, size: int, percent: int, id_type: str) -> Da
         seen: set = set()
 
         def step(cols: dict) -> dict:
-            out: dict = {k: [] for k in ("n", "hi", "lo", "keys", "parity", "central")}
+            out: dict = {k: [] for k in ("n", "hi", "lo", "keys", "parity", "fine", "central")}
             if len(seen) > 500_000:
                 seen.clear()
             for s in shingle_sets(cols["text"], size):
                 hi, lo = key = fingerprint(s)
-                keys, bits, central = None, None, None
+                keys, bits, fine, central = None, None, None, None
                 if len(s) and key not in seen:
                     seen.add(key)
                     often = _flags(frequent, s)
                     found = signatures(s, _flags(repeated, s), often, percent)
                     if len(found):
                         keys, bits, central = found.view(np.int64), parity(s), float(often.mean())
-                for k, v in zip(out, (len(s), hi, lo, keys, bits, central)):
+                        width = 1 << int(1.6 * len(s)).bit_length()
+                        fine = parity(s, width) if width > PARITY_BITS else None
+                for k, v in zip(out, (len(s), hi, lo, keys, bits, fine, central)):
                     out[k].append(v)
             return {"_id": cols["_id"], **out}
 
         return step
 
-    return map_batches(texts, make, f"_id {id_type}, n bigint, hi bigint, lo bigint, keys array<bigint>, parity array<bigint>, central double", rows=256)
+    return map_batches(texts, make, f"_id {id_type}, n bigint, hi bigint, lo bigint, keys array<bigint>, parity array<bigint>, fine array<bigint>, central double", rows=256)
 
 
 PARTNERS = 256  # members that one copy of a head's set is compared with
@@ -288,6 +291,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
     return links
 
 
+def _finely(pairs: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that pass the bound by parities as wide as their sets are large; sets that the narrow ones suit
+    have none and pass. Sizes of a pair are near, so the widths are equal or one is twice the other."""
+    wide = keyed.filter("fine is not null")
+    side = lambda c: wide.select(F.col("sid").alias(c), F.col("fine").alias(f"f{c}"), F.col("n").alias(f"n{c}"))
+    met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    m = F.least(F.size("fa"), F.size("fb"))
+    fold = lambda c: F.when(F.size(c) == m, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, m), F.slice(c, m + 1, m), lambda x, y: x.bitwiseXOR(y)))
+    differ = F.aggregate(F.zip_with(fold("fa"), fold("fb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+    none = F.col("fa").isNull() | F.col("fb").isNull()
+    return met.filter(none | ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
 def _may_link(percent: int):
     """Condition on rows with n1, n2, p1, p2: size ratio, and the parity words' bound on the symmetric difference."""
     n1, n2 = F.col("n1"), F.col("n2")
@@ -304,7 +320,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = ws.save(indexed(texts, maps, size, percent, id_type), "rows")
     nodes = rows.groupBy("hi", "lo", "n").agg(F.min("_id").alias("min_id"), F.count("*").alias("copies"))
     nodes = ws.save(nodes.withColumn("sid", F.monotonically_increasing_id()), "nodes")
-    keyed = rows.filter(F.size("keys") > 0).groupBy("hi", "lo").agg(F.first(F.struct("keys", "parity", "central")).alias("x"))
+    keyed = rows.filter(F.size("keys") > 0).groupBy("hi", "lo").agg(F.first(F.struct("keys", "parity", "fine", "central")).alias("x"))
     keyed = ws.save(keyed.join(nodes.select("hi", "lo", "sid", "n"), ["hi", "lo"]).select("sid", "n", "x.*"), "keyed")
     parities = keyed.select("sid", "n", "parity")
     index = keyed.select(F.explode("keys").alias("key"), "sid", "central")
@@ -324,7 +340,8 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             heads = rest.groupBy("key").agg(F.max(F.struct("central", (-F.col("sid")).alias("s"), "comp")).alias("h")).select("key", (-F.col("h.s")).alias("a"), F.col("h.comp").alias("c1"))
         heads = ws.save(heads, f"heads{k}")
         pairs = left.join(heads, "key").filter("comp != c1").select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct()
-        pairs = ws.save(pairs.join(side(1), "a").join(side(2), "b").filter(_may_link(percent)).select("a", "b"), f"pairs{k}")
+        pairs = pairs.join(side(1), "a").join(side(2), "b").filter(_may_link(percent)).select("a", "b")
+        pairs = ws.save(_finely(pairs, keyed, percent), f"pairs{k}")
         links = links.unionByName(_verified(pairs, nodes, texts, size, percent, ws, f"star{k}"))
         comps = components(links, ws, f"comp{k}")
         named = left.drop("comp").join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "central", F.coalesce("comp", "sid").alias("comp"))
@@ -335,7 +352,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     one = open_rows.select("key", F.col("sid").alias("a"), F.col("comp").alias("c1"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
     two = open_rows.select("key", F.col("sid").alias("b"), F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("parity").alias("p2"))
     second = one.join(two, (one.key == two.key) & (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _may_link(percent)).select("a", "b").distinct()
-    second = ws.save(second, "pairs")
+    second = ws.save(_finely(ws.save(second, "candidates"), keyed, percent), "pairs")
     links = links.unionByName(_verified(second, nodes, texts, size, percent, ws, "cross"))
     comps = components(links, ws, "comp")
 
