@@ -86,7 +86,7 @@ def _fit_local(cells: list, powers: dict[str, float], fixed: dict, share: float)
     for d in DIMENSIONS:
         values = sorted({c[d] for c in cells})
         number = {v: k for k, v in enumerate(values)}
-        group = np.array([number[c[d]] for c in cells])
+        group = np.array([number[c[d]] for c in cells], np.int64)
         sums = np.bincount(group, tokens, len(values))
         wanted = target_shares(dict(zip(values, sums)), powers.get(d, 1.0), fixed.get(d))
         groups.append(group)
