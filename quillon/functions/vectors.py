@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.masks import bound, total
+
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
@@ -23,8 +25,9 @@ def sign_word(v: Column, width: int = 63) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    raised = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
+    raised = bound(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    share = lambda r: bound(total(r), lambda t: F.transform(r, lambda x: x / t))
+    return bound(raised, share)
 
 
 def top_margin(p: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.keys import md5_mod
+from quillon.operators.metrics import binary_auc
 
 
 def contingency(pairs: DataFrame, group: list[str], a: str = "ok_a", b: str = "ok_b") -> DataFrame:
@@ -36,17 +38,84 @@ def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     return out.groupBy(*group).agg(F.corr(f"_{x}", f"_{y}").alias("rho"))
 
 
+def resamples(sizes: DataFrame, group: list[str], key: str, replicates: int) -> DataFrame:
+    """(group, rep, key): n draws from 0..n-1 for each replicate of a group of n; a draw is a hash of (replicate, position)."""
+    draws = sizes.select(*group, "n").join(sizes.sparkSession.range(replicates).withColumnRenamed("id", "rep"))
+    draws = draws.select(*group, "rep", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("pos"))
+    return draws.select(*group, "rep", (md5_mod(F.concat_ws("|", F.col("rep").cast("string"), F.col("pos").cast("string")), 1 << 32) % F.col("n")).alias(key))
+
+
+def bootstrap_auc(rows: DataFrame, group: list[str], key: str, score: str, label: str, replicates: int, level: float = 0.95) -> DataFrame:
+    """AUC with the percentile interval of its resamples; replicates that lack a class are left out and counted."""
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"))
+    drawn = resamples(sizes, group, key, replicates).join(rows.select(*group, key, score, label), [*group, key])
+    low, high = (1 - level) / 2, (1 + level) / 2
+    out = binary_auc(drawn, [*group, "rep"], score, label).groupBy(*group).agg(F.percentile("auc", F.array(F.lit(low), F.lit(high))).alias("ci"), F.count("auc").alias("n_used"))
+    return binary_auc(rows, group, score, label).join(out, group).select(*group, "auc", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "n_used")
+
+
+def fisher_exact(counts: DataFrame, cells: tuple[str, str, str, str]) -> DataFrame:
+    """Adds the two-sided p-value of a 2x2 table: all tables with its margins that are no likelier than it."""
+
+    @F.pandas_udf("double")
+    def p_value(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+        def one(a: int, b: int, c: int, d: int) -> float:
+            rows, cols, n = a + b, a + c, a + b + c + d
+            log = lambda k: choose(rows, k) + choose(n - rows, cols - k) - choose(n, cols)
+            seen = log(a) + 1e-7
+            return min(1.0, sum(math.exp(x) for k in range(max(0, rows + cols - n), min(rows, cols) + 1) if (x := log(k)) <= seen))
+
+        return pd.Series([one(*map(int, r)) for r in zip(a, b, c, d)], dtype="float64")
+
+    return counts.withColumn("fisher_p", p_value(*cells))
+
+
+def mann_whitney(rows: DataFrame, group: list[str], value: str, flag: str) -> DataFrame:
+    """u of the flagged rows, the tie-corrected z with continuity correction, and the two-sided normal p-value. Rows
+    are counted by value first. A missing side, or all values equal, gives null z and p."""
+
+    @F.pandas_udf("double")
+    def tail(z: pd.Series) -> pd.Series:
+        return z.map(lambda x: None if pd.isna(x) else math.erfc(x / math.sqrt(2)))
+
+    cells = rows.groupBy(*group, value).agg(F.count("*").alias("t"), F.sum(F.col(flag).cast("long")).alias("k"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = F.col("t").cast("double")
+    sums = cells.withColumn("rank", before + (F.col("t") + 1) / 2).groupBy(*group).agg(F.sum(F.col("rank") * F.col("k")).alias("r"), F.sum("k").alias("a"), F.sum("t").alias("n"), F.sum(t * t * t - t).alias("ties"))
+    a, n = F.col("a").cast("double"), F.col("n").cast("double")
+    b = n - a
+    sums = sums.withColumn("u", F.col("r") - a * (a + 1) / 2)
+    spread = F.sqrt(a * b / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
+    sums = sums.withColumn("z", F.greatest(F.lit(0.0), F.try_divide(F.abs(F.col("u") - a * b / 2) - 0.5, spread)))
+    sums = sums.withColumn("z", F.when(spread > 0, F.col("z")))
+    return sums.select(*group, "u", "z", tail("z").alias("p_value"))
+
+
+def alignment(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:
+    """How far two runs' rows match by key: rows on one side only, shared ones, and shared ones with other labels."""
+    x, y = a.select(key, F.col(label).alias("_a"), F.lit(1).alias("_l")), b.select(key, F.col(label).alias("_b"), F.lit(1).alias("_r"))
+    left, right = F.col("_l").isNotNull(), F.col("_r").isNotNull()
+    return x.join(y, key, "full_outer").agg(F.count_if(left & ~right).alias("n_left_only"), F.count_if(right & ~left).alias("n_right_only"), F.count_if(left & right).alias("n_both"), F.count_if(left & right & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_label_mismatch"))
+
+
+def reproduction(pairs: DataFrame, group: list[str], old: str, new: str, margin: str, flips: int = 2, near: float = 1e-3) -> DataFrame:
+    """Whether scores were reproduced: exact, within (few flips, all nearly tied) or failed."""
+    flip = ~F.col(old).eqNullSafe(F.col(new))
+    out = pairs.groupBy(*group).agg(F.count_if(flip).alias("n_flips"), F.max(F.when(flip, F.col(margin))).alias("flip_margin"))
+    return out.withColumn("verdict", F.when(F.col("n_flips") == 0, "exact").when((F.col("n_flips") <= flips) & (F.col("flip_margin") <= near), "within").otherwise("failed"))
+
+
 def bootstrap_accuracy(pairs: DataFrame, group: list[str], key: str, replicates: int, level: float = 0.95) -> DataFrame:
     """Percentile interval of the accuracy difference of ok_a and ok_b over paired resamples.
 
     ``key`` numbers the rows of a group from 0. A draw is a hash of (replicate, position), the same for both sides;
     draws are summed by replicate as they are made.
     """
-    spark = pairs.sparkSession
     rows = pairs.select(*group, key, (F.col("ok_b").cast("int") - F.col("ok_a").cast("int")).alias("d"))
     sizes = rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg("d").alias("observed"))
-    draws = sizes.select(*group, "n").join(spark.range(replicates).withColumnRenamed("id", "rep")).select(*group, "rep", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("pos"))
-    draws = draws.withColumn(key, md5_mod(F.concat_ws("|", F.col("rep").cast("string"), F.col("pos").cast("string")), 1 << 32) % F.col("n"))
+    draws = resamples(sizes, group, key, replicates)
     stats = draws.join(rows, [*group, key]).groupBy(*group, "rep").agg(F.avg("d").alias("delta"))
     low, high = (1 - level) / 2, (1 + level) / 2
     out = stats.groupBy(*group).agg(F.percentile("delta", F.array(F.lit(low), F.lit(high))).alias("ci"), F.avg((F.col("delta") > 0).cast("int")).alias("fraction_above"), F.stddev_samp("delta").alias("se"))

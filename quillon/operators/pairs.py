@@ -59,3 +59,25 @@ def sweep(pairs: DataFrame, grid: list[tuple[int, float]]) -> DataFrame:
     met = pairs.crossJoin(F.broadcast(cells)).filter("hamming <= max_hamming and cosine >= min_cosine")
     counts = met.groupBy("max_hamming", "min_cosine").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("split_i") != F.col("split_j")).alias("n_cross"))
     return cells.join(counts, ["max_hamming", "min_cosine"], "left").na.fill(0, ["n_pairs", "n_cross"])
+
+
+def across_classes(rows: DataFrame, min_cosine: float, n: int, blocks: int = 16) -> DataFrame:
+    """The first n pairs i < j of different classes by (i, j) with at least the cosine; the limit is the feature.
+
+    Rows meet by pairs of id blocks: each row goes to ``blocks`` tasks, and no task holds more than two blocks.
+    """
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = rows.select("id", "class_name", "vector", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    a = dealt.select("lo", "hi", F.col("id").alias("i"), F.col("class_name").alias("class_i"), F.col("vector").alias("vi"), F.col("own").alias("bi"))
+    b = dealt.select("lo", "hi", F.col("id").alias("j"), F.col("class_name").alias("class_j"), F.col("vector").alias("vj"), F.col("own").alias("bj"))
+    met = a.join(b, ["lo", "hi"]).filter("i < j and class_i != class_j and least(bi, bj) = lo and greatest(bi, bj) = hi")
+    return met.withColumn("cosine", dot(F.col("vi"), F.col("vj"))).filter(F.col("cosine") >= min_cosine).orderBy("i", "j").limit(n).select("i", "j", "class_i", "class_j", "cosine")
+
+
+def bands(pairs: DataFrame, edges: list[int]) -> DataFrame:
+    """(band, n_pairs, n_cross) of pairs by Hamming distance; bands are closed at their upper edge, an open one follows."""
+    band = F.lit(f"over {edges[-1]}")
+    for low, high in reversed(list(zip([-1, *edges], edges))):
+        band = F.when(F.col("hamming") <= high, f"{low + 1}-{high}").otherwise(band)
+    return pairs.groupBy(band.alias("band")).agg(F.count("*").alias("n_pairs"), F.count_if(F.col("split_i") != F.col("split_j")).alias("n_cross"))
