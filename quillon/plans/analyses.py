@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import keys as K
 from quillon.functions import masks as M
 from quillon.functions import vectors as V
-from quillon.operators import graph, inference, metrics, pairs
+from quillon.operators import graph, inference, metrics, pairs, pixels
 from quillon.plans.catalog import AB, ASSETS, CELLS, PIXELS, PREDS, VECTORS, _ab, _epochs, _pairs, query
 from quillon.sources import sinks
 from quillon.sources.tables import ARMS, CLASSES, SEEDS, assets, predictions, table, vectors
@@ -231,3 +231,52 @@ def macro_auc(spark, sf_dir):
     p = predictions(spark, sf_dir).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))))
     p = p.withColumns({"y": F.col("target") == F.col("c"), "s": F.when(F.col("pred") == F.col("c"), F.col("p_true")).otherwise((1 - F.col("p_true")) / 9)})
     return metrics.binary_auc(p, ["arm", "seed", "c"], "s", "y").groupBy("arm", "seed").agg(F.avg("auc").alias("macro_auc"), F.count("auc").alias("n_classes"))
+
+
+GRID = "px AS (SELECT vec_id AS image_id, (i // 8)::INTEGER AS y, (i % 8)::INTEGER AS x, least(abs(embedding[i + 1]::DOUBLE) * 4, 1) AS r, ((vec_id + i) % 5) / 5.0::DOUBLE AS g, ((vec_id * 3 + i) % 7) / 7.0::DOUBLE AS b FROM embeddings, (SELECT unnest(range(0, 64)) AS i))"
+CLIP = "least(1.0, greatest(0.0, {}))"
+
+
+def _grid(spark, sf_dir):
+    """Vectors as 8x8 images: red from the values, green and blue from positions."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "v"))
+    return e.select("image_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), F.least(F.abs(F.col("v").cast("double")) * 4, F.lit(1.0)).alias("r"), ((F.col("image_id") + F.col("i")) % 5 / 5.0).alias("g"), ((F.col("image_id") * 3 + F.col("i")) % 7 / 7.0).alias("b"))
+
+
+def _clipped(name: str, r: str, g: str, b: str) -> str:
+    return f"SELECT '{name}' AS perturbation, round(avg({CLIP.format(r)}), 6) AS r, round(avg({CLIP.format(g)}), 6) AS g, round(avg({CLIP.format(b)}), 6) AS b FROM px2"
+
+
+_each_sql = lambda name, f: _clipped(name, *(f.replace("@", c) for c in "rgb"))
+POINTWISE = [
+    _each_sql("unperturbed", "@"), _each_sql("brightness_up", "@ + 0.2"), _each_sql("brightness_down", "@ - 0.2"), _each_sql("contrast_low", "(@ - mean) * 0.75 + mean"), _each_sql("contrast_high", "(@ - mean) * 1.25 + mean"),
+    _each_sql("saturation_low", "grey + (@ - grey) * 0.5"), _each_sql("saturation_high", "grey + (@ - grey) * 1.5"), _each_sql("shadow_left", "@ * (1 - 0.35 * (1 - x / 7.0))"), _each_sql("shadow_right", "@ * (1 - 0.35 * x / 7.0)"),
+    _clipped("wb_warm", "r * 1.12", "g * 1.03", "b * 0.9"), _clipped("wb_cool", "r * 0.9", "g * 1.02", "b * 1.12"),
+]
+
+
+@query(f"WITH {GRID}, px2 AS (SELECT *, avg((r + g + b) / 3) OVER (PARTITION BY image_id) AS mean, 0.299 * r + 0.587 * g + 0.114 * b AS grey FROM px) " + " UNION ALL ".join(POINTWISE))
+def perturbed_colours(spark, sf_dir):
+    """Mean channels under the corruptions that read a pixel alone."""
+    names = ["unperturbed", "brightness_up", "brightness_down", "contrast_low", "contrast_high", "saturation_low", "saturation_high", "shadow_left", "shadow_right", "wb_warm", "wb_cool"]
+    return pixels.perturbed(_grid(spark, sf_dir), names).groupBy("perturbation").agg(*(F.avg(c).alias(c) for c in pixels.RGB))
+
+
+@query(None)
+def perturbed_neighbourhoods(spark, sf_dir):
+    """Mean channels under hue turns, noise and blur; the tests hold the kernels against NumPy."""
+    names = ["hue_pos", "hue_neg", "noise_light", "noise_heavy", "blur_light", "blur_heavy"]
+    return pixels.perturbed(_grid(spark, sf_dir), names).groupBy("perturbation").agg(*(F.avg(c).alias(c) for c in pixels.RGB))
+
+
+@query(f"""WITH {GRID}, gr AS (SELECT image_id, y, x, 255 * (0.299 * r + 0.587 * g + 0.114 * b) AS v FROM px),
+ m AS (SELECT image_id, y, x, v, CASE WHEN y = 7 THEN 6 ELSE y + 1 END AS yd, CASE WHEN y = 0 THEN 1 ELSE y - 1 END AS yu, CASE WHEN x = 7 THEN 6 ELSE x + 1 END AS xr, CASE WHEN x = 0 THEN 1 ELSE x - 1 END AS xl FROM gr)
+ SELECT m.image_id, round(var_pop(a.v + b.v + c.v + d.v - 4 * m.v), 2) AS blur, round(avg(m.v), 2) AS brightness FROM m JOIN gr a ON a.image_id = m.image_id AND a.y = m.yd AND a.x = m.x JOIN gr b ON b.image_id = m.image_id AND b.y = m.yu AND b.x = m.x
+ JOIN gr c ON c.image_id = m.image_id AND c.y = m.y AND c.x = m.xr JOIN gr d ON d.image_id = m.image_id AND d.y = m.y AND d.x = m.xl GROUP BY 1""", 2)
+def image_quality(spark, sf_dir):
+    return pixels.quality(_grid(spark, sf_dir))
+
+
+@query(f"WITH {GRID}, t AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM px), hs AS (SELECT *, CASE WHEN d < 1e-10 THEN 0 WHEN v = r THEN (g - b) / (d + 1e-10) WHEN v = g THEN (b - r) / (d + 1e-10) + 2 ELSE (r - g) / (d + 1e-10) + 4 END * 60 AS h0, CASE WHEN v > 0 THEN d / (v + 1e-10) ELSE 0 END AS s FROM t), f AS (SELECT image_id, ((CASE WHEN h0 < 0 THEN h0 + 360 ELSE h0 END <= 50 OR CASE WHEN h0 < 0 THEN h0 + 360 ELSE h0 END >= 330) AND s >= 0.2 AND v BETWEEN 0.1 AND 0.9)::INT AS hit FROM hs) SELECT image_id, sum(hit)::BIGINT AS n, round(avg(hit), 6) AS share FROM f GROUP BY 1")
+def lesion_shares(spark, sf_dir):
+    return pixels.lesion_share(_grid(spark, sf_dir))

@@ -75,3 +75,28 @@ def test_npy_and_reports(spark, tmp_path):
         sinks.append_json(report, f"file://{tmp_path}/json")
     assert spark.read.json(f"file://{tmp_path}/json").count() == 4
     assert {r.line for r in sinks.latex_rows(report, ["name", "n"]).collect()} == {r"b\_1 & 2 \\", r"a\&c & -- \\"}
+
+
+def test_neighbourhood_kernels(spark):
+    import colorsys
+
+    from quillon.operators import pixels as X
+
+    rng = np.random.default_rng(4)
+    a = rng.random((5, 7, 3))
+    df = spark.createDataFrame([(1, y, x, *map(float, a[y, x])) for y in range(5) for x in range(7)], "image_id int, y int, x int, r double, g double, b double")
+    got = {name: np.zeros_like(a) for name in ("hue_pos", "blur_light", "noise_heavy")}
+    for r in X.perturbed(df, list(got)).collect():
+        got[r.perturbation][r.y, r.x] = r.r, r.g, r.b
+    turned = [[colorsys.hsv_to_rgb((h + 0.05) % 1, s, v) for h, s, v in (colorsys.rgb_to_hsv(*p) for p in row)] for row in a]
+    assert np.allclose(got["hue_pos"], turned, atol=1e-6)
+    k = np.exp(-np.arange(-3, 4) ** 2 / 2)
+    k /= k.sum()
+    wide = np.pad(a, ((3, 3), (3, 3), (0, 0)), mode="edge")
+    want = sum(k[i] * k[j] * wide[i : i + 5, j : j + 7] for i in range(7) for j in range(7))
+    assert np.allclose(got["blur_light"], want)
+    assert 0.02 < np.abs(got["noise_heavy"] - a).mean() < 0.12 and got["noise_heavy"].min() >= 0
+    q = X.quality(df).first()
+    grey = 255 * (a @ [0.299, 0.587, 0.114])
+    m = np.pad(grey, 1, mode="reflect")
+    assert q.blur == pytest.approx((m[:-2, 1:-1] + m[2:, 1:-1] + m[1:-1, :-2] + m[1:-1, 2:] - 4 * grey).var()) and q.brightness == pytest.approx(grey.mean())
