@@ -51,3 +51,8 @@ def md5_mod(key: Column, n: int) -> Column:
 def split_of(key: Column, train: int = 70, val: int = 15) -> Column:
     draw = md5_mod(key.cast("string"), 100)
     return F.when(draw < train, "train").when(draw < train + val, "val").otherwise("test")
+
+
+def bare_parameter(name: Column) -> Column:
+    """A parameter's name without the wrapper's prefix."""
+    return F.regexp_replace(name, r"^module\.", "")

@@ -120,3 +120,21 @@ def bootstrap_accuracy(pairs: DataFrame, group: list[str], key: str, replicates:
     low, high = (1 - level) / 2, (1 + level) / 2
     out = stats.groupBy(*group).agg(F.percentile("delta", F.array(F.lit(low), F.lit(high))).alias("ci"), F.avg((F.col("delta") > 0).cast("int")).alias("fraction_above"), F.stddev_samp("delta").alias("se"))
     return out.join(sizes, group).select(*group, "observed", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "fraction_above", (2.801585 * F.col("se")).alias("mde80"))
+
+
+def power(hits: DataFrame, arm: str, item: str, hit: str, replicates: int) -> DataFrame:
+    """(a, b, se, mde80, median_mde80) of the hit-rate difference of every pair of arms, all from one set of resamples.
+
+    Items are numbered by id in one task, as an evaluation set is drawn whole for each replicate; every arm holds every item. A pair's resamples need only each item's difference and
+    its weight in the replicate, so weights are summed before they meet the arms; arms are few.
+    """
+    ids = hits.select(item).distinct()
+    numbered = ids.withColumn("_k", F.row_number().over(Window.orderBy(item)) - 1)
+    size = ids.agg(F.count("*").alias("n")).withColumn("g", F.lit(1))
+    weights = resamples(size, ["g"], "_k", replicates).groupBy("rep", "_k").agg(F.count("*").alias("w"))
+    own = hits.join(numbered, item).select(arm, "_k", hit)
+    left, right = own.select(F.col(arm).alias("a"), "_k", F.col(hit).alias("_x")), own.select(F.col(arm).alias("b"), "_k", F.col(hit).alias("_y"))
+    each = left.join(right, "_k").filter("a < b").select("a", "b", "_k", (F.col("_y") - F.col("_x")).alias("d")).join(weights, "_k")
+    deltas = each.groupBy("a", "b", "rep").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("delta"))
+    se = deltas.groupBy("a", "b").agg(F.stddev_samp("delta").alias("se"))
+    return se.crossJoin(se.agg((2.801585 * F.percentile("se", F.lit(0.5))).alias("median_mde80"))).withColumn("mde80", 2.801585 * F.col("se"))  # one row

@@ -37,3 +37,34 @@ def stratified_sample(rows: DataFrame, group: str, key: str, n: int, seed: str)
     """At most n rows a group, in the order of a hash of key and seed; the feature is the cap."""
     draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)).cast("binary"))
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(draw, key))).filter(F.col("_r") <= n).drop("_r")
+
+
+def value_shares(rows: DataFrame, column: str) -> DataFrame:
+    """(value, n, share) of a column of few values."""
+    counts = rows.groupBy(column).agg(F.count("*").alias("n"))
+    return counts.crossJoin(counts.agg(F.sum("n").alias("_all"))).select(column, "n", (F.col("n") / F.col("_all")).alias("share"))  # one row
+
+
+def distribution(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """(by, metric, n, median, q25, q75) of each metric; nulls don't count."""
+    long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics))).alias("m")).select(*by, "m.metric", "m.value")
+    out = long.groupBy(*by, "metric").agg(F.count("value").alias("n"), F.percentile("value", F.array(*map(F.lit, (0.5, 0.25, 0.75)))).alias("q"))
+    return out.select(*by, "metric", "n", *(F.col("q")[k].alias(c) for k, c in enumerate(("median", "q25", "q75"))))
+
+
+def stage_latency(rows: DataFrame, stage: str, value: str, order: list[str], warm_up: int, network: float) -> DataFrame:
+    """Mean latency of each stage without its first rounds, the total over stages, and that with the network's share.
+    Rows need a total order. The last warm-up round is a grouped limit, which keeps a few rows a stage before the shuffle;
+    stages are few."""
+    first = rows.select(stage, *order).withColumn("_k", F.row_number().over(Window.partitionBy(stage).orderBy(*order))).filter(F.col("_k") <= warm_up)
+    edge = first.groupBy(F.col(stage).alias("_s")).agg(F.max(F.struct(*order)).alias("_edge"))
+    late = rows.join(F.broadcast(edge), F.col(stage).eqNullSafe(F.col("_s"))).filter(F.struct(*order) > F.col("_edge"))
+    s = late.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("n"), F.avg(value).alias("mean_ms"))
+    return s.crossJoin(s.agg(F.sum("mean_ms").alias("total_ms"))).withColumn("end_to_end_ms", F.col("total_ms") + network)  # one row
+
+
+def in_declared_order(rows: DataFrame, column: str, order: list[str], last: int = 10_000) -> DataFrame:
+    """Adds ``pos``, the place declared (unknown values last), and ``k``, the place among these few rows."""
+    said = rows.sparkSession.createDataFrame(list(zip(order, range(len(order)))), f"{column} string, pos int")
+    placed = rows.join(F.broadcast(said), column, "left").withColumn("pos", F.coalesce("pos", F.lit(last)))
+    return placed.withColumn("k", F.row_number().over(Window.orderBy("pos", column)))

@@ -100,3 +100,35 @@ def test_neighbourhood_kernels(spark):
     grey = 255 * (a @ [0.299, 0.587, 0.114])
     m = np.pad(grey, 1, mode="reflect")
     assert q.blur == pytest.approx((m[:-2, 1:-1] + m[2:, 1:-1] + m[1:-1, :-2] + m[1:-1, 2:] - 4 * grey).var()) and q.brightness == pytest.approx(grey.mean())
+
+
+def test_balanced_split_keeps_clusters_whole(spark):
+    from quillon.operators import partition
+
+    rng = random.Random(11)
+    rows = [(c, f"{c}{k}") for c in ("x", "y", None) for k in range(60) for _ in range(rng.choice((1, 1, 2, 7)))]
+    got = partition.balanced_split(spark.createDataFrame(rows, "c string, k string"), "c", "k").collect()
+    assert len(got) == len({(r.c, r.k) for r in got}) == 180 and sum(r.n for r in got) == len(rows)
+    for c in ("x", "y", None):
+        n = sum(r.n for r in got if r.c == c)
+        for name, share in zip(partition.SPLITS, (0.70, 0.15, 0.15)):
+            assert abs(sum(r.n for r in got if r.c == c and r.split == name) - share * n) <= 2
+    assert partition.balanced_split(spark.createDataFrame([], "c string, k string"), "c", "k").count() == 0
+
+
+def test_metric_documents_of_three_shapes(spark):
+    from quillon.operators import contracts
+
+    texts = ['{"a":{"f1":0.5,"recall":1},"b":{"recall":1}}', '{"f1":{"a":0.25},"macro":1}', '{"f1":[0.5,0.75]}', '{"f1":[1]}', "[]", None, "{"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = sorted(tuple(r) for r in contracts.metric_map(rows, ["id"], "text", "f1", ["a", "b"]).collect())
+    assert got == [(0, "a", 0.5), (1, "a", 0.25), (2, "a", 0.5), (2, "b", 0.75)]
+
+
+def test_strict_counts_raise(spark):
+    from quillon.operators import contracts
+
+    rows = spark.createDataFrame([("train",)] * 3, "split string")
+    assert contracts.count_protocol(rows, "split", {"train": 3}, strict=True).count() == 1
+    with pytest.raises(Exception, match="counts differ"):
+        contracts.count_protocol(rows, "split", {"train": 4}, strict=True).collect()
