@@ -6,7 +6,8 @@ bins. A whole word counts by presence, a beginning by its density. The model is
     logit p = b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
 so a pair of terms (an insult and a group mention) has a weight of its own through <v_i, v_j>, which an additive
-model lacks. Bins that rarely occur or hardly differ between the classes in the training rows are left out.
+model lacks. Bins that rarely occur in the training rows, or whose classes differ by less than three standard errors,
+are left out; the number of updates has a floor, so small training sets are fitted as fully as large ones.
 
 Training rows are at most ``max_training`` labelled rows (a documented bound: the ones with the smallest hash of
 their id); they reach the driver as sparse counts, never as texts. Scoring is one pass without a shuffle; the
@@ -89,8 +90,10 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.logits(*term_counts(texts, bins), len(texts)), -30, 30)))
 
 
-def fit(row: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, factors: int = 4, epochs: int = 12, rate: float = 0.05, l2: float = 2e-4, least_rows: int = 5, max_terms: int = 4096, seed: int = 7) -> FactorizationMachine:
-    """AdaGrad on the logistic loss over mini-batches. Rows are 0..len(y)-1; entries come sorted by row."""
+def fit(row: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, factors: int = 4, epochs: int = 12, updates: int = 1200, rate: float = 0.05, l2: float = 2e-4, least_rows: int = 3, least_z: float = 3.0, max_terms: int = 4096, seed: int = 7) -> FactorizationMachine:
+    """AdaGrad on the logistic loss over mini-batches, in ``epochs`` passes and more until ``updates`` are made. Terms need ``least_rows``
+    rows and a difference between the classes of ``least_z`` standard errors. Rows are 0..len(y)-1; entries come sorted
+    by row."""
     rng, n = np.random.default_rng(seed), len(y)
     share = (y.sum() + 0.5) / (n + 1) if n else 0.5
     bias = float(np.log(share / (1 - share)))
@@ -102,7 +105,7 @@ def fit(row: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, factors:
     mean0 = np.bincount(at, x * (1 - y[row]), BINS) / (1 - y).sum()
     square = np.bincount(at, x * x, BINS) / n
     z = np.abs(mean1 - mean0) / np.sqrt(square / y.sum() + 1e-12)
-    z[df < least_rows] = 0
+    z[(df < least_rows) | (z < least_z)] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:max_terms])
     chosen = chosen[z[chosen] > 0]
     index[chosen] = np.arange(len(chosen))
@@ -111,7 +114,7 @@ def fit(row: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, factors:
     start = np.searchsorted(row, np.arange(n + 1))
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), factors))
     gw, gv, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-updates // -(-n // 128)))):
         order = rng.permutation(n)
         for at_row in range(0, n, 128):
             docs = order[at_row : at_row + 128]

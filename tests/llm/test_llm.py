@@ -228,3 +228,11 @@ def test_pipeline(spark):
     kept = out.select("doc_id").toPandas().doc_id
     leaks = {r.doc_id for r in decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert kept.is_unique and not leaks & set(kept) and out.select("text").distinct().count() == len(kept)
+
+
+def test_toxicity_held_out_on_few_rows(spark):
+    """A few hundred training rows find most of the held-out toxic texts, and no other."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    got = toxicity.toxicity(read("documents"), read("labels")).filter("held_out").join(read("labels").select("doc_id", "toxic").dropna(), "doc_id").collect()
+    hits = sum(r.predicted == r.toxic == 1 for r in got)
+    assert hits >= 0.7 * sum(r.toxic for r in got) and hits >= 0.95 * sum(r.predicted for r in got)
