@@ -153,3 +153,20 @@ def lesion_share(pixels: DataFrame, warm: float = 50.0, wrap: float = 330.0, lea
     h, s, value = hsv(F.col("r"), F.col("g"), F.col("b"))
     hit = ((h * 360 <= warm) | (h * 360 >= wrap)) & (s >= least_s) & value.between(*v)
     return pixels.groupBy("image_id").agg(F.count_if(hit).alias("n"), F.avg(hit.cast("int")).alias("share"))
+
+
+FLIPS = ("identity", "hflip", "vflip", "rot180")
+
+
+def flip_axis(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(image_id, axis, mae): the flip of the source nearest to the target by mean absolute grey difference; of equal
+    ones (to nine digits) the first of FLIPS. Images of one id must have one size; pixels without a partner don't count."""
+    grey = lambda d: d.select("image_id", "y", "x", luma(F.col("r"), F.col("g"), F.col("b")).alias("v"))
+    s = grey(source).join(source.groupBy("image_id").agg(F.max("y").alias("_h"), F.max("x").alias("_w")), "image_id")
+    k = F.explode(F.array(*map(F.lit, range(4)))).alias("k")
+    s = s.select("image_id", "y", "x", "_h", "_w", F.col("v").alias("_v"), k)
+    y, x = F.when(F.col("k") >= 2, F.col("_h") - F.col("y")).otherwise(F.col("y")), F.when(F.col("k") % 2 == 1, F.col("_w") - F.col("x")).otherwise(F.col("x"))
+    met = s.select("image_id", y.alias("y"), x.alias("x"), "k", "_v").join(grey(target), ["image_id", "y", "x"])
+    mae = met.groupBy("image_id", "k").agg(F.avg(F.abs(F.col("_v") - F.col("v"))).alias("mae"))
+    best = mae.groupBy("image_id").agg(F.min(F.struct(F.round("mae", 9).alias("mae"), "k")).alias("m"))
+    return best.select("image_id", F.element_at(F.array(*map(F.lit, FLIPS)), F.col("m.k") + 1).alias("axis"), "m.mae")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import keys as K
 from quillon.functions import masks as M
 from quillon.functions import vectors as V
-from quillon.operators import graph, inference, metrics, pairs, pixels
+from quillon.operators import graph, inference, metrics, pairs, pixels, probe
 from quillon.plans.catalog import AB, ASSETS, CELLS, PIXELS, PREDS, VECTORS, _ab, _epochs, _pairs, query
 from quillon.sources import sinks
 from quillon.sources.tables import ARMS, CLASSES, SEEDS, assets, predictions, table, vectors
@@ -280,3 +280,21 @@ def image_quality(spark, sf_dir):
 @query(f"WITH {GRID}, t AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM px), hs AS (SELECT *, CASE WHEN d < 1e-10 THEN 0 WHEN v = r THEN (g - b) / (d + 1e-10) WHEN v = g THEN (b - r) / (d + 1e-10) + 2 ELSE (r - g) / (d + 1e-10) + 4 END * 60 AS h0, CASE WHEN v > 0 THEN d / (v + 1e-10) ELSE 0 END AS s FROM t), f AS (SELECT image_id, ((CASE WHEN h0 < 0 THEN h0 + 360 ELSE h0 END <= 50 OR CASE WHEN h0 < 0 THEN h0 + 360 ELSE h0 END >= 330) AND s >= 0.2 AND v BETWEEN 0.1 AND 0.9)::INT AS hit FROM hs) SELECT image_id, sum(hit)::BIGINT AS n, round(avg(hit), 6) AS share FROM f GROUP BY 1")
 def lesion_shares(spark, sf_dir):
     return pixels.lesion_share(_grid(spark, sf_dir))
+
+
+@query(f"""WITH {GRID}, s AS (SELECT image_id, y, x, 0.299 * r + 0.587 * g + 0.114 * b AS v FROM px), d AS (SELECT image_id, CASE WHEN image_id % 4 >= 2 THEN 7 - y ELSE y END AS y, CASE WHEN image_id % 2 = 1 THEN 7 - x ELSE x END AS x, v + 0.05 AS v FROM s),
+ f(k, axis) AS (VALUES (0, 'identity'), (1, 'hflip'), (2, 'vflip'), (3, 'rot180')), m AS (SELECT d.image_id, f.k, f.axis, round(avg(abs(s.v - d.v)), 9) AS mae FROM d CROSS JOIN f JOIN s ON s.image_id = d.image_id AND s.y = CASE WHEN f.k >= 2 THEN 7 - d.y ELSE d.y END AND s.x = CASE WHEN f.k % 2 = 1 THEN 7 - d.x ELSE d.x END GROUP BY ALL)
+ SELECT image_id, axis, round(mae, 6)::DOUBLE AS mae FROM m QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY mae, k) = 1""")
+def flip_detection(spark, sf_dir):
+    """Images flipped by their id and made brighter, told by their flip."""
+    g = _grid(spark, sf_dir)
+    i = F.col("image_id")
+    y, x = F.when(i % 4 >= 2, 7 - F.col("y")).otherwise(F.col("y")), F.when(i % 2 == 1, 7 - F.col("x")).otherwise(F.col("x"))
+    return pixels.flip_axis(g, g.select("image_id", y.alias("y"), x.alias("x"), *((F.col(c) + 0.05).alias(c) for c in pixels.RGB)))
+
+
+@query(None)
+def linear_probe(spark, sf_dir):
+    """Class 0 against the others, from the vectors."""
+    v = vectors(spark, sf_dir).select("id", "vector", (F.col("class_name") == 0).cast("int").alias("is_zero"), (F.col("split") == "train").alias("train"))
+    return probe.linear_probe(v, "id", "vector", "is_zero", "train")

@@ -132,3 +132,12 @@ def test_strict_counts_raise(spark):
     assert contracts.count_protocol(rows, "split", {"train": 3}, strict=True).count() == 1
     with pytest.raises(Exception, match="counts differ"):
         contracts.count_protocol(rows, "split", {"train": 4}, strict=True).collect()
+
+
+def test_linear_probe_tells_a_planted_direction(spark):
+    from quillon.operators import probe
+
+    rng = random.Random(2)
+    rows = [(k, [y * 1.5 + rng.gauss(0, 1), rng.gauss(0, 1)], y, k % 3 != 0) for k in range(240) for y in (int(rng.random() < 0.4),)]
+    r = probe.linear_probe(spark.createDataFrame(rows, "k long, f array<double>, y int, train boolean"), "k", "f", "y", "train", (0.1, 1.0), 3, 50).first()
+    assert 0.75 < r.auc < 0.95 and r.ci_low < r.auc < r.ci_high and r.n_used == 50 and r.balanced_accuracy > 0.65 and r.c in (0.1, 1.0)
