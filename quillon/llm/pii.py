@@ -8,11 +8,12 @@ more generally, its kind. For each word within ``REACH`` words of a span the cor
 with n(t) the word's occurrences in the whole corpus, n(t, c) those inside windows of c, n(c) the words inside
 windows of c and T all words. ``disclosure = pmi / ic`` is 1 when a word occurs nowhere else: it then gives the
 entity away even after the value is masked. Words at or above the threshold of a value are removed, those at or
-above the threshold of a kind are generalised; both need a least number of distinct windows, so that copies of one
-text or a single chance meeting are no evidence.
+above the threshold of a kind are generalised, wherever they stand in any text outside base spans; both need a least
+number of distinct windows, so that copies of one text or a single chance meeting are no evidence.
 
-One pass over the texts writes spans and window words; a second counts the candidate words over all texts; the
-rest works on those small tables.
+One pass over the texts writes spans and window words; a second counts the candidate words over all texts; a third
+finds the disclosing words in all texts. Up to ``most_words`` of them (counted first) are broadcast; more are met by
+a shuffled join.
 
 Cases: null text is empty and has no spans. Rows are told apart by position, so repeated rows and repeated or null
 ids each get their own result. Very long texts are read whole and in linear time. An empty table gives an empty
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -103,8 +105,8 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind, find in zip(KINDS, (emails, ips, cards, phones)) for a, b in find(text)]
 
 
-def window_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, int, int]]:
-    """(word, kind, value hash, window hash, start, end) of the words near each span; words inside spans don't count."""
+def window_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
+    """(word, kind, value hash, window hash) of the words near each span; words inside spans don't count."""
     out, inside = [], sorted((a, b) for _, a, b in spans)
     for kind, a, b in spans:
         value = xxhash.xxh3_64_intdigest(f"{kind}:{text[a:b].lower()}".encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -112,11 +114,68 @@ def window_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str
         after = [(m.group().lower(), m.start(), m.end()) for m in LETTERS.finditer(text, b, min(len(text), b + WINDOW_CHARS))][:REACH]
         words = before + after
         window = xxhash.xxh3_64_intdigest(" ".join(w for w, _, _ in words).encode("utf-8", "surrogatepass")) - (1 << 63)
-        out += [(w, kind, value, window, s, e) for w, s, e in words if not any(x < e and s < y for x, y in inside)]
+        out += [(w, kind, value, window) for w, s, e in words if not any(x < e and s < y for x, y in inside)]
     return out
 
 
-def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", value_threshold: float = 0.9, kind_threshold: float = 0.9, least_value_windows: int = 3, least_kind_windows: int = 5) -> DataFrame:
+def places(text: str | None, wanted) -> list[tuple[str, int, int]]:
+    """(word, start, end) of the words outside base spans that ``wanted`` holds."""
+    if not text or not any(map(wanted.__contains__, map(str.lower, LETTERS.findall(text)))):
+        return []
+    inside = sorted((a, b) for _, a, b in base_spans(text))
+    ends = np.maximum.accumulate(np.array([b for _, b in inside], np.int64))
+    starts, out = [a for a, _ in inside], []
+    for m in LETTERS.finditer(text):
+        word = m.group().lower()
+        if word in wanted:
+            k = bisect_left(starts, m.end())  # spans that begin before the word's end
+            if not k or ends[k - 1] <= m.start():
+                out.append((word, m.start(), m.end()))
+    return out
+
+
+class Slots:
+    """A set of words known by their slots only: it may hold others too."""
+
+    def __init__(self, words: DataFrame) -> None:
+        bits = np.zeros(BITS, bool)
+        slots = words.select((F.crc32(F.col("word").cast("binary")) % BITS).cast("int").alias("b")).distinct().toPandas()["b"]  # at most BITS integers
+        bits[slots.to_numpy(np.int64)] = True
+        self.bits = np.packbits(bits)
+
+    def __contains__(self, word: str) -> bool:
+        slot = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BITS
+        return bool(self.bits[slot >> 3] >> (7 - (slot & 7)) & 1)
+
+
+def term_spans(texts: DataFrame, actions: DataFrame, most_words: int) -> DataFrame:
+    """(row_id, term_spans) of the rows of texts in which words of ``actions`` (word, action) stand."""
+    spark, kind = texts.sparkSession, "array<struct<start:int,stop:int,action:string>>"
+    small = actions.count() <= most_words
+    sent = spark.sparkContext.broadcast({r["word"]: r["action"] for r in actions.collect()} if small else Slots(actions))
+
+    def mark():
+        wanted = sent.value
+
+        def step(cols: dict) -> dict:
+            out: dict = {"row_id": [], "spots": []}
+            for row_id, text in zip(cols["row_id"], cols["text"]):
+                spots = places(text, wanted)
+                if spots:
+                    out["row_id"].append(row_id)
+                    out["spots"].append([{"start": a, "stop": b, **({"action": wanted[w]} if small else {"word": w})} for w, a, b in spots])
+            return out
+
+        return step
+
+    spots = map_batches(texts.select("row_id", "text"), mark, f"row_id bigint, spots {kind if small else kind.replace('action', 'word')}")
+    if small:
+        return spots.withColumnRenamed("spots", "term_spans")
+    met = spots.select("row_id", F.explode("spots").alias("s")).select("row_id", "s.*").join(actions, "word")
+    return met.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "action"))).alias("term_spans"))
+
+
+def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", value_threshold: float = 0.9, kind_threshold: float = 0.9, least_value_windows: int = 3, least_kind_windows: int = 5, most_words: int = 200_000) -> DataFrame:
     """Per row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, term_spans (array of start, end, action)."""
     ws = Workspace(docs.sparkSession, "pii")
     kind_of_id = docs.schema[id_column].dataType.simpleString()
@@ -128,16 +187,16 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
             out = {"row_id": cols["row_id"], "_id": cols["_id"], "base": [",".join(f"{k}:{a}:{b}" for k, a, b in s) for s in spans]}
             for kind in KINDS:
                 out[f"n_{kind}"] = [sum(k == kind for k, _, _ in s) for s in spans]
-            keys = ("word", "kind", "value", "window", "start", "stop")
+            keys = ("word", "kind", "value", "window")
             out["near"] = [[dict(zip(keys, w)) for w in window_words(t, s)] if s else [] for t, s in zip(cols["text"], spans)]
             out["n_words"] = [len(LETTERS.findall(t)) if t else 0 for t in cols["text"]]
             return out
 
         return step
 
-    near = "array<struct<word:string,kind:string,value:bigint,window:bigint,start:int,stop:int>>"
+    near = "array<struct<word:string,kind:string,value:bigint,window:bigint>>"
     found = ws.save(map_batches(texts, scan, f"row_id bigint, _id {kind_of_id}, base string, " + ", ".join(f"n_{k} bigint" for k in KINDS) + f", near {near}, n_words bigint"), "found")
-    near = ws.save(found.select("row_id", F.explode("near").alias("n")).select("row_id", "n.*"), "near")
+    near = ws.save(found.select(F.explode("near").alias("n")).select("n.*"), "near")
 
     # Evidence for each word and entity: an entity is a value, or with value null a whole kind.
     def evidence(keys: list[str], least: int) -> DataFrame:
@@ -146,20 +205,17 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     of_value, of_kind = evidence(["kind", "value"], least_value_windows), evidence(["kind"], least_kind_windows)
     pairs = ws.save(of_value.withColumn("level", F.lit("value")).unionByName(of_kind.withColumn("value", F.lit(None).cast("long")).withColumn("level", F.lit("kind"))), "pairs")
-    bits = np.zeros(BITS, bool)
-    slots = pairs.select((F.crc32(F.col("word").cast("binary")) % BITS).cast("int").alias("b")).distinct().toPandas()["b"]  # at most BITS integers
-    bits[slots.to_numpy(np.int64)] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    sent = docs.sparkSession.sparkContext.broadcast(Slots(pairs))
 
     def count():
-        wanted = np.unpackbits(sent.value).astype(bool)
+        wanted = sent.value
 
         def step(cols: dict) -> dict:
             seen: Counter = Counter()
             for t in cols["text"]:
                 if t:
                     seen.update(LETTERS.findall(t.lower()))
-            kept = [(w, n) for w, n in seen.items() if wanted[zlib.crc32(w.encode("utf-8", "surrogatepass")) % BITS]]
+            kept = [(w, n) for w, n in seen.items() if w in wanted]
             return {"word": [w for w, _ in kept], "n_t": [n for _, n in kept]}
 
         return step
@@ -174,10 +230,8 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     pmi = F.log2(F.col("n_tc") * F.lit(float(total)) / (F.col("n_t") * F.col("n_c")))
     scored = scored.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= F.when(F.col("level") == "value", value_threshold).otherwise(kind_threshold))
     scored = ws.save(scored.select("word", "kind", "value", "level", "disclosure"), "disclosing")
-    hits = near.join(scored.filter("level = 'value'").select("word", "kind", "value"), ["word", "kind", "value"]).select("row_id", "start", "stop", F.lit("remove").alias("action"))
-    hits = hits.unionByName(near.join(scored.filter("level = 'kind'").select("word", "kind"), ["word", "kind"]).select("row_id", "start", "stop", F.lit("generalise").alias("action")))
-    once = hits.groupBy("row_id", "start", "stop").agg(F.max("action").alias("action"))  # remove outranks generalise
-    terms = once.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "action"))).alias("term_spans"))
+    actions = ws.save(scored.groupBy("word").agg(F.when(F.max("level") == "value", "remove").otherwise("generalise").alias("action")), "actions")  # remove outranks generalise
+    terms = term_spans(texts, actions, most_words)
     out = found.drop("near", "n_words").join(terms, "row_id", "left")
     spoken = F.transform("term_spans", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["stop"].cast("string")))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("term_spans") > 0, F.array_join(spoken, ",")))

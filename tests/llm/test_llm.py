@@ -151,6 +151,20 @@ def test_personal_data(spark, docs, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+@pytest.mark.parametrize("most_words", [1000, 0])
+def test_disclosing_terms_far_from_spans(spark, docs, most_words):
+    """A disclosing word is marked everywhere: far from the span, in texts without one, but not inside a span."""
+    cue = [(1000 + k, f"{a} {b} zzcue me{k}@x.org {c}") for k, (a, b, c) in enumerate(zip(VOCABULARY, VOCABULARY[9:], VOCABULARY[50:]))][:40]
+    far = [(2000, "Zzcue " + " ".join(VOCABULARY[:80]) + " me@x.org " + " ".join(VOCABULARY[80:160]) + " zzcue"), (2001, "only ZZCUE here"), (2002, "mail zzcue@x.org now")]
+    both = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 1, "", "", 0) for i, t in cue + far], SCHEMA))
+    found = pii.find_personal_data(both, most_words=most_words).cache()
+    got = {r.doc_id: r for r in found.filter("doc_id >= 1000").collect()}
+    marked = {i: [t[s.start : s.stop].lower() for s in got[i].term_spans or ()].count("zzcue") for i, t in cue + far}
+    assert marked == {i: 1 for i, _ in cue} | {2000: 2, 2001: 1, 2002: 0}
+    clean = pii.sanitise(both.filter("doc_id >= 1000"), found.filter("doc_id >= 1000")).collect()
+    assert not any("zzcue" in r.text.lower() for r in clean)
+
+
 def test_tiling_finds_moved_parts():
     item = [f"w{k}" for k in range(30)]
     bench = decontaminate.Benchmark([(7, " ".join(item)), (8, None), (9, "tiny one")], 5, 3)
