@@ -1,14 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of source, language and topic. The cells' token totals are raked to the target marginals
-of the three in turn until the largest relative miss is below a tolerance. A cell's weight is its fitted over its
+of the three in turn until the largest relative miss is below ``TOLERANCE``, or ``ROUNDS`` times; a fit that has not
+converged by then is reported by a RuntimeWarning that states its miss. A cell's weight is its fitted over its
 observed tokens; with one common rate, found by bisection, each document is kept with probability
 ``min(1, rate * weight)`` so that the expected kept tokens meet the budget. The draw is a hash of the id: the same
 documents are kept whatever the partitioning, and retries agree.
 
 The documents are read once to count tokens and once to be judged; only cell totals are shuffled, pre-aggregated.
 A cell table of at most ``driver_cells`` rows (counted first) is raked in memory; a larger one by grouped
-aggregations, with the same steps.
+aggregations, with the same steps, tolerance and round limit.
 
 Cases: null text has no tokens; null sources, languages and topics are a cell of their own (the empty string).
 Targets are shares over the values that occur; those without a target share get none and are dropped by weight 0
@@ -18,6 +19,9 @@ text. An empty table gives an empty result. Very long texts are read whole.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, text_of
 
 DIMENSIONS = ("source", "lang", "topic")
+ROUNDS, TOLERANCE = 500, 1e-6
 #: Shares wanted of languages; the others that occur share what is left by their tokens.
 LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 
@@ -42,9 +47,9 @@ def topic_of(text: Column) -> Column:
     return F.when(often("|", 60), "table").when(F.upper(text) == text, "capitals").when(often("%%%", 30), "noise").when(F.contains(F.lower(text), F.lit("licens")), "licence").when(F.contains(text, F.lit("@")), "contact").otherwise("prose")
 
 
-def rake(totals: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray], rounds: int = 60, tolerance: float = 1e-6) -> np.ndarray:
+def rake(totals: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Fits cell totals to marginals: groups[d] numbers each cell's value of dimension d, targets[d] has its total."""
-    fitted = totals.astype(np.float64).copy()
+    fitted, worst = totals.astype(np.float64).copy(), 0.0
     for _ in range(rounds):
         worst = 0.0
         for group, target in zip(groups, targets):
@@ -54,9 +59,15 @@ def rake(totals: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray]
             fitted *= ratio[group]
         if worst < tolerance:
             break
+    _report(worst, rounds, tolerance)
     return fitted
 
 
+def _report(worst: float, rounds: int, tolerance: float) -> None:
+    if worst >= tolerance:
+        warnings.warn(f"raking has not converged in {rounds} rounds: the largest relative miss is {worst:.3g}, wanted below {tolerance:.3g}", RuntimeWarning, stacklevel=3)
+
+
 def target_shares(totals: dict[str, float], power: float, fixed: dict[str, float] | None = None) -> dict[str, float]:
     """Shares in proportion to tokens ** power; fixed ones first, then scaled to one."""
     raw = {k: v**power for k, v in totals.items() if v > 0}
@@ -73,10 +84,15 @@ def common_rate(tokens: np.ndarray, weight: np.ndarray, budget: float) -> float:
     usable = tokens[weight > 0].sum()
     if usable <= budget or not usable:
         return float("inf") if usable else 0.0
-    low, high = 0.0, 1.0 / weight[weight > 0].min()
-    for _ in range(200):
+    return _bisect(lambda rate: (tokens * np.minimum(1, rate * weight)).sum(), 1.0 / weight[weight > 0].min(), budget)
+
+
+def _bisect(kept: Callable[[float], float], high: float, budget: float) -> float:
+    """The least rate, to a relative 1e-12, at which ``kept`` tokens are the budget; ``high`` keeps all."""
+    low = 0.0
+    while high - low > 1e-12 * high:
         mid = (low + high) / 2
-        low, high = (mid, high) if (tokens * np.minimum(1, mid * weight)).sum() < budget else (low, mid)
+        low, high = (mid, high) if kept(mid) < budget else (low, mid)
     return high
 
 
@@ -96,7 +112,7 @@ def _fit_local(cells: list, powers: dict[str, float], fixed: dict, share: float)
     return [(*(c[d] for d in DIMENSIONS), float(w)) for c, w in zip(cells, weight)], common_rate(tokens, weight, share * tokens.sum())
 
 
-def _fit_spread(cells: DataFrame, powers: dict[str, float], fixed: dict, share: float, ws: Workspace, rounds: int = 20) -> tuple[DataFrame, float]:
+def _fit_spread(cells: DataFrame, powers: dict[str, float], fixed: dict, share: float, ws: Workspace, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
     """The same steps as grouped aggregations over the cell table, written every round."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     wanted = {}
@@ -109,25 +125,25 @@ def _fit_spread(cells: DataFrame, powers: dict[str, float], fixed: dict, share:
             sums = sums.withColumn("raw", F.coalesce(known * (1 - left), left * F.col("raw") / F.lit(rest or 1.0)))
         whole = sums.agg(F.sum("raw")).first()[0] or 1.0
         wanted[d] = ws.save(sums.select(d, (F.col("raw") / whole * total).alias("target")), f"target_{d}")
-    fitted = cells.withColumn("fitted", F.col("tokens").cast("double"))
+    fitted, worst = cells.withColumn("fitted", F.col("tokens").cast("double")), 0.0
     for k in range(rounds):
+        fitted = fitted.withColumn("miss", F.lit(0.0))
         for d in DIMENSIONS:
             now = fitted.groupBy(d).agg(F.sum("fitted").alias("now"))
-            ratio = now.join(wanted[d], d, "left").select(d, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("ratio"))
-            fitted = fitted.join(ratio, d).withColumn("fitted", F.col("fitted") * F.col("ratio")).drop("ratio")
+            ratio = now.join(wanted[d], d, "left").select(d, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("ratio"), F.when((F.col("now") > 0) & (F.col("target") > 0), F.abs(F.col("target") / F.col("now") - 1)).otherwise(0.0).alias("off"))
+            fitted = fitted.join(ratio, d).withColumn("fitted", F.col("fitted") * F.col("ratio")).withColumn("miss", F.greatest("miss", "off")).drop("ratio", "off")
         fitted = ws.save(fitted, f"fitted{k}")
+        worst = fitted.agg(F.max("miss")).first()[0] or 0.0
         if k:
             ws.drop(f"fitted{k - 1}")
+        if worst < tolerance:
+            break
+    _report(worst, rounds, tolerance)
     weights = ws.save(fitted.select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(0.0).alias("weight")), "weights")
     usable, least = weights.filter("weight > 0").agg(F.sum("tokens"), F.min("weight")).first()
     if not usable or usable <= share * total:
         return weights.drop("tokens"), float("inf") if usable else 0.0
-    low, high = 0.0, 1.0 / least
-    for _ in range(40):
-        mid = (low + high) / 2
-        got = weights.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), mid * F.col("weight")))).first()[0]
-        low, high = (mid, high) if got < share * total else (low, mid)
-    return weights.drop("tokens"), high
+    return weights.drop("tokens"), _bisect(lambda rate: weights.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(rate) * F.col("weight")))).first()[0], 1.0 / least, share * total)
 
 
 def _described(docs: DataFrame, text_column: str, topic: Column | None) -> DataFrame:

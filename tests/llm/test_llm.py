@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from quillon.llm import decontaminate, hmm, jaccard_join, mixing, pii, quality, toxicity
+from quillon.llm.common import Workspace
 from quillon.llm.exact_dedup import distinct_texts, exact_dedup
 from quillon.llm.language import language_of_pages
 from quillon.llm.token_rollup import TokenRollup, counted
@@ -194,6 +195,21 @@ def test_mix_local_and_spread_agree(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_slow_fits_agree_and_converge(spark):
+    """Cells that need some 35 rounds get the same weights and rate in memory and spread, and meet the marginals."""
+    cells = spark.createDataFrame([("a", "en", "t", 10000), ("a", "de", "t", 1), ("b", "en", "t", 1), ("b", "de", "t", 10000)], "source string, lang string, topic string, tokens long")
+    powers, fixed = {"source": 0.5}, {"lang": {"en": 0.6, "de": 0.4}}
+    (local, rate), (spread, rate_2) = mixing._fit_local(cells.collect(), powers, fixed, 0.5), mixing._fit_spread(cells, powers, fixed, 0.5, Workspace(spark, "mixing"))
+    a, b = {r[:3]: r[3] for r in local}, {(r.source, r.lang, r.topic): r.weight for r in spread.collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] / b[k] - 1) < 1e-9 for k in a) and abs(rate / rate_2 - 1) < 1e-9
+    english = sum(r.tokens * b[r.source, r.lang, r.topic] for r in cells.collect() if r.lang == "en")
+    assert abs(english / 20002 - 0.6) < 1e-5
+    with pytest.warns(RuntimeWarning, match="not converged in 2 rounds"):
+        mixing._fit_spread(cells, powers, fixed, 0.5, Workspace(spark, "mixing"), rounds=2)
+    with pytest.warns(RuntimeWarning, match="not converged in 3 rounds"):
+        mixing.rake(np.array([1.0, 1.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([1.0, 1.0]), np.array([1.5, 0.5])], rounds=3)
+
+
 def test_classifiers(docs, labels, none):
     for f in (toxicity.toxicity, quality.quality):
         got = f(docs, labels).collect()
