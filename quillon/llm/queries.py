@@ -69,13 +69,14 @@ def op10_delta_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted under two tokenizer versions; documents labelled of low quality are deleted; those
     labelled toxic get revised counts (one end token more); every batch is then delivered a second time."""
     rollup, labels = TokenRollup(spark), read(spark, sf_dir, "labels")
-    rollup.commit("insert", counted(read(spark, sf_dir, "documents")).withColumn("seq", F.lit(0)))
+    new = counted(read(spark, sf_dir, "documents")).withColumn("seq", F.lit(0))
+    rollup.commit("insert", new)
     kinds = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     gone = kinds.filter("quality = 0").select("doc_id", *(F.lit(None).cast("string").alias(c) for c in ("source", "lang", "version")), F.lit(None).cast("long").alias("n_tokens"), F.lit(0).alias("seq"))
     rollup.commit("delete", gone)
     revised = rollup.ledger().join(kinds.filter("toxic = 1"), "doc_id", "left_semi").select("doc_id", "source", "lang", "version", (F.col("tokens") + 1).alias("n_tokens"), F.lit(0).alias("seq"))
     rollup.commit("revise", revised)
-    for again, rows in (("delete", gone), ("revise", revised)):
+    for again, rows in (("insert", new), ("delete", gone), ("revise", revised)):
         if rollup.commit(again, rows):
             raise RuntimeError(f"batch {again} was taken twice")
     return rollup.totals()

@@ -240,6 +240,16 @@ def test_rollup(spark, docs, none):
     assert counted(none).count() == 0
 
 
+def test_every_batch_is_delivered_twice(spark, monkeypatch):
+    """The insert too; no batch is taken twice."""
+    from quillon.llm import queries
+
+    taken, commit = [], TokenRollup.commit
+    monkeypatch.setattr(TokenRollup, "commit", lambda self, batch, rows: taken.append((batch, commit(self, batch, rows))) or taken[-1][1])
+    queries.op10_delta_rollups(spark, "/root/testdata/sf0.001")
+    assert sorted(map(str, taken)) == sorted(str((b, x)) for b in ("insert", "delete", "revise") for x in (True, False))
+
+
 def test_language(spark, docs):
     labelled = spark.createDataFrame([("en", "the house and the tree of the"), ("de", "das haus und der baum ist")] * 30, "lang string, text string")
     pages = spark.createDataFrame([(1, "http://a.example.com/x", "<html lang='en'><p>das haus und der baum ist das haus und der baum</p></html>"), (2, "http://a.example.com/y", "<p>the tree of the house and the house</p>"), (3, None, None)], "page_id long, url string, html string")
