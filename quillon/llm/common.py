@@ -27,9 +27,26 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever marks the name has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` made unlike each of ``columns``, whatever the letters' case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null counted as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(named(column), F.lit(""))
 
 
 def bucket_of(id_column: str, modulus: int) -> Column:
@@ -123,10 +140,14 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], text_
     return df.mapInArrow(run, df.schema)
 
 
+def met_by(small: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table as the small side of a join: broadcast up to ``most`` rows, counted first, shuffled beyond."""
+    return F.broadcast(small) if small.count() <= most else small
+
+
 def without_ids(df: DataFrame, ids: DataFrame, column: str, most: int = 1_000_000) -> DataFrame:
     """Rows whose id isn't in ``ids`` (one column of that name, written before). Up to ``most`` ids are broadcast,
     counted first; more are met by a shuffled join. A null id is an id like others."""
-    gone = ids.select(F.col(column).alias("_gone")).distinct()
-    if gone.count() <= most:
-        gone = F.broadcast(gone)
-    return df.join(gone, F.col(column).eqNullSafe(F.col("_gone")), "left_anti")
+    (tag,) = fresh(df.columns, "_gone")
+    gone = met_by(ids.select(named(column).alias(tag)).distinct(), most)
+    return df.join(gone, named(column).eqNullSafe(F.col(tag)), "left_anti")
