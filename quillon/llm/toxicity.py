@@ -9,12 +9,13 @@ so a pair of terms (an insult and a group mention) has a weight of its own throu
 model lacks. Bins that rarely occur in the training rows, or whose classes differ by less than three standard errors,
 are left out; the number of updates has a floor, so small training sets are fitted as fully as large ones.
 
-Training rows are at most ``max_training`` labelled rows (a documented bound: the ones with the smallest hash of
-their id); they reach the driver as sparse counts, never as texts. Scoring is one pass without a shuffle; the
-broadcast model has at most ``max_terms`` bins.
+Training rows are at most ``max_training`` labelled ids (a documented bound: the ones with the smallest hash of
+their id, below a cut-off that a count of the labels gives, so that no task and not the driver sees more); they reach
+the driver as sparse counts, never as texts, in the order of that hash, so the fit doesn't depend on the partitioning.
+Scoring is one pass without a shuffle; the broadcast model has at most ``max_terms`` bins.
 
 Cases: null and empty texts have no terms and get the intercept's probability. Labels that are null are left out;
-of several labels of an id the largest counts. A null id has crc32 of the empty text. Without labels of both
+of several labels of an id the largest counts, of several texts of an id the one with the least counts is learned. A null id has crc32 of the empty text. Without labels of both
 classes every score is the (smoothed) share of the label. Repeated rows are scored alike, each on its own row;
 an empty table gives an empty result. Very long texts are read whole. Other columns are not read.
 """
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Workspace, bucket_of, map_batches
+from .common import LETTERS, bucket_of, map_batches, named
 
 BINS = 1 << 18
 CACHED_WORDS = 400_000
@@ -139,8 +140,9 @@ def fit(row: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, factors:
     return FactorizationMachine(index, bias, w, v)
 
 
-def training_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse term values and labels of labelled rows (text, label): bounded by the caller."""
+def training_counts(rows: DataFrame, id_type: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse term values and labels of labelled rows (_id, text, label), one an id, in the order of the ids' hashes;
+    the caller bounds the number of ids."""
 
     def make():
         bins = WordBins()
@@ -148,24 +150,36 @@ def training_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
         def step(cols: dict) -> dict:
             row, at, value = term_counts(cols["text"], bins)
             cut = np.searchsorted(row, np.arange(len(cols["text"]) + 1))
-            return {"label": cols["label"], "bins": [at[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])], "vals": [value[a:b].astype(np.float16).tobytes() for a, b in zip(cut, cut[1:])]}
+            parts = [np.argsort(at[a:b], kind="stable") + a for a, b in zip(cut, cut[1:])]
+            return {"_id": cols["_id"], "label": cols["label"], "bins": [at[p].astype(np.int32).tobytes() for p in parts], "vals": [value[p].astype(np.float16).tobytes() for p in parts]}
 
         return step
 
-    got = map_batches(rows, make, "label int, bins binary, vals binary", rows=128).toArrow()
+    found = map_batches(rows, make, f"_id {id_type}, label int, bins binary, vals binary", rows=128)
+    one = found.groupBy("_id").agg(F.min(F.struct("label", "bins", "vals")).alias("x")).select(F.xxhash64("_id").alias("h"), F.col("_id").cast("string").alias("i"), "x.*")
+    got = one.toArrow().sort_by([("h", "ascending"), ("i", "ascending")])
     bins, vals = got["bins"].to_pylist(), got["vals"].to_pylist()
     y = np.array(got["label"].to_pylist(), np.float64)
     row = np.repeat(np.arange(len(y)), [len(b) // 4 for b in bins])
     return row, np.frombuffer(b"".join(bins), np.int32).astype(np.int64), np.frombuffer(b"".join(vals), np.float16).astype(np.float64), y
 
 
+def few_labels(known: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of known (_id, label; one an id): those with the least hashes. A cut-off from the count
+    lets through few more than are taken, so what the tasks sort is bounded as well."""
+    n = known.count()
+    if n > most:
+        part = (most + 6 * most**0.5 + 100) / n
+        known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < int(min(1.0, part) * (1 << 40)))
+    return known.orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)), "_id").limit(most)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", modulus: int = 4, held: int = 2, threshold: float = 0.3, max_training: int = 12_000) -> DataFrame:
     """id, held_out, score, predicted for every row."""
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
-    known = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("label")).dropna().groupBy("_id").agg(F.max("label").alias("label"))
-    known = known.filter(bucket_of("_id", modulus) != held).orderBy(F.xxhash64("_id"), "_id").limit(max_training)
-    chosen = texts.join(F.broadcast(known), "_id").select("text", "label")  # at most max_training short rows
-    model = fit(*training_counts(chosen))
+    texts, kind = docs.select(named(id_column).alias("_id"), named(text_column).alias("text")), docs.schema[id_column].dataType.simpleString()
+    known = labels.select(named(id_column).alias("_id"), named(label_column).cast("int").alias("label")).dropna().groupBy("_id").agg(F.max("label").alias("label"))
+    known = few_labels(known.filter(bucket_of("_id", modulus) != held), max_training)
+    model = fit(*training_counts(texts.join(F.broadcast(known), "_id"), kind))  # at most max_training short rows
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -178,6 +192,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
         return step
 
-    kind = docs.schema[id_column].dataType.simpleString()
     out = map_batches(texts.withColumn("held_out", bucket_of("_id", modulus) == held), make, f"_id {kind}, held_out boolean, score double, predicted int", rows=256)
     return out.withColumnRenamed("_id", id_column)
