@@ -8,14 +8,16 @@ are one event of their class. So every text has a proper probability,
     log10 P(text) = scaled forward recursion over heads and classes + sum over tail words of log10 P(word | class).
 
 Word counts cover all rows; Baum-Welch runs over all training rows: tasks return expected counts, which are added up
-in two levels by stretch of the vocabulary, and the driver re-estimates. Only the starting point comes from a bounded
-sample (``start_rows``, those with the least hash of their ids). The model that is broadcast has ``head`` words at
-most. Counts of tail words reach their documents through a shard-wise join of packed arrays; words that are frequent
+in two levels by stretch of the vocabulary, and the driver re-estimates. Rounds over all rows go on until the gain in
+log10 likelihood a token falls below ``gain``, ``rounds`` at most; the likelihoods are logged. Only the starting point
+comes from a bounded sample (``start_rows`` ids, those with the least hash, and ``start_tokens`` tokens; a cut-off from
+the row count keeps all others in the executors). The model that is broadcast has ``head`` words at most. Counts of tail words reach their documents through a shard-wise join of packed arrays; words that are frequent
 anywhere are looked up in the broadcast table instead, so no shard holds a hot word.
 
 The unigram base is the sum of log10((c + 1) / (N + V + 1)) over the same tokens.
 
-Words are told apart by 59 bits of a hash and their class.
+Words are told apart by 59 bits of a hash and their class: of a billion distinct words less than one pair is expected
+to be taken for one word.
 
 Cases: null and empty texts are one end token. A null id has crc32 of the empty text. Without training rows c, N and
 V are 0 and the model is uniform over the classes. Repeated rows and ids are scored row by row; an empty table gives
@@ -24,6 +26,7 @@ an empty result. Very long texts are read whole. Other columns are not read.
 
 from __future__ import annotations
 
+import logging
 from collections import Counter
 from itertools import chain
 
@@ -34,9 +37,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bucket_of, byte_words, map_batches, shard_bits
+from .common import Workspace, bucket_of, byte_words, map_batches, named, on_workers, shard_bits
 
+LOG = logging.getLogger(__name__)
 HEAD = 40_000
+HELD_WORDS = 200_000  # distinct words that a task counts before it sends them
 CLASSES = 32
 LOW = np.uint64(CLASSES - 1)
 STATES = 8
@@ -63,21 +68,34 @@ def _shards(keys: np.ndarray, bits: int) -> list[slice]:
 def word_counts(texts: DataFrame, bits: int, ws: Workspace) -> DataFrame:
     """(shard, keys, train, total): packed, sorted by key; counts in training rows and in all rows."""
 
-    def make():
-        def step(cols: dict) -> dict:
-            words = [byte_words(t) for t in cols["text"]]
-            train = Counter(chain.from_iterable(w for w, h in zip(words, cols["held_out"]) if not h))
-            total = Counter(train)
-            total.update(chain.from_iterable(w for w, h in zip(words, cols["held_out"]) if h))
-            keys = np.fromiter(map(key_of, total), np.uint64, len(total))
-            order = np.argsort(keys)
-            all_n = np.fromiter(total.values(), np.int64, len(total))[order]
-            train_n = np.fromiter(map(train.__getitem__, total), np.int64, len(total))[order]
-            keys = keys[order]
-            parts = [(k, s) for k, s in enumerate(_shards(keys, bits)) if s.stop > s.start]
-            return {"shard": [k for k, _ in parts], "keys": [keys[s].tobytes() for _, s in parts], "train": [train_n[s].tobytes() for _, s in parts], "total": [all_n[s].tobytes() for _, s in parts]}
+    on_workers(texts.sparkSession)
 
-        return step
+    def packed(train: Counter, total: Counter) -> pa.RecordBatch:
+        keys = np.fromiter(map(key_of, total), np.uint64, len(total))
+        order = np.argsort(keys)
+        all_n = np.fromiter(total.values(), np.int64, len(total))[order]
+        train_n = np.fromiter(map(train.__getitem__, total), np.int64, len(total))[order]
+        keys = keys[order]
+        parts = [(k, s) for k, s in enumerate(_shards(keys, bits)) if s.stop > s.start]
+        columns = [pa.array([k for k, _ in parts], pa.int32()), *(pa.array([x[s].tobytes() for _, s in parts], pa.binary()) for x in (keys, train_n, all_n))]
+        return pa.RecordBatch.from_arrays(columns, ["shard", "keys", "train", "total"])
+
+    def run(batches):
+        """A task adds its words up and sends them when there are many, so a word comes a few times from each task."""
+        train, total = Counter(), Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                for text, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    words = byte_words(text)
+                    total.update(words)
+                    if not held:
+                        train.update(words)
+                if len(total) >= HELD_WORDS:
+                    yield packed(train, total)
+                    train, total = Counter(), Counter()
+        if total:
+            yield packed(train, total)
 
     schema = "shard int, keys binary, train binary, total binary"
 
@@ -89,7 +107,7 @@ def word_counts(texts: DataFrame, bits: int, ws: Workspace) -> DataFrame:
         made = [keys[start].tobytes(), np.add.reduceat(train[order], start).tobytes(), np.add.reduceat(total[order], start).tobytes()]
         return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in made)], names=["shard", "keys", "train", "total"])
 
-    return ws.save(map_batches(texts, make, schema, rows=2048).groupBy("shard").applyInArrow(add, schema), "counts")
+    return ws.save(texts.mapInArrow(run, schema).groupBy("shard").applyInArrow(add, schema), "counts")
 
 
 class Words:
@@ -331,19 +349,20 @@ def started(ids: list[np.ndarray], words: Words, states: int, rounds: int = 10,
     return Model.from_counts(start, move, emit, words.start)
 
 
-def baum_welch(training: DataFrame, model: Model, words: Words) -> Model:
-    """One round over all training sequences; expected counts are added up by stretch of the emissions, in two levels."""
+def baum_welch(training: DataFrame, model: Model, words: Words) -> tuple[Model, float]:
+    """One round over all training sequences: the next model, and the log10 likelihood under the given one. Expected
+    counts are added up by stretch of the emissions, in two levels."""
     states, size = len(model.start), words.size
     quick = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
     sent = training.sparkSession.sparkContext.broadcast(quick)
 
     def run(batches):
-        counts = _zeros(size, states)
+        counts, total = _zeros(size, states), 0.0
         for batch in batches:
-            sent.value.expect([np.frombuffer(x, np.uint16) for x in batch.column(0).to_pylist()], counts)
+            total += sent.value.expect([np.frombuffer(x, np.uint16) for x in batch.column(0).to_pylist()], counts)
         salt = TaskContext.get().partitionId() // 256
         start, move, emit = counts
-        parts = [(-1, np.r_[start, move.ravel()])] + [(k, emit[k : k + STRETCH].ravel()) for k in range(0, size, STRETCH)]
+        parts = [(-1, np.r_[total, start, move.ravel()])] + [(k, emit[k : k + STRETCH].ravel()) for k in range(0, size, STRETCH)]
         yield pa.RecordBatch.from_pydict({"part": [p for p, _ in parts], "salt": [salt] * len(parts), "sums": [x.astype(np.float32 if p >= 0 else np.float64).tobytes() for p, x in parts]}, pa.schema([("part", pa.int32()), ("salt", pa.int32()), ("sums", pa.binary())]))
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
@@ -353,23 +372,46 @@ def baum_welch(training: DataFrame, model: Model, words: Words) -> Model:
 
     parts = training.select("ids").mapInArrow(run, "part int, salt int, sums binary")
     level = parts.groupBy("part", "salt").applyInArrow(add, "part int, salt int, sums binary")
-    start, move, emit = _zeros(size, states)
+    (start, move, emit), total = _zeros(size, states), 0.0
     for part, sums in level.select("part", "sums").groupBy("part").applyInArrow(add, "part int, sums binary").collect():  # the model's size
         if part < 0:
             x = np.frombuffer(sums, np.float64)
-            start, move = x[:states], x[states:].reshape(states, states)
+            total, start, move = float(x[0]), x[1 : states + 1], x[states + 1 :].reshape(states, states)
         else:
             x = np.frombuffer(sums, np.float32).reshape(-1, states)
             emit[part : part + len(x)] = x
-    return Model.from_counts(start, move, emit, words.start)
-
-
-def hmm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", modulus: int = 7, held: int = 2, states: int = STATES, rounds: int = 2, head: int = HEAD, start_rows: int = 1500) -> DataFrame:
+    sent.destroy()
+    return Model.from_counts(start, move, emit, words.start), total
+
+
+def starting_rows(training: DataFrame, n: int, most: int, most_tokens: int) -> list[np.ndarray]:
+    """Sequences of at most ``most`` ids and ``most_tokens`` tokens: those of the least hashes, one an id, the shortest
+    of an id that repeats. A cut-off from the row count n leaves few more than are taken; longer rows are passed over."""
+    hashed = training.select("_id", "n_tokens", "ids", F.pmod(F.xxhash64("_id"), F.lit(1 << 40)).alias("h"))
+    part = min(1.0, (most + 6 * most**0.5 + 100) / max(n, 1))
+    few = hashed.filter((F.col("h") < int(part * (1 << 40))) & (F.col("n_tokens") <= most_tokens))
+    few = few.groupBy("h", "_id").agg(F.min(F.struct("n_tokens", F.xxhash64("ids").alias("x"))).alias("k")).select("h", "_id", "k.*")
+    chosen, left = [], most_tokens
+    for r in sorted(few.collect(), key=lambda r: (r["h"], str(r["_id"]))):  # a few numbers a row, some ``most`` rows
+        if len(chosen) < most and r["n_tokens"] <= left:
+            chosen.append((r["h"], r["n_tokens"], r["x"]))
+            left -= r["n_tokens"]
+    if not chosen:
+        return []
+    wanted = training.sparkSession.createDataFrame(chosen, "h bigint, n_tokens bigint, x bigint").distinct()
+    met = hashed.withColumn("x", F.xxhash64("ids")).join(F.broadcast(wanted), ["h", "n_tokens", "x"], "left_semi")
+    rows = met.groupBy("h", "n_tokens", "x").agg(F.min("ids").alias("ids")).collect()
+    return [np.frombuffer(r["ids"], np.uint16) for r in sorted(rows, key=lambda r: (r["h"], r["n_tokens"], r["x"]))]
+
+
+def hmm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", modulus: int = 7, held: int = 2, states: int = STATES, rounds: int = 4, gain: float = 0.01, head: int = HEAD, start_rows: int = 1500, start_tokens: int = 2_000_000) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    if head + CLASSES + 1 > 1 << 16:
+        raise ValueError("head: ids of words are 16-bit numbers")
     spark = docs.sparkSession
     ws, bits = Workspace(spark, "hmm"), shard_bits(spark)
     id_type = docs.schema[id_column].dataType.simpleString()
-    texts = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_column).alias("_id"), F.col(text_column).alias("text"), (bucket_of(id_column, modulus) == held).alias("held_out"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row_id"), named(id_column).alias("_id"), named(text_column).alias("text")).withColumn("held_out", bucket_of("_id", modulus) == held)
     counts = word_counts(texts.select("text", "held_out"), bits, ws)
     n_train = texts.filter("not held_out").count()
     words = Words(counts, n_train, head)
@@ -378,10 +420,14 @@ def hmm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     tails = ws.save(tail_sums(found, counts, sent), "tails")
     rows = found.filter("row_id is not null")
     training = rows.filter("not held_out")
-    few = training.orderBy(F.xxhash64("_id"), "row_id").select("ids").limit(start_rows)
-    model = started([np.frombuffer(r["ids"], np.uint16) for r in few.collect()], words, states)
-    for _ in range(rounds):
-        model = baum_welch(training, model, words)
+    model, before = started(starting_rows(training, n_train, start_rows, start_tokens), words, states), None
+    for k in range(rounds):
+        model, found_log = baum_welch(training, model, words)
+        per_token = found_log / max(words.tokens, 1)
+        LOG.info("round %d over all rows: log10 likelihood a token %.5f before it", k + 1, per_token)
+        if before is not None and per_token - before < gain:
+            break
+        before = per_token
     final = spark.sparkContext.broadcast(model)
 
     def make():
