@@ -12,6 +12,9 @@ A page's posterior over languages is
 
 Trigrams overlap and repeat, so the text's log-likelihood is tempered by ``heat``.
 
+A language is a column of every table here: more than ``most_languages`` (counted first) are refused with an error, as
+they point to a dirty ``lang`` column.
+
 Cases: null or empty pages have only their address as evidence, a null address an empty host; a page with neither
 gets the overall prior. Languages are the distinct non-null ``lang`` of the labelled documents; without any the
 result has null language. Unknown declared languages are one value ``other``, absent ones ``none``. Ties go to the
@@ -30,23 +33,66 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_batches, on_workers
+from .common import Workspace, map_batches, named, on_workers
 
 BINS = 1 << 16
-HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
-TAG = re.compile(r"(?s)<[^<>]*>")
-DECLARED = re.compile(r"""(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?\s*([a-z]{2,3})""")
-DECLARED_META = re.compile(r"""(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*["']?\s*([a-z]{2,3})""")
+HIDDEN = re.compile(r"<(?:(script|style|noscript|template)\b|!--)", re.I)
+TAG = re.compile(r"<[^<>]*>")
+ROOT_OR_META = re.compile(r"<(html|meta)\b", re.I)
+LANG = re.compile(r"""\b(?:xml:)?lang\s*+=\s*+(?:["']\s*+)?([a-z]{2,3})""", re.I)
+NAMED, CONTENT = re.compile("content-language", re.I), re.compile(r"""content\s*+=\s*+(?:["']\s*+)?([a-z]{2,3})""", re.I)
 HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
+def _ends() -> dict:
+    """How each hidden element ends."""
+    return {None: re.compile("-->"), **{k: re.compile(rf"</{k}\s*+>", re.I) for k in ("script", "style", "noscript", "template")}}
+
+
+ENDS = _ends()
+
+
+def without_hidden(page: str) -> str:
+    """The page without scripts, styles and comments. One that never ends hides nothing, and is looked for but once:
+    the time is linear whatever stands unclosed."""
+    out, at, pos, endless = [], 0, 0, set()
+    while m := HIDDEN.search(page, pos):
+        kind = m.group(1).lower() if m.group(1) else None
+        end = None if kind in endless else ENDS[kind].search(page, m.end())
+        if end:
+            out += [page[at : m.start()], " "]
+            at = pos = end.end()
+        else:
+            endless.add(kind)
+            pos = m.end()
+    return "".join(out) + page[at:]
+
+
 def visible(page: str | None) -> str:
-    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", page))) if page else ""
+    return html.unescape(TAG.sub(" ", without_hidden(page))) if page else ""
 
 
 def declared_of(page: str | None) -> str:
-    found = DECLARED.search(page or "") or DECLARED_META.search(page or "")
-    return found.group(1).lower() if found else "none"
+    """The language that the first html tag with one declares, else the first meta tag of content-language. Tags are
+    cut out first, each read once; one that never ends runs to the end of the page and is the last."""
+    said = {"html": None, "meta": None}
+    pos = 0
+    while page and (m := ROOT_OR_META.search(page, pos)):
+        kind, end = m.group(1).lower(), page.find(">", m.end())
+        pos = len(page) if end < 0 else end + 1
+        if said[kind] is None:
+            start = m if kind == "html" else NAMED.search(page, m.end(), pos)
+            found = start and (LANG if kind == "html" else CONTENT).search(page, start.end(), pos)
+            said[kind] = found.group(1).lower() if found else None
+            if said["html"]:
+                break
+    return said["html"] or said["meta"] or "none"
+
+
+def domain_of(host: str) -> str:
+    """The last two labels, or three where the last has two letters and the one before it at most three (``co.uk``)."""
+    p = host.split(".")
+    return ".".join(p[-3:] if len(p) > 2 and len(p[-1]) == 2 and len(p[-2]) <= 3 else p[-2:])
 
 
 def host_of(url: str | None) -> str:
@@ -90,12 +136,14 @@ def trigram_counts(labelled: DataFrame, languages: list[str]) -> np.ndarray:
     return out
 
 
-def language_of_pages(pages: DataFrame, labelled: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", lang_column: str = "lang", text_column: str = "text", heat: float = 0.1, pull: float = 5.0) -> DataFrame:
+def language_of_pages(pages: DataFrame, labelled: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", lang_column: str = "lang", text_column: str = "text", heat: float = 0.1, pull: float = 5.0, most_languages: int = 256) -> DataFrame:
     """One row per page row: id, lang, posterior, text_lang, declared, host, suffix."""
     spark = pages.sparkSession
     ws, id_type = Workspace(spark, "language"), pages.schema[id_column].dataType.simpleString()
-    docs = labelled.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
-    languages = sorted(r[0] for r in docs.select("lang").distinct().dropna().collect())
+    docs = labelled.select(named(lang_column).alias("lang"), named(text_column).alias("text"))
+    languages = sorted(r[0] for r in docs.select("lang").distinct().dropna().limit(most_languages + 1).collect())
+    if len(languages) > most_languages:
+        raise ValueError(f"more than {most_languages} languages are labelled")
     counts = trigram_counts(docs, languages) + 0.5
     sent = spark.sparkContext.broadcast(np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32)) if languages else np.zeros((BINS, 0), np.float32))
     names = set(languages)
@@ -110,11 +158,11 @@ def language_of_pages(pages: DataFrame, labelled: DataFrame, id_column: str = "p
                 declared.append(said if said in names or said == "none" else "other")
             hosts = [host_of(u) for u in cols["url"]]
             labels = [h.split(".") for h in hosts]
-            return {"row_id": cols["row_id"], "_id": cols["_id"], "logs": logs, "declared": declared, "host": hosts, "domain": [".".join(p[-2:]) for p in labels], "suffix": [p[-1] for p in labels]}
+            return {"row_id": cols["row_id"], "_id": cols["_id"], "logs": logs, "declared": declared, "host": hosts, "domain": [domain_of(h) for h in hosts], "suffix": [p[-1] for p in labels]}
 
         return step
 
-    source = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_column).alias("_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
+    source = pages.select(F.monotonically_increasing_id().alias("row_id"), named(id_column).alias("_id"), named(url_column).alias("url"), named(html_column).alias("html"))
     found = ws.save(map_batches(source, make, f"row_id bigint, _id {id_type}, logs array<double>, declared string, host string, domain string, suffix string", rows=128), "found")
     if not languages:
         return found.select(F.col("_id").alias(id_column), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), "declared", "host", "suffix")
