@@ -26,13 +26,14 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Workspace, map_batches
+from .common import LETTERS, Workspace, map_batches, named
 
 KINDS = ("email", "ip", "card", "phone")
 MAIL_NAME = re.compile(r"[A-Za-z0-9._%+-]")
@@ -105,16 +106,28 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind, find in zip(KINDS, (emails, ips, cards, phones)) for a, b in find(text)]
 
 
+def outside(spans: list[tuple[str, int, int]]):
+    """A function that tells by bisection whether a stretch (start, end) meets none of the spans."""
+    inside = sorted((a, b) for _, a, b in spans)
+    starts, ends = [a for a, _ in inside], list(accumulate((b for _, b in inside), max))
+
+    def free(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)  # spans that begin before the end
+        return not k or ends[k - 1] <= start
+
+    return free
+
+
 def window_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
     """(word, kind, value hash, window hash) of the words near each span; words inside spans don't count."""
-    out, inside = [], sorted((a, b) for _, a, b in spans)
+    out, free = [], outside(spans)
     for kind, a, b in spans:
         value = xxhash.xxh3_64_intdigest(f"{kind}:{text[a:b].lower()}".encode("utf-8", "surrogatepass")) - (1 << 63)
         before = [(m.group().lower(), m.start(), m.end()) for m in LETTERS.finditer(text, max(0, a - WINDOW_CHARS), a)][-REACH:]
         after = [(m.group().lower(), m.start(), m.end()) for m in LETTERS.finditer(text, b, min(len(text), b + WINDOW_CHARS))][:REACH]
         words = before + after
         window = xxhash.xxh3_64_intdigest(" ".join(w for w, _, _ in words).encode("utf-8", "surrogatepass")) - (1 << 63)
-        out += [(w, kind, value, window) for w, s, e in words if not any(x < e and s < y for x, y in inside)]
+        out += [(w, kind, value, window) for w, s, e in words if free(s, e)]
     return out
 
 
@@ -122,16 +135,9 @@ def places(text: str | None, wanted) -> list[tuple[str, int, int]]:
     """(word, start, end) of the words outside base spans that ``wanted`` holds."""
     if not text or not any(map(wanted.__contains__, map(str.lower, LETTERS.findall(text)))):
         return []
-    inside = sorted((a, b) for _, a, b in base_spans(text))
-    ends = np.maximum.accumulate(np.array([b for _, b in inside], np.int64))
-    starts, out = [a for a, _ in inside], []
-    for m in LETTERS.finditer(text):
-        word = m.group().lower()
-        if word in wanted:
-            k = bisect_left(starts, m.end())  # spans that begin before the word's end
-            if not k or ends[k - 1] <= m.start():
-                out.append((word, m.start(), m.end()))
-    return out
+    free = outside(base_spans(text))
+    found = ((m.group().lower(), m.start(), m.end()) for m in LETTERS.finditer(text))
+    return [(w, a, b) for w, a, b in found if w in wanted and free(a, b)]
 
 
 class Slots:
@@ -179,7 +185,7 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     """Per row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, term_spans (array of start, end, action)."""
     ws = Workspace(docs.sparkSession, "pii")
     kind_of_id = docs.schema[id_column].dataType.simpleString()
-    texts = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row_id"), named(id_column).alias("_id"), named(text_column).alias("text"))
 
     def scan():
         def step(cols: dict) -> dict:
@@ -239,8 +245,12 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 
 def sanitise(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with every span masked: ``<EMAIL>`` and so on for values, ``<TERM>`` or nothing for words. Ids must be unique."""
-    marks = found.select(F.col(id_column).alias("_fid"), F.col("spans").alias("_spans"), F.transform(F.filter("term_spans", lambda s: s["action"] == "remove"), lambda s: s["start"]).alias("_gone"))
+    """(id, text) of docs with every span masked: ``<EMAIL>`` and so on for values, ``<TERM>`` or nothing for words.
+
+    Ids must be unique: a row of docs meets the spans of its id. A null id is an id like others, a null text stays
+    null, rows that found doesn't name stay as they are, and of overlapping spans the one that starts first is masked.
+    """
+    marks = found.select(named(id_column).alias("_fid"), F.col("spans").alias("_spans"), F.transform(F.filter("term_spans", lambda s: s["action"] == "remove"), lambda s: s["start"]).alias("_gone"))
 
     def make():
         def step(cols: dict) -> dict:
@@ -258,5 +268,5 @@ def sanitise(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_
         return step
 
     kind = docs.schema[id_column].dataType.simpleString()
-    both = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("t")).join(marks, F.col("_id").eqNullSafe(F.col("_fid")), "left").select("_id", "t", "_spans", "_gone")
+    both = docs.select(named(id_column).alias("_id"), named(text_column).alias("t")).join(marks, F.col("_id").eqNullSafe(F.col("_fid")), "left").select("_id", "t", "_spans", "_gone")
     return map_batches(both, make, f"_id {kind}, clean string").toDF(id_column, text_column)
