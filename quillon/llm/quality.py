@@ -7,8 +7,12 @@ identity,
 
     S_c = (1 - a - g) S_c + a S_pooled + g mean(diag S_pooled) I
 
-and factored once (Cholesky). A score is the logistic of the scaled difference of the two log densities,
-``log pi_c - sum log diag L_c - |L_c^-1 (x - m_c)|^2 / 2``.
+and factored once (Cholesky). A score is the logistic of the difference of the two classes'
+
+    log pi_c - heat * (sum log diag L_c + |L_c^-1 (x - m_c)|^2 / 2),
+
+where ``L_c^-1 (x - m_c)`` is solved by forward substitution with the cached factor. The statistics depend on each
+other in ways a covariance doesn't hold, which makes plain densities overconfident: ``heat`` tempers them.
 
 Cases: null and empty texts have the statistics of an empty text. Null labels are left out; of several labels of an
 id the largest counts. A null id has crc32 of the empty text. Without training rows of both classes every score is
@@ -25,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bucket_of, filter_rows, map_batches
+from .common import Workspace, bucket_of, filter_rows, map_batches, named
 
 #: Byte classes: lower, upper, digit, space, line end, sentence mark, other ASCII mark, above ASCII.
 CLASSES = np.full(256, 7)
@@ -65,11 +69,19 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def solved(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """z with ``factor @ z = right`` for a lower triangle, by forward substitution over all columns at once."""
+    z = np.empty_like(right)
+    for k in range(len(factor)):
+        z[k] = (right[k] - factor[k, :k] @ z[:k]) / factor[k, k]
+    return z
+
+
 class Discriminant:
     """Means, Cholesky factors and log priors of the two classes; None where a class has no rows."""
 
-    def __init__(self, n: np.ndarray, sums: np.ndarray, squares: np.ndarray, to_pooled: float = 0.15, to_identity: float = 0.02, scale: float = 0.5) -> None:
-        self.share, self.parts, self.scale = (n[1] + 0.5) / (n.sum() + 1), None, scale
+    def __init__(self, n: np.ndarray, sums: np.ndarray, squares: np.ndarray, to_pooled: float = 0.15, to_identity: float = 0.02, heat: float = 0.5) -> None:
+        self.share, self.parts, self.heat = (n[1] + 0.5) / (n.sum() + 1), None, heat
         if n.min() < 1:
             return
         means = sums / n[:, None]
@@ -83,13 +95,13 @@ class Discriminant:
             a = to_pooled + more[c]
             cov = (1 - a - to_identity) * own[c] + a * pooled + to_identity * ridge
             factor = np.linalg.cholesky((cov + cov.T) / 2 + 1e-9 * np.eye(len(cov)))
-            self.parts.append((means[c], np.linalg.inv(factor), np.log(np.diag(factor)).sum(), np.log(n[c] / n.sum())))
+            self.parts.append((means[c], factor, np.log(np.diag(factor)).sum(), np.log(n[c] / n.sum())))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Of rows of statistics: the probability of class 1."""
         if self.parts is None:
             return np.full(len(x), self.share)
-        logs = [prior - self.scale * (half_det + 0.5 * (((x - mean) @ inverse.T) ** 2).sum(1)) for mean, inverse, half_det, prior in self.parts]
+        logs = [prior - self.heat * (half_det + 0.5 * (solved(factor, (x - mean).T) ** 2).sum(0)) for mean, factor, half_det, prior in self.parts]
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -30, 30)))
 
 
@@ -114,27 +126,32 @@ def class_moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[:, 0], out[:, 1 : 1 + SIZE], out[:, 1 + SIZE :].reshape(2, SIZE, SIZE)
 
 
-def vectors_of(docs: DataFrame, id_column: str, text_column: str, ws: Workspace) -> DataFrame:
-    """(_id, x) of every row, written."""
+def vectors_of(texts: DataFrame, *others: str) -> DataFrame:
+    """(_id, the other columns, x) of every row of texts (_id, text and the others)."""
 
     def make():
-        return lambda cols: {"_id": cols["_id"], "x": [statistics(t) for t in cols["text"]]}
+        return lambda cols: {**{c: cols[c] for c in ("_id", *others)}, "x": [statistics(t) for t in cols["text"]]}
 
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
-    return ws.save(map_batches(texts, make, f"_id {docs.schema[id_column].dataType.simpleString()}, x array<double>", rows=256), "vectors")
+    kinds = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("_id", *others)]
+    return map_batches(texts, make, ", ".join([*kinds, "x array<double>"]), rows=256)
 
 
-def fitted(vectors: DataFrame, labels: DataFrame, id_column: str, label_column: str, modulus: int, held: int) -> Discriminant:
-    """The discriminant of all training rows."""
-    known = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("label")).dropna().filter("label in (0, 1)").groupBy("_id").agg(F.max("label").alias("label"))
-    return Discriminant(*class_moments(vectors.join(known.filter(bucket_of("_id", modulus) != held), "_id").select("label", "x")))
+def training_labels(labels: DataFrame, id_column: str, label_column: str, modulus: int, held: int) -> DataFrame:
+    """(_id, label) of the ids that may be learned from."""
+    known = labels.select(named(id_column).alias("_id"), named(label_column).cast("int").alias("label")).dropna().filter("label in (0, 1)").groupBy("_id").agg(F.max("label").alias("label"))
+    return known.filter(bucket_of("_id", modulus) != held)
+
+
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(named(id_column).alias("_id"), named(text_column).alias("text"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", modulus: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
     """id, held_out, score, predicted for every row."""
     ws = Workspace(docs.sparkSession, "quality")
-    vectors = vectors_of(docs, id_column, text_column, ws)
-    sent = docs.sparkSession.sparkContext.broadcast(fitted(vectors, labels, id_column, label_column, modulus, held))
+    vectors = ws.save(vectors_of(_texts(docs, id_column, text_column)), "vectors")
+    known = training_labels(labels, id_column, label_column, modulus, held)
+    sent = docs.sparkSession.sparkContext.broadcast(Discriminant(*class_moments(vectors.join(known, "_id").select("label", "x"))))
 
     def scored():
         def step(cols: dict) -> dict:
@@ -148,10 +165,19 @@ def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     return out.withColumnRenamed("_id", id_column)
 
 
-def of_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", modulus: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that are predicted 1, with all their columns; without training rows of both classes, all rows."""
-    vectors = vectors_of(docs, id_column, text_column, Workspace(docs.sparkSession, "quality"))
-    model = fitted(vectors, labels, id_column, label_column, modulus, held)
+def of_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", modulus: int = 5, held: int = 0, threshold: float = 0.3, most: int = 1_000_000) -> DataFrame:
+    """The rows of docs that are predicted 1, with all their columns; without training rows of both classes, all rows.
+
+    The fit reads the statistics of labelled texts only: they are picked by a broadcast of up to ``most`` labels
+    (counted first); more meet the statistics of all texts in a shuffled join."""
+    ws = Workspace(docs.sparkSession, "quality")
+    known = ws.save(training_labels(labels, id_column, label_column, modulus, held), "known")
+    texts = _texts(docs, id_column, text_column)
+    if known.count() <= most:
+        rows = vectors_of(texts.join(F.broadcast(known), "_id"), "label")
+    else:
+        rows = ws.save(vectors_of(texts), "vectors").join(known, "_id")
+    model = Discriminant(*class_moments(rows.select("label", "x")))
     if model.parts is None:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
