@@ -4,7 +4,8 @@ Words are lower-cased runs of letters and digits. A document and a benchmark ite
 words become a pair; the pair is tiled by running Karp-Rabin matching: rolling hashes find the common runs of a
 search length, the longest are marked first, marked words take no further part, and the search length falls until
 ``least``. As tiles may stand in any order, a passage whose sentences were moved is covered like an untouched one.
-A document is contaminated by an item when the tiles cover at least ``threshold`` of its words.
+A document is contaminated by an item when the tiles cover at least ``threshold`` of its words, or when one tile has
+``verbatim`` words or more, which shows a long item that is quoted in part.
 
 The benchmark is a query set: it is sent to the executors in blocks of at most ``block_words`` words (a proven
 bound, whatever its size), and each block reads the documents once. No pair leaves the task that found it and
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_batches
+from .common import filter_rows, map_batches, named
 
 WORDS = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,15 +57,19 @@ def _matches(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item:
     run = np.concatenate([[0], np.cumsum(free_doc)])
     spots = np.flatnonzero((run[s:] - run[:-s] == s) & (keys[np.minimum(np.searchsorted(keys, hd), len(keys) - 1)] == hd))
     lows, highs = np.searchsorted(keys, hd[spots]), np.searchsorted(keys, hd[spots], "right")
-    pairs, out = {(int(order[k]), int(t)) for t, a, b in zip(spots, lows, highs) for k in range(a, b)}, []
-    for p, t in pairs:
-        if (p - 1, t - 1) in pairs:
-            continue  # part of a longer run
-        n = 0
-        while p + n < len(item) and t + n < len(doc) and item[p + n] == doc[t + n] and free_item[p + n] and free_doc[t + n]:
-            n += 1
-        if n >= s:
-            out.append((n, p, t))
+    times = highs - lows
+    p, t = order[np.repeat(lows - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())], np.repeat(spots, times)
+    by = np.lexsort((p, t - p))  # along diagonals: neighbours are parts of one run
+    p, t = p[by], t[by]
+    first = np.flatnonzero(np.r_[True, (np.diff(p) != 1) | (np.diff(t) != 1)]) if len(p) else np.zeros(0, np.int64)
+    out = []
+    for a, n in zip(first, np.diff(np.r_[first, len(p)]) + s - 1):
+        x, y = item[p[a] : p[a] + n], doc[t[a] : t[a] + n]
+        if (x == y).all():
+            out.append((int(n), int(p[a]), int(t[a])))
+        else:  # hashes agree by chance somewhere: cut there
+            ends = np.r_[-1, np.flatnonzero(x != y), n]
+            out += [(int(v - u - 1), int(p[a] + u + 1), int(t[a] + u + 1)) for u, v in zip(ends, ends[1:]) if v - u - 1 >= s]
     return out
 
 
@@ -118,7 +123,7 @@ class Benchmark:
             order = np.argsort(flat, kind="stable")
             self.runs.append((n, flat[order], owner[order]))
 
-    def leaks(self, text: str | None, threshold: float) -> list[tuple[object, int, int, int, int]]:
+    def leaks(self, text: str | None, threshold: float, verbatim: int = 50) -> list[tuple[object, int, int, int, int]]:
         """(item, its words, covered words, tiles, longest tile) of the items that the text holds."""
         words, out = words_of(text), []
         ids = np.fromiter(map(self.vocabulary.__getitem__, words), np.int64, len(words))
@@ -134,9 +139,9 @@ class Benchmark:
             for k in sorted({int(o) for a, b in zip(lows, highs) for o in owner[a:b]}):
                 key, item = self.items[k]
                 found = tiles(ids, item, min(self.least, len(item)))
-                covered = sum(t[0] for t in found)
-                if covered >= threshold * len(item):
-                    out.append((key, len(item), covered, len(found), max(t[0] for t in found)))
+                covered, longest = sum(t[0] for t in found), max((t[0] for t in found), default=0)
+                if covered >= threshold * len(item) or longest >= verbatim:
+                    out.append((key, len(item), covered, len(found), longest))
         return out
 
 
@@ -154,18 +159,18 @@ def blocks_of(items: DataFrame, block_words: int):
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", seed: int = 5, least: int = 3, threshold: float = 0.7, block_words: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", seed: int = 5, least: int = 3, threshold: float = 0.7, verbatim: int = 50, block_words: int = 1_000_000) -> DataFrame:
     """One row for each document row and item that it leaks: id, item, item_words, covered, coverage, n_tiles, longest_tile."""
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
+    texts = docs.select(named(id_column).alias("_id"), named(text_column).alias("text"))
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_column), (benchmark, item_column)))
     schema = f"_id {kind}, _item {item_kind}, item_words int, covered int, n_tiles int, longest_tile int"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks_of(benchmark.select(item_column, item_text), block_words):
+    for block in blocks_of(benchmark.select(named(item_column), named(item_text)), block_words):
         sent = docs.sparkSession.sparkContext.broadcast(Benchmark(block, seed, least))
 
         def make(sent=sent):
             def step(cols: dict) -> dict:
-                rows = [(i, *leak) for i, t in zip(cols["_id"], cols["text"]) for leak in sent.value.leaks(t, threshold)]
+                rows = [(i, *leak) for i, t in zip(cols["_id"], cols["text"]) for leak in sent.value.leaks(t, threshold, verbatim)]
                 names = ("_id", "_item", "item_words", "covered", "n_tiles", "longest_tile")
                 return {n: [r[k] for r in rows] for k, n in enumerate(names)}
 
@@ -175,9 +180,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     return out.select(F.col("_id").alias(id_column), F.col("_item").alias(item_column), "item_words", "covered", (F.col("covered") / F.col("item_words")).alias("coverage"), "n_tiles", "longest_tile")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", seed: int = 5, least: int = 3, threshold: float = 0.7, block_words: int = 1_000_000) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", seed: int = 5, least: int = 3, threshold: float = 0.7, verbatim: int = 50, block_words: int = 1_000_000) -> DataFrame:
     """The rows of docs that leak no benchmark item, with all their columns."""
-    for block in blocks_of(benchmark.select(item_column, item_text), block_words):
+    for block in blocks_of(benchmark.select(named(item_column), named(item_text)), block_words):
         sent = docs.sparkSession.sparkContext.broadcast(Benchmark(block, seed, least))
-        docs = filter_rows(docs, lambda sent=sent: lambda texts: [not sent.value.leaks(t, threshold) for t in texts], text_column)
+        docs = filter_rows(docs, lambda sent=sent: lambda texts: [not sent.value.leaks(t, threshold, verbatim) for t in texts], text_column)
     return docs
