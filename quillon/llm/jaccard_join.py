@@ -5,7 +5,8 @@ when ``100 * |x & y| >= percent * |x | y|``. Then at most ``slack(x) = |x| - cei
 are not in y, which prefix filtering uses:
 
 * tokens are ordered rare ones first, frequent ones last, each by hash. A token is frequent when more than
-  ``frequent`` distinct sets hold it; all tokens of all documents are counted.
+  ``frequent`` distinct sets hold it; all tokens of all documents are counted. Where more than ``MOST_FREQUENT``
+  tokens are, the bar rises until the list fits: the most frequent are always known exactly.
 * the prefix of x runs through that order until it *covers* ``slack(x) + 1``. A rare token covers one and is indexed
   alone. Frequent tokens fall into G classes by hash; a class with n tokens in the prefix covers n - 1, and its
   pairs of tokens are indexed. If x and y link, the shorter of their two prefixes holds a common rare token or two
@@ -13,9 +14,12 @@ are not in y, which prefix filtering uses:
 * sets with under 256 tokens index frequent tokens alone; G grows with the set's size to keep pairs few. Sets near
   a change of G index both ways, wide enough that no linked pair falls between.
 
-Rare tokens that only one set holds can't meet anything and aren't indexed. Buckets are not expanded at once: each
-set is first compared with its bucket's most central members, linked sets are contracted to components, and only
-pairs of different components that still share a bucket are compared. Parity bitmaps, a narrow one and one as wide as
+Rare tokens that only one set holds can't meet anything and aren't indexed; a bitmap with eight slots for each token
+that several sets hold tells most of them (it has ``MOST_SLOT_BITS`` at most; where that is too few for the corpus,
+more of them are indexed and dropped as buckets of one). Buckets are not expanded at once: each set is first compared
+with its bucket's most central member and linked sets are contracted to components. This is repeated with members of
+other components while the buckets still hold many more pairs than sets; then the pairs of different components that
+share a bucket are compared, large buckets in blocks, so no task holds a hot one. Parity bitmaps, a narrow one and one as wide as
 the set is large, bound the symmetric difference from below and spare most comparisons; the rest compares full sets. So groups of near copies cost about one
 comparison a member, and no link between different components is lost.
 
@@ -37,12 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_words, map_batches, shard_bits, without_ids
+from .common import Workspace, byte_words, map_batches, named, on_workers, shard_bits, without_ids
 from .graph import components
 
-SLOT_BITS = 26  # of the two bitmaps over token hashes: repeated, frequent
+MOST_SLOT_BITS, MOST_FREQUENT = 29, 1_000_000
+HELD_TOKENS = 2_000_000  # that a task adds up before it sends them
 PARITY_BITS = 1024
-STARS = 1  # rounds that compare a bucket with one of its members
+MOST_STARS, EASY = 8, 4  # rounds that compare a bucket with one of its members; pairs a set that need no further one
+BLOCK = 1024  # members of a large bucket that meet another block in one place
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 MASK, HALF = (1 << 64) - 1, 1 << 63
 #: (least set size, classes of frequent tokens); 0 classes: alone.
@@ -130,66 +136,128 @@ def parity(tokens: np.ndarray, width: int = PARITY_BITS) -> list[int]:
     return np.packbits(bits.astype(bool)).view(np.int64).tolist()
 
 
-def token_bitmaps(texts: DataFrame, size: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed bitmaps by the tokens' top bits: held by two sets or more; held by more than ``frequent``.
+class Tokens:
+    """What the tasks know of all tokens: a bitmap by the top bits of those that two sets or more hold, and the sorted
+    names (top bits) of the frequent ones."""
 
-    Every task sends its tokens, packed by shard; a shard counts them and returns its stretch of both bitmaps, so
-    the driver gets 2 * 2**SLOT_BITS bits whatever the input.
-    """
-    held = shard_bits(texts.sparkSession)
-    shards, slots = 1 << held, 1 << (SLOT_BITS - held)
+    def __init__(self, bits: np.ndarray, slot_bits: int, often: np.ndarray, name_bits: int) -> None:
+        self.bits, self.slot_bits, self.often, self.name_bits = bits, slot_bits, often, name_bits
 
-    def spread():
-        seen: set = set()
+    def repeated(self, tokens: np.ndarray) -> np.ndarray:
+        slot = (tokens >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+        return (self.bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
-        def step(cols: dict) -> dict:
-            sets = []
-            for s in shingle_sets(cols["text"], size):
-                if len(s) and (key := fingerprint(s)) not in seen:
-                    seen.add(key)
-                    sets.append(s)
-            if len(seen) > 500_000:
-                seen.clear()
-            flat = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-            cut = np.searchsorted(flat, np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - held))
-            parts = np.split(((flat >> np.uint64(32 - held)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), cut)
-            use = [k for k, p in enumerate(parts) if len(p)]
-            return {"shard": use, "tokens": [parts[k].tobytes() for k in use]}
+    def frequent(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.often):
+            return np.zeros(len(tokens), bool)
+        names = tokens >> np.uint64(64 - self.name_bits)
+        return self.often[np.minimum(np.searchsorted(self.often, names), len(self.often) - 1)] == names
 
-        return step
+
+def token_counts(texts: DataFrame, size: int, ws: Workspace) -> tuple[DataFrame, int]:
+    """(shard, names, n): packed, the tokens that two sets or more hold, by their 32 bits after the shard's, and how
+    many do; and the shard's bits. A task adds its tokens up before it sends them, so a hot token travels a few times
+    a task, not once a document."""
+    held = shard_bits(texts.sparkSession)
+    shards = 1 << held
+    on_workers(texts.sparkSession)
+
+    def packed(sets: list) -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+        cut = np.searchsorted(tokens, np.arange(shards, dtype=np.uint64) << np.uint64(64 - held))
+        names = ((tokens >> np.uint64(32 - held)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        rows = []
+        for k, (a, b) in enumerate(zip(cut, np.r_[cut[1:], len(tokens)])):
+            if b > a:
+                once = n[a:b] == 1
+                rows.append((k, names[a:b][once].tobytes(), names[a:b][~once].tobytes(), n[a:b][~once].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3))], ["shard", "once", "names", "n"])
+
+    def run(batches):
+        seen, sets, total = set(), [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for s in shingle_sets(batch.column(0).slice(at, 512).to_pylist(), size):
+                    if len(s) and (key := fingerprint(s)) not in seen:
+                        seen.add(key)
+                        sets.append(s)
+                        total += len(s)
+                if len(seen) > 500_000:
+                    seen.clear()
+                if total >= HELD_TOKENS:
+                    yield packed(sets)
+                    sets, total = [], 0
+        if sets:
+            yield packed(sets)
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         # A shard comes as packed arrays; its size is the corpus' tokens over the number of shards.
-        flat = np.sort(np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for c in table["tokens"].chunks for b in c]))
+        arrays = {c: [np.frombuffer(b.as_buffer(), np.uint32) for part in table[c].chunks for b in part] for c in ("once", "names", "n")}
+        flat = np.concatenate(arrays["once"] + arrays["names"])
+        times = np.concatenate([np.ones(sum(map(len, arrays["once"])), np.uint32)] + arrays["n"])
+        order = np.argsort(flat, kind="stable")
+        flat, times = flat[order], times[order]
         start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        n = np.diff(np.r_[start, len(flat)])
-        slot = flat[start] >> np.uint32(32 - (SLOT_BITS - held))
-        maps = []
-        for least in (1, frequent):
-            bits = np.zeros(slots, bool)
-            bits[slot[n > least]] = True
-            maps.append(np.packbits(bits).tobytes())
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "repeated": pa.array([maps[0]], pa.binary()), "frequent": pa.array([maps[1]], pa.binary())})
+        n = np.add.reduceat(times, start, dtype=np.int64)
+        use = n > 1
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "names": pa.array([flat[start][use].tobytes()], pa.binary()), "n": pa.array([n[use].tobytes()], pa.binary())})
 
-    parts = map_batches(texts.select("text"), spread, "shard int, tokens binary", rows=1024)
-    maps = parts.groupBy("shard").applyInArrow(count, "shard int, repeated binary, frequent binary").toArrow()
-    out = np.zeros((2, shards, slots // 8), np.uint8)
-    for shard, a, b in zip(maps["shard"].to_pylist(), maps["repeated"].to_pylist(), maps["frequent"].to_pylist()):
-        out[0, shard], out[1, shard] = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    return out[0].ravel(), out[1].ravel()
+    parts = texts.select("text").mapInArrow(run, "shard int, once binary, names binary, n binary")
+    return ws.save(parts.groupBy("shard").applyInArrow(count, "shard int, names binary, n binary"), "tokens"), held
 
 
-def _flags(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    slot = (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+def _level(n: np.ndarray) -> np.ndarray:
+    """Counts rounded down to their six leading bits: few distinct values whatever the corpus."""
+    spare = np.maximum(np.frexp(n.astype(np.float64))[1] - 6, 0)
+    return (n >> spare) << spare
+
+
+def tokens_of(texts: DataFrame, size: int, frequent: int, ws: Workspace, most_frequent: int = MOST_FREQUENT, most_bits: int = MOST_SLOT_BITS) -> Tokens:
+    """The driver gets 2**most_bits bits and most_frequent numbers at most."""
+    counts, held = token_counts(texts, size, ws)
+
+    def levels():
+        def step(cols: dict) -> dict:
+            level, n = np.unique(_level(np.concatenate([np.frombuffer(x, np.int64) for x in cols["n"]] or [np.zeros(0, np.int64)])), return_counts=True)
+            return {"level": level, "n": n}
+
+        return step
+
+    sizes = sorted(((r["level"], r["n"]) for r in map_batches(counts.select("n"), levels, "level bigint, n bigint", rows=16).groupBy("level").agg(F.sum("n").alias("n")).collect()), reverse=True)
+    bar, listed = 1 << 62, 0  # a token is frequent from this count on, a level's least
+    for level, n in sizes:
+        if level <= frequent or listed + n > most_frequent:
+            break
+        bar, listed = level, listed + n
+    slot_bits = min(most_bits, max(held + 3, 3 + int(sum(n for _, n in sizes)).bit_length()))
+    slots = slot_bits - held
+
+    def told():
+        def step(cols: dict) -> dict:
+            out: dict = {"shard": cols["shard"], "bits": [], "often": []}
+            for shard, names, n in zip(cols["shard"], cols["names"], cols["n"]):
+                names, n = np.frombuffer(names, np.uint32), np.frombuffer(n, np.int64)
+                bits = np.zeros(1 << slots, bool)
+                bits[names >> np.uint32(32 - slots)] = True
+                out["bits"].append(np.packbits(bits).tobytes())
+                out["often"].append(((np.uint64(shard) << np.uint64(32)) | names[n >= bar].astype(np.uint64)).tobytes())
+            return out
+
+        return step
+
+    bits, often = np.zeros((1 << held, (1 << slots) // 8), np.uint8), []
+    for shard, b, o in map_batches(counts, told, "shard int, bits binary, often binary", rows=4).collect():
+        bits[shard] = np.frombuffer(b, np.uint8)
+        often.append(np.frombuffer(o, np.uint64))
+    ws.drop("tokens")
+    return Tokens(bits.ravel(), slot_bits, np.sort(np.concatenate(often or [np.zeros(0, np.uint64)])), held + 32)
 
 
 def indexed(texts: DataFrame, maps, size: int, percent: int, id_type: str) -> DataFrame:
     """Per row: _id, n, hi, lo and, for the first row of a set in its task, index keys and parity words."""
 
     def make():
-        repeated, frequent = maps.value
-        seen: set = set()
+        tokens, seen = maps.value, set()
 
         def step(cols: dict) -> dict:
             out: dict = {k: [] for k in ("n", "hi", "lo", "keys", "parity", "fine", "central")}
@@ -200,8 +268,8 @@ def indexed(texts: DataFrame, maps, size: int, percent: int, id_type: str) -> Da
                 keys, bits, fine, central = None, None, None, None
                 if len(s) and key not in seen:
                     seen.add(key)
-                    often = _flags(frequent, s)
-                    found = signatures(s, _flags(repeated, s), often, percent)
+                    often = tokens.frequent(s)
+                    found = signatures(s, tokens.repeated(s), often, percent)
                     if len(found):
                         keys, bits, central = found.view(np.int64), parity(s), float(often.mean())
                         width = 1 << int(1.6 * len(s)).bit_length()
@@ -216,11 +284,12 @@ def indexed(texts: DataFrame, maps, size: int, percent: int, id_type: str) -> Da
 
 
 PARTNERS = 256  # members that one copy of a head's set is compared with
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _wanted_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(hi, lo, tokens) of the texts whose id may be among ``wanted``: texts are read again and only those are hashed."""
+    """(hi, lo, tokens) of the texts whose id may be among ``wanted`` (min_id): texts are read again and only those whose
+    id falls in a slot of a wanted one are hashed, a few more than asked for; ids that repeat give each of their texts. A
+    null id is the empty text. Of equal sets a task gives the first."""
     width = 1 << 22
     slot = lambda c: (F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % width).cast("int")
     slots = wanted.select(slot("min_id").alias("s")).distinct().toPandas()["s"]
@@ -268,25 +337,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
 
     def compare(batches):
         head, own = None, None
-        for batch in batches:
-            out: list = []
-            for a, part, late, sid, tokens in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                tokens = np.frombuffer(tokens, np.uint64)
-                if not late:
-                    head, own = (a, part), tokens
-                elif head == (a, part):
-                    both = len(np.intersect1d(own, tokens, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(tokens) - both):
-                        out.append((a, sid))
-            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    conf = texts.sparkSession.conf
-    before = conf.get(BATCH_CONF)
-    conf.set(BATCH_CONF, 512)  # whole sets are wide rows
-    try:
-        links = ws.save(stream.mapInArrow(compare, "a bigint, b bigint"), f"{tag}_links")
-    finally:
-        conf.set(BATCH_CONF, before)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch, out = whole.slice(at, 256), []
+                for a, part, late, sid, tokens in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                    tokens = np.frombuffer(tokens, np.uint64)
+                    if not late:
+                        head, own = (a, part), tokens
+                    elif head == (a, part):
+                        both = len(np.intersect1d(own, tokens, assume_unique=True))
+                        if 100 * both >= percent * (len(own) + len(tokens) - both):
+                            out.append((a, sid))
+                yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    links = ws.save(stream.mapInArrow(compare, "a bigint, b bigint"), f"{tag}_links")
     ws.drop(f"{tag}_placed", f"{tag}_wanted")
     return links
 
@@ -311,12 +375,12 @@ def _may_link(percent: int):
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * differ <= (100 - percent) * (n1 + n2))
 
 
-def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85, frequent: int = 32) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85, frequent: int = 32, most_frequent: int = MOST_FREQUENT, most_bits: int = MOST_SLOT_BITS, block: int = BLOCK) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable by links), n_copies of its set."""
     ws = Workspace(docs.sparkSession, "jaccard")
     id_type = docs.schema[id_column].dataType.simpleString()
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
-    maps = docs.sparkSession.sparkContext.broadcast(token_bitmaps(texts, size, frequent))
+    texts = docs.select(named(id_column).alias("_id"), named(text_column).alias("text"))
+    maps = docs.sparkSession.sparkContext.broadcast(tokens_of(texts, size, frequent, ws, most_frequent, most_bits))
     rows = ws.save(indexed(texts, maps, size, percent, id_type), "rows")
     nodes = rows.groupBy("hi", "lo", "n").agg(F.min("_id").alias("min_id"), F.count("*").alias("copies"))
     nodes = ws.save(nodes.withColumn("sid", F.monotonically_increasing_id()), "nodes")
@@ -331,27 +395,33 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         return parities.select(F.col("sid").alias("ab"[k - 1]), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
 
     links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    for k in range(STARS):
-        # Most central first: the text that the others of its bucket were copied from holds the fewest tokens of its own.
-        heads = left.groupBy("key").agg(F.max(F.struct("central", (-F.col("sid")).alias("s"), "comp")).alias("h")).select("key", (-F.col("h.s")).alias("a"), F.col("h.comp").alias("c1"))
-        if k:
-            # A bucket's next head is from another component than its last.
+    for k in range(MOST_STARS):
+        rest = left
+        if k:  # a bucket's next head is from another component than its last
+            load = left.groupBy("key").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
+            if (load[1] or 0) <= EASY * (load[0] or 0):
+                break
             rest = left.join(last, "key").filter("comp != c0")
-            heads = rest.groupBy("key").agg(F.max(F.struct("central", (-F.col("sid")).alias("s"), "comp")).alias("h")).select("key", (-F.col("h.s")).alias("a"), F.col("h.comp").alias("c1"))
-        heads = ws.save(heads, f"heads{k}")
+        # Most central first: the text that the others of its bucket were copied from holds the fewest tokens of its own.
+        heads = ws.save(rest.groupBy("key").agg(F.max(F.struct("central", (-F.col("sid")).alias("s"), "comp")).alias("h")).select("key", (-F.col("h.s")).alias("a"), F.col("h.comp").alias("c1")), f"heads{k}")
         pairs = left.join(heads, "key").filter("comp != c1").select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct()
         pairs = pairs.join(side(1), "a").join(side(2), "b").filter(_may_link(percent)).select("a", "b")
         pairs = ws.save(_finely(pairs, keyed, percent), f"pairs{k}")
         links = links.unionByName(_verified(pairs, nodes, texts, size, percent, ws, f"star{k}"))
         comps = components(links, ws, f"comp{k}")
-        named = left.drop("comp").join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "central", F.coalesce("comp", "sid").alias("comp"))
-        open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
-        left = ws.save(named.join(open_keys, "key"), f"open{k}")
-        last = heads.select("key", F.col("a").alias("node")).join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("c0"))
-    open_rows = ws.save(left.join(parities, "sid"), "open")
-    one = open_rows.select("key", F.col("sid").alias("a"), F.col("comp").alias("c1"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
-    two = open_rows.select("key", F.col("sid").alias("b"), F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("parity").alias("p2"))
-    second = one.join(two, (one.key == two.key) & (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _may_link(percent)).select("a", "b").distinct()
+        renamed = left.drop("comp").join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "central", F.coalesce("comp", "sid").alias("comp"))
+        open_keys = renamed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
+        left = ws.save(renamed.join(open_keys, "key"), f"open{k}")
+        last = ws.save(heads.select("key", F.col("a").alias("node")).join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("c0")), f"last{k}")
+        ws.drop("shared", f"heads{k}", f"pairs{k}", *([f"open{k - 1}", f"last{k - 1}"] if k else []))
+    # What is left: all pairs of different components in a bucket, by pairs of blocks of its members.
+    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows_open = left.join(blocks, "key").join(parities, "sid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows_open = ws.save(rows_open.select("key", "sid", "comp", "n", "parity", "blocks", "own"), "open")
+    one = rows_open.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("sid").alias("a"), F.col("comp").alias("c1"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
+    two = rows_open.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("sid").alias("b"), F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("parity").alias("p2"))
+    met = one.join(two, ["key", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (F.col("c1") != F.col("c2")) & _may_link(percent))
+    second = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = ws.save(_finely(ws.save(second, "candidates"), keyed, percent), "pairs")
     links = links.unionByName(_verified(second, nodes, texts, size, percent, ws, "cross"))
     comps = components(links, ws, "comp")
@@ -359,8 +429,8 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     member = nodes.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("hi", "lo", "n", "copies", "min_id", F.coalesce("comp", "sid").alias("comp"))
     member = ws.save(member, "member")
     least = member.groupBy("comp").agg(F.min("min_id").alias("component_id"))
-    named = ws.save(member.join(least, "comp").select("hi", "lo", "component_id", "copies"), "named")
-    out = rows.select("_id", "n", "hi", "lo").join(named, ["hi", "lo"])
+    told = ws.save(member.join(least, "comp").select("hi", "lo", "component_id", "copies"), "told")
+    out = rows.select("_id", "n", "hi", "lo").join(told, ["hi", "lo"])
     alone = F.col("n") == 0
     return out.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), F.when(alone, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 1).otherwise(F.col("copies")).alias("n_copies"))
 
@@ -368,6 +438,6 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
     """The rows of docs whose id is its component's least, with all their columns. Rows that share an id share its
     fate: the id stays if any of its rows represents a group."""
-    found = jaccard_join(docs, id_column, text_column, **how).select(F.col(id_column), F.col(id_column).eqNullSafe(F.col("component_id")).alias("stays"))
-    gone = found.groupBy(id_column).agg(F.bool_or("stays").alias("stays")).filter("not stays").select(id_column)
+    ids = jaccard_join(docs.select(named(id_column).alias("_id"), named(text_column).alias("text")), "_id", "text", **how)
+    gone = ids.groupBy("_id").agg(F.bool_or(F.col("_id").eqNullSafe(F.col("component_id"))).alias("stays")).filter("not stays").select(F.col("_id").alias(id_column))
     return without_ids(docs, Workspace(docs.sparkSession, "gone").save(gone, "ids"), id_column)
