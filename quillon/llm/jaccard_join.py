@@ -18,8 +18,8 @@ Rare tokens that only one set holds can't meet anything and aren't indexed; a bi
 that several sets hold tells most of them (it has ``MOST_SLOT_BITS`` at most; where that is too few for the corpus,
 more of them are indexed and dropped as buckets of one). Buckets are not expanded at once: each set is first compared
 with its bucket's most central member and linked sets are contracted to components. This is repeated with members of
-other components while the buckets still hold many more pairs than sets; then the pairs of different components that
-share a bucket are compared, large buckets in blocks, so no task holds a hot one. Parity bitmaps, a narrow one and one as wide as
+other components for buckets of more than ``HEAVY`` members; then the pairs of different components that share a bucket
+are compared, large buckets in blocks, so no task holds a hot one. Parity bitmaps, a narrow one and one as wide as
 the set is large, bound the symmetric difference from below and spare most comparisons; the rest compares full sets. So groups of near copies cost about one
 comparison a member, and no link between different components is lost.
 
@@ -47,7 +47,7 @@ from .graph import components
 MOST_SLOT_BITS, MOST_FREQUENT = 29, 1_000_000
 HELD_TOKENS = 2_000_000  # that a task adds up before it sends them
 PARITY_BITS = 1024
-MOST_STARS, EASY = 8, 4  # rounds that compare a bucket with one of its members; pairs a set that need no further one
+MOST_STARS, HEAVY = 4, 4096  # rounds that compare a bucket with one of its members; those after the first are for buckets of more members
 BLOCK = 1024  # members of a large bucket that meet another block in one place
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 MASK, HALF = (1 << 64) - 1, 1 << 63
@@ -397,11 +397,11 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     for k in range(MOST_STARS):
         rest = left
-        if k:  # a bucket's next head is from another component than its last
-            load = left.groupBy("key").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
-            if (load[1] or 0) <= EASY * (load[0] or 0):
+        if k:  # a heavy bucket's next head is from another component than its last
+            heavy = left.groupBy("key").count().filter(F.col("count") > HEAVY).select("key")
+            rest = ws.save(left.join(heavy, "key").join(last, "key").filter("comp != c0"), f"heavy{k}")
+            if rest.isEmpty():
                 break
-            rest = left.join(last, "key").filter("comp != c0")
         # Most central first: the text that the others of its bucket were copied from holds the fewest tokens of its own.
         heads = ws.save(rest.groupBy("key").agg(F.max(F.struct("central", (-F.col("sid")).alias("s"), "comp")).alias("h")).select("key", (-F.col("h.s")).alias("a"), F.col("h.comp").alias("c1")), f"heads{k}")
         pairs = left.join(heads, "key").filter("comp != c1").select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct()
