@@ -128,7 +128,7 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], text_
     """Rows whose text passes: ``make()`` runs once a task and returns a function from texts to booleans. All columns
     stay as they are, nothing is shuffled, and rows are judged one by one whatever their ids."""
     on_workers(df.sparkSession)
-    at = df.columns.index(text_column)
+    at, plain = df.columns.index(text_column), df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # names may have dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
@@ -137,7 +137,7 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], text_
                 part = batch.slice(k, rows)
                 yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def met_by(small: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -386,10 +386,11 @@ def baum_welch(training: DataFrame, model: Model, words: Words) -> tuple[Model,
 
 def starting_rows(training: DataFrame, n: int, most: int, most_tokens: int) -> list[np.ndarray]:
     """Sequences of at most ``most`` ids and ``most_tokens`` tokens: those of the least hashes, one an id, the shortest
-    of an id that repeats. A cut-off from the row count n leaves few more than are taken; longer rows are passed over."""
+    of an id that repeats. A cut-off from the row count n leaves few more than are taken; rows of more than a twentieth
+    of the tokens are passed over."""
     hashed = training.select("_id", "n_tokens", "ids", F.pmod(F.xxhash64("_id"), F.lit(1 << 40)).alias("h"))
     part = min(1.0, (most + 6 * most**0.5 + 100) / max(n, 1))
-    few = hashed.filter((F.col("h") < int(part * (1 << 40))) & (F.col("n_tokens") <= most_tokens))
+    few = hashed.filter((F.col("h") < int(part * (1 << 40))) & (F.col("n_tokens") <= most_tokens // 20))
     few = few.groupBy("h", "_id").agg(F.min(F.struct("n_tokens", F.xxhash64("ids").alias("x"))).alias("k")).select("h", "_id", "k.*")
     chosen, left = [], most_tokens
     for r in sorted(few.collect(), key=lambda r: (r["h"], str(r["_id"]))):  # a few numbers a row, some ``most`` rows

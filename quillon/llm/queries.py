@@ -94,4 +94,24 @@ ORACLE_SQL = {
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.text) AS text_sha256
         FROM t JOIN g USING (text)
     """,
+    # Equal sets are one node; nodes that share a shingle are counted, linked, and joined up by what they reach.
+    "op9_token_combinations": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))) END AS shingles FROM w
+        ), node AS (
+            SELECT min(doc_id) AS id, shingles, len(shingles) AS n FROM s GROUP BY shingles
+        ), token AS (
+            SELECT id, n, unnest(shingles) AS shingle FROM node
+        ), link AS (
+            SELECT a.id AS a, b.id AS b FROM token a JOIN token b ON a.shingle = b.shingle AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach(id, low) AS (
+            SELECT id, id FROM node UNION SELECT e.b, r.low FROM reach r JOIN (SELECT a, b FROM link UNION ALL SELECT b, a FROM link) e ON e.a = r.id
+        ), comp AS (SELECT id, min(low) AS low FROM reach GROUP BY id)
+        SELECT s.doc_id, node.n AS n_shingles, CASE WHEN node.n = 0 THEN s.doc_id ELSE comp.low END AS component_id
+        FROM s JOIN node USING (shingles) JOIN comp ON comp.id = node.id
+    """,
 }
