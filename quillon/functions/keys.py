@@ -56,3 +56,32 @@ def split_of(key: Column, train: int = 70, val: int = 15) -> Column:
 def bare_parameter(name: Column) -> Column:
     """A parameter's name without the wrapper's prefix."""
     return F.regexp_replace(name, r"^module\.", "")
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """What follows the first folder named ``root``, with forward slashes."""
+    return F.regexp_replace(F.regexp_replace(path, r"[\\/]+", "/"), rf"^(?:.*?/)?{root}/", "")
+
+
+def slug(text: Column) -> Column:
+    """Lower-case letters and digits, runs of others as one dash, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def safe_filename(text: Column) -> Column:
+    """Runs of marks that file systems refuse, and blanks, as one underscore."""
+    return F.regexp_replace(text, r'[\\/:*?"<>| ]+', "_")
+
+
+def first_of(named: dict[str, Column], default: Column) -> tuple[Column, Column]:
+    """The first value that isn't null in the order given, and the name it was found under."""
+    source = F.lit("default")
+    for name, value in reversed(named.items()):
+        source = F.when(value.isNotNull(), name).otherwise(source)
+    return F.coalesce(*named.values(), default), source
+
+
+def flags(named: dict[str, Column]) -> Column:
+    """Command-line flags: a boolean stands alone if true and is left out if not, nulls are left out."""
+    parts = [F.when(F.typeof(v) == "boolean", F.when(v.cast("string") == "true", f"--{k}")).when(v.isNotNull(), F.concat(F.lit(f"--{k} "), v.cast("string"))) for k, v in named.items()]
+    return F.concat_ws(" ", *parts)

@@ -43,3 +43,13 @@ def min_max(v: Column, flat: float = 1e-8) -> Column:
     """Values scaled to 0..1; a flat map becomes zeros."""
     ends = F.struct(F.array_min(v).cast("double").alias("low"), F.array_max(v).cast("double").alias("high"))
     return bound(ends, lambda e: F.transform(v, lambda x: F.when(e["high"] - e["low"] < flat, F.lit(0.0)).otherwise((x.cast("double") - e["low"]) / (e["high"] - e["low"]))))
+
+
+def mean_of(maps: list[Column]) -> Column:
+    """The mean of the maps that aren't null, cell by cell; null where none is valid."""
+    zero = F.transform(F.coalesce(*maps), lambda x: F.lit(0.0))
+    out, n = zero, F.lit(0)
+    for m in maps:
+        out = F.zip_with(out, F.coalesce(m, zero), lambda s, x: s + x.cast("double"))
+        n = n + m.isNotNull().cast("int")
+    return F.transform(out, lambda x: x / n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,45 @@ def metric_map(rows: DataFrame, keys: list[str], text: str, metric: str, classes
     shape = F.when(nested, F.map_filter(by_class, lambda _, v: v.isNotNull())).when(one.startswith("{"), F.from_json(one, "map<string,double>"))
     shape = shape.when(one.startswith("[") & (F.size(listed) == len(classes)), F.map_from_arrays(names, listed))
     return rows.withColumn("_m", m).select(*keys, F.explode(shape).alias("class", "value"))
+
+
+def compared_sets(a: DataFrame, b: DataFrame, key: str, n: int) -> DataFrame:
+    """(side, n, sample, equal): how many values each side has alone, its first n, and whether none has any."""
+    left, right = a.select(F.col(key).alias("k")).distinct(), b.select(F.col(key).alias("k")).distinct()
+    alone = left.subtract(right).select(F.lit("left_only").alias("side"), "k").unionByName(right.subtract(left).select(F.lit("right_only").alias("side"), "k"))
+    counts = alone.groupBy("side").agg(F.count("*").alias("n"))
+    first = alone.withColumn("i", F.row_number().over(Window.partitionBy("side").orderBy("k"))).filter(F.col("i") <= n).groupBy("side").agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("sample"))
+    sides = a.sparkSession.createDataFrame([("left_only",), ("right_only",)], "side string")
+    out = sides.join(counts, "side", "left").join(first, "side", "left").na.fill(0, ["n"]).na.fill("", ["sample"])
+    return out.crossJoin(out.agg((F.sum("n") == 0).alias("equal")))  # one row
+
+
+def violations(rows: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Rows that break a rule, with ``problems``: the names of those broken. A rule is a name (a text or a column) and a
+    condition under which it is broken; null counts as kept."""
+    said = [F.when(broken, F.lit(name) if isinstance(name, str) else name) for name, broken in rules]
+    return rows.withColumn("problems", F.concat_ws(",", *said)).filter("problems <> ''")
+
+
+def false_claims(rows: DataFrame, said: str, holds: str) -> DataFrame:
+    """Rows whose claim and finding differ, with ``conflict``."""
+    conflict = F.when(F.col(said) & ~F.col(holds), "claimed, not shown").when(~F.col(said) & F.col(holds), "shown, not claimed")
+    return rows.withColumn("conflict", conflict).filter("conflict is not null")
+
+
+def changed_settings(began: DataFrame, now: DataFrame, run: str, config: str) -> DataFrame:
+    """(run, problem) where the settings at resume aren't those at the start: missing, or changed."""
+    both = began.select(run, F.col(config).alias("a")).join(now.select(run, F.col(config).alias("b")), run, "left").filter(~F.col("a").eqNullSafe(F.col("b")))
+    return both.select(run, F.when(F.col("b").isNull(), "missing").otherwise("changed").alias("problem"))
+
+
+def manifest_lock(files: DataFrame, manifest_sha256: str, counts: dict[tuple[str, str], int]) -> DataFrame:
+    """(problem) of a locked set of files (path, split, class_name, sha256): the digest of its sorted lines must be the
+    one locked, and each split and class must have its count. The lines are sorted in one task, as one text is hashed."""
+    spark = files.sparkSession
+    lines = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("  ", "sha256", "path"))), "\n"), 256).alias("is"))
+    wrong = lines.filter(F.col("is") != manifest_sha256).select(F.concat(F.lit("manifest is "), "is").alias("problem"))
+    want = spark.createDataFrame([(*k, n) for k, n in counts.items()], "split string, class_name string, want long")
+    have = files.groupBy("split", "class_name").agg(F.count("*").alias("have"))
+    off = want.join(have, ["split", "class_name"], "full_outer").filter("not want <=> have")
+    return wrong.unionByName(off.select(F.format_string("%s/%s: %s, not %s", "split", "class_name", F.coalesce(F.col("have").cast("string"), F.lit("none")), F.coalesce(F.col("want").cast("string"), F.lit("none"))).alias("problem")))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +25,10 @@ def contingency(pairs: DataFrame, group: list[str], a: str = "ok_a", b: str = "o
 def mcnemar(counts: DataFrame, a: str = "a_only", b: str = "b_only") -> DataFrame:
     """Adds the exact two-sided p-value of the discordant counts (binomial with one half)."""
     n, k = (F.col(a) + F.col(b)).cast("int"), F.least(a, b).cast("int")
-    log_fact = lambda m: F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0), lambda s, i: s + F.when(i > 0, F.ln(F.greatest(i, F.lit(1)).cast("double"))).otherwise(0.0))
-    term = lambda i: F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * math.log(2))
-    tail = F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + term(i))
+    # Each term's logarithm from the last one: n over i + 1 is n over i times (n - i) / (i + 1).
+    first = F.struct(F.exp(-n * math.log(2)).alias("sum"), (-n * math.log(2)).alias("log"))
+    step = lambda s, i: F.struct((s["sum"] + F.exp(s["log"] + F.ln((n - i + 1) / i))).alias("sum"), (s["log"] + F.ln((n - i + 1) / i)).alias("log"))
+    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), first, step)["sum"]
     return counts.withColumn("p_value", F.least(F.lit(1.0), 2 * tail))
 
 
@@ -138,3 +141,86 @@ def power(hits: DataFrame, arm: str, item: str, hit: str, replicates: int) -> Da
     deltas = each.groupBy("a", "b", "rep").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("delta"))
     se = deltas.groupBy("a", "b").agg(F.stddev_samp("delta").alias("se"))
     return se.crossJoin(se.agg((2.801585 * F.percentile("se", F.lit(0.5))).alias("median_mde80"))).withColumn("mde80", 2.801585 * F.col("se"))  # one row
+
+
+def _macro_f1(cells: np.ndarray, pred: np.ndarray, weights: np.ndarray, classes: int) -> np.ndarray:
+    """Fixed-label macro-F1 of each row of weights over cells (target, ...); classes without rows give 0."""
+    total = np.zeros(len(weights))
+    for c in range(classes):
+        tp = weights[:, (cells == c) & (pred == c)].sum(1)
+        both = weights[:, cells == c].sum(1) + weights[:, pred == c].sum(1)
+        total += np.divide(2 * tp, both, out=np.zeros(len(weights)), where=both > 0)
+    return total / classes
+
+
+def paired_bootstrap(pairs: DataFrame, group: str, classes: int, replicates: int, metric: str = "macro_f1", level: float = 0.95, seed: int = 1, part: int = 500) -> DataFrame:
+    """(group, n, observed, delta_mean, delta_std, ci_low, ci_high, fraction_above, excludes_zero, mde80) of the metric's
+    difference, b less a, over paired resamples of rows (group, target, a, b).
+
+    Both metrics (macro_f1 over ``classes`` fixed labels, accuracy) depend on the counts of (target, a, b) alone, of which
+    there are classes**3 at most. So rows are counted first, and a replicate is one multinomial draw of these counts,
+    the same for both sides: the very distribution of resampled rows, at a cost that doesn't depend on their number.
+    Replicates are drawn in parts by the tasks.
+    """
+    if metric not in ("macro_f1", "accuracy"):
+        raise ValueError(f"unknown metric {metric}")
+    kind = pairs.schema[group].dataType.simpleString()
+    cells = pairs.groupBy(group).agg(F.count("*").alias("n")).join(
+        pairs.groupBy(group, "target", "a", "b").agg(F.count("*").alias("c")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("target", "a", "b", "c"))).alias("cells")), group
+    )
+    parts = cells.join(pairs.sparkSession.range(-(-replicates // part)).select(F.col("id").alias("part")), how="cross")  # a group's replicates, few rows
+
+    def values(cells, weights: np.ndarray) -> np.ndarray:
+        y, a, b = (np.array([x[k] for x in cells]) for k in ("target", "a", "b"))
+        if metric == "accuracy":
+            return (weights[:, b == y].sum(1) - weights[:, a == y].sum(1)) / weights.sum(1)
+        return _macro_f1(y, b, weights, classes) - _macro_f1(y, a, weights, classes)
+
+    def draw(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                counts = np.array([x["c"] for x in row["cells"]], float)
+                size = min(part, replicates - row["part"] * part)
+                rng = np.random.default_rng([seed, int(row["part"]), zlib.crc32(str(row[group]).encode())])
+                drawn = rng.multinomial(int(row["n"]), counts / counts.sum(), size)
+                out.append((row[group], row["n"], float(values(row["cells"], counts[None])[0]), values(row["cells"], drawn).tolist()))
+            yield pd.DataFrame(out, columns=[group, "n", "observed", "deltas"])
+
+    drawn = parts.repartition("part").mapInPandas(draw, f"{group} {kind}, n long, observed double, deltas array<double>")
+    each = drawn.select(group, "n", "observed", F.explode("deltas").alias("d"))
+    low, high = (1 - level) / 2, (1 + level) / 2
+    out = each.groupBy(group).agg(F.max("n").alias("n"), F.max("observed").alias("observed"), F.avg("d").alias("delta_mean"), F.stddev_samp("d").alias("delta_std"), F.percentile("d", F.array(F.lit(low), F.lit(high))).alias("ci"), F.avg((F.col("d") > 0).cast("int")).alias("fraction_above"))
+    out = out.select(group, "n", "observed", "delta_mean", "delta_std", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "fraction_above")
+    return out.withColumns({"excludes_zero": (F.col("ci_low") > 0) | (F.col("ci_high") < 0), "mde80": 2.801585 * F.col("delta_std")})
+
+
+def counted_bootstrap_auc(rows: DataFrame, group: str, score: str, label: str, replicates: int, level: float = 0.95, seed: int = 1, part: int = 100) -> DataFrame:
+    """(group, auc, ci_low, ci_high, n_used): as ``bootstrap_auc``, by multinomial draws of the counts of (score, label).
+    A task holds the distinct scores of a group."""
+    kind = rows.schema[group].dataType.simpleString()
+    counted = rows.groupBy(group, F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
+    cells = counted.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("s", "p", "q"))).alias("cells"))
+    parts = cells.join(rows.sparkSession.range(-(-replicates // part)).select(F.col("id").alias("part")), how="cross")
+
+    def auc(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        below = np.cumsum(q, 1) - q
+        pairs = p.sum(1) * q.sum(1)
+        return np.divide((p * (below + q / 2)).sum(1), pairs, out=np.full(len(p), np.nan), where=pairs > 0)
+
+    def draw(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                p, q = (np.array([x[k] for x in row["cells"]], float) for k in ("p", "q"))
+                both = np.r_[p, q]
+                rng = np.random.default_rng([seed, int(row["part"]), zlib.crc32(str(row[group]).encode())])
+                drawn = rng.multinomial(int(both.sum()), both / both.sum(), min(part, replicates - row["part"] * part))
+                found = auc(drawn[:, : len(p)], drawn[:, len(p) :])
+                out.append((row[group], float(auc(p[None], q[None])[0]), found[~np.isnan(found)].tolist()))
+            yield pd.DataFrame(out, columns=[group, "auc", "draws"])
+
+    drawn = parts.repartition("part").mapInPandas(draw, f"{group} {kind}, auc double, draws array<double>").select(group, "auc", F.explode_outer("draws").alias("d"))
+    low, high = (1 - level) / 2, (1 + level) / 2
+    out = drawn.groupBy(group).agg(F.max("auc").alias("auc"), F.percentile("d", F.array(F.lit(low), F.lit(high))).alias("ci"), F.count("d").alias("n_used"))
+    return out.select(group, "auc", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "n_used")

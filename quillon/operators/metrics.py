@@ -48,3 +48,10 @@ def class_weights(rows: DataFrame, column: str) -> DataFrame:
     """Inverse frequencies scaled to mean 1."""
     found = rows.groupBy(column).agg(F.count("*").alias("n"))
     return found.withColumn("raw", 1.0 / F.greatest("n", F.lit(1))).withColumn("weight", F.col("raw") / F.avg("raw").over(Window.partitionBy())).drop("raw")
+
+
+def batch_log_loss(rows: DataFrame, run: list[str], batch: str, p_true: str, weight: str, least: float = 1e-12) -> DataFrame:
+    """Cross-entropy with class weights, averaged within batches by weight and over batches by size."""
+    loss = -F.ln(F.greatest(p_true, F.lit(least)))
+    each = rows.groupBy(*run, batch).agg((F.sum(loss * F.col(weight)) / F.sum(weight)).alias("loss"), F.count("*").alias("n"))
+    return each.groupBy(*run).agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("log_loss"))

@@ -17,11 +17,24 @@ def _banded(rows: DataFrame, bands: int) -> DataFrame:
     return rows.withColumn("_b", F.explode(F.array(*words))).select("*", F.col("_b.band").alias("band"), F.col("_b.piece").alias("piece")).drop("_b")
 
 
+BLOCK = 4096  # rows of an id block, as blocks are dealt
+
+
+def _blocked(rows: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Two copies of rows, dealt so that each pair of rows meets once by (lo, hi), the numbers of their id blocks."""
+    own = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    left = own.withColumn("lo", F.col("_own")).withColumn("hi", F.explode(F.sequence("_own", F.lit(blocks - 1))))
+    right = own.withColumn("hi", F.col("_own")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("_own"))))
+    return left, right
+
+
 def near_pairs(rows: DataFrame, max_hamming: int | None, min_cosine: float | None, mode: str = "both", within_class: bool = True) -> DataFrame:
     """Pairs i < j of rows (id, class_name, word, vector) with hamming and cosine.
 
-    mode: both, any, hash or vector. When the hash must agree, candidates come from equal bands of the word (pigeon
-    hole), else from the class alone: then the class must be a small block.
+    mode: both, any, hash or vector. When the hash must agree within 15 bits, candidates come from equal bands of the
+    word (pigeon hole). Else every pair of a class is a candidate, as thresholds on a cosine or on half of all bits
+    rule out none beforehand; rows then meet by pairs of id blocks of some ``BLOCK`` rows, so that a large class is
+    spread over many tasks and none holds it.
     """
     near = F.col("hamming") <= max_hamming if max_hamming is not None else F.lit(True)
     like = F.col("cosine") >= min_cosine if min_cosine is not None else F.lit(True)
@@ -29,9 +42,17 @@ def near_pairs(rows: DataFrame, max_hamming: int | None, min_cosine: float | Non
     on = ["class_name"] if within_class else []
     if mode in ("both", "hash") and max_hamming is not None and max_hamming < 16:
         rows, on = _banded(rows, max_hamming + 1), [*on, "band", "piece"]
-    a = rows.select(*on, F.col("id").alias("i"), F.col("word").alias("wi"), F.col("vector").alias("vi"))
-    b = rows.select(*on, F.col("id").alias("j"), F.col("word").alias("wj"), F.col("vector").alias("vj"))
-    met = a.join(b, on).filter("i < j").withColumns({"hamming": hamming(F.col("wi"), F.col("wj")), "cosine": dot(F.col("vi"), F.col("vj"))})
+        left, right = rows, rows
+    else:
+        largest = rows.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+        (left, right), on = _blocked(rows, -(-largest // BLOCK) or 1), [*on, "lo", "hi"]
+    a = left.select(*on, F.col("id").alias("i"), F.col("word").alias("wi"), F.col("vector").alias("vi"))
+    b = right.select(*on, F.col("id").alias("j"), F.col("word").alias("wj"), F.col("vector").alias("vj"))
+    met = a.join(b, on).filter(F.col("i") != F.col("j")).filter((F.col("lo") < F.col("hi")) | (F.col("i") < F.col("j")) if "lo" in on else F.col("i") < F.col("j"))
+    if "lo" in on:  # pairs of two blocks come in any order
+        turn = F.col("i") > F.col("j")
+        met = met.select(*on, *(F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("i", "j"), ("j", "i"), ("wi", "wj"), ("wj", "wi"), ("vi", "vj"), ("vj", "vi"))))
+    met = met.withColumns({"hamming": hamming(F.col("wi"), F.col("wj")), "cosine": dot(F.col("vi"), F.col("vj"))})
     return met.filter(keep).select(*(["class_name"] if within_class else []), "i", "j", "hamming", "cosine").distinct()
 
 
@@ -61,18 +82,19 @@ def sweep(pairs: DataFrame, grid: list[tuple[int, float]]) -> DataFrame:
     return cells.join(counts, ["max_hamming", "min_cosine"], "left").na.fill(0, ["n_pairs", "n_cross"])
 
 
-def across_classes(rows: DataFrame, min_cosine: float, n: int, blocks: int = 16) -> DataFrame:
+def across_classes(rows: DataFrame, min_cosine: float, n: int) -> DataFrame:
     """The first n pairs i < j of different classes by (i, j) with at least the cosine; the limit is the feature.
 
-    Rows meet by pairs of id blocks: each row goes to ``blocks`` tasks, and no task holds more than two blocks.
+    Rows meet by pairs of id blocks of some ``BLOCK`` rows, and no task holds more than two blocks.
     """
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = rows.select("id", "class_name", "vector", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    a = dealt.select("lo", "hi", F.col("id").alias("i"), F.col("class_name").alias("class_i"), F.col("vector").alias("vi"), F.col("own").alias("bi"))
-    b = dealt.select("lo", "hi", F.col("id").alias("j"), F.col("class_name").alias("class_j"), F.col("vector").alias("vj"), F.col("own").alias("bj"))
-    met = a.join(b, ["lo", "hi"]).filter("i < j and class_i != class_j and least(bi, bj) = lo and greatest(bi, bj) = hi")
-    return met.withColumn("cosine", dot(F.col("vi"), F.col("vj"))).filter(F.col("cosine") >= min_cosine).orderBy("i", "j").limit(n).select("i", "j", "class_i", "class_j", "cosine")
+    left, right = _blocked(rows.select("id", "class_name", "vector"), -(-rows.count() // BLOCK) or 1)
+    a = left.select("lo", "hi", F.col("id").alias("x"), F.col("class_name").alias("cx"), F.col("vector").alias("vx"))
+    b = right.select("lo", "hi", F.col("id").alias("y"), F.col("class_name").alias("cy"), F.col("vector").alias("vy"))
+    met = a.join(b, ["lo", "hi"]).filter("cx != cy and (lo < hi or x < y)").withColumn("cosine", dot(F.col("vx"), F.col("vy"))).filter(F.col("cosine") >= min_cosine)
+    turn = F.col("x") > F.col("y")
+    pick = lambda p, q, name: F.when(turn, F.col(q)).otherwise(F.col(p)).alias(name)
+    met = met.select(pick("x", "y", "i"), pick("y", "x", "j"), pick("cx", "cy", "class_i"), pick("cy", "cx", "class_j"), "cosine")
+    return met.orderBy("i", "j").limit(n)
 
 
 def bands(pairs: DataFrame, edges: list[int]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,10 +21,23 @@ def robustness(rows: DataFrame, run: list[str], condition: str, metric: str, cle
     return out.select(*run, "clean", "mean_stress", F.col(f"w.{metric}").alias("worst"), F.col(f"w.{condition}").alias("worst_condition"), (F.col("clean") - F.col("mean_stress")).alias("drop"), "mean_ratio")
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """(by, n, one column for each of ``at``): percentiles by linear interpolation, nulls left out. Rows are counted by
+    value first and the counts are summed up in a window, so no buffer holds a group."""
+    counted = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count(value).alias("_c"))
+    w = Window.partitionBy(*by)
+    upto = F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    cells = counted.select(*by, "_v", "_c", upto.alias("_hi"), F.sum("_c").over(w).alias("_n"))
+    held = lambda k: (F.col("_hi") - F.col("_c") <= k) & (k < F.col("_hi"))
+    place = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in at.items()}
+    ends = [F.max(F.when(held(f(x)), F.col("_v").cast("double"))).alias(f"_{name}{k}") for name, x in place.items() for k, f in enumerate((F.floor, F.ceil))]
+    out = cells.groupBy(*by).agg(F.max("_n").alias("_n"), *ends)
+    return out.select(*by, F.col("_n").alias("n"), *((F.col(f"_{name}0") + (F.col(f"_{name}1") - F.col(f"_{name}0")) * (x - F.floor(x))).alias(name) for name, x in place.items()))
+
+
 def percentile_bands(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """Percentiles by linear interpolation."""
-    found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, F.array(*(F.lit(p) for p in at.values()))).alias("p"))
-    return found.select(*by, "n", *(F.col("p")[k].alias(name) for k, name in enumerate(at)))
+    return percentiles(rows, by, value, at)
 
 
 def best_with_ties(rows: DataFrame, block: list[str], value: str, digits: int) -> DataFrame:
@@ -48,8 +61,7 @@ def value_shares(rows: DataFrame, column: str) -> DataFrame:
 def distribution(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """(by, metric, n, median, q25, q75) of each metric; nulls don't count."""
     long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics))).alias("m")).select(*by, "m.metric", "m.value")
-    out = long.groupBy(*by, "metric").agg(F.count("value").alias("n"), F.percentile("value", F.array(*map(F.lit, (0.5, 0.25, 0.75)))).alias("q"))
-    return out.select(*by, "metric", "n", *(F.col("q")[k].alias(c) for k, c in enumerate(("median", "q25", "q75"))))
+    return percentiles(long, [*by, "metric"], "value", {"median": 0.5, "q25": 0.25, "q75": 0.75})
 
 
 def stage_latency(rows: DataFrame, stage: str, value: str, order: list[str], warm_up: int, network: float) -> DataFrame:
@@ -68,3 +80,14 @@ def in_declared_order(rows: DataFrame, column: str, order: list[str], last: int
     said = rows.sparkSession.createDataFrame(list(zip(order, range(len(order)))), f"{column} string, pos int")
     placed = rows.join(F.broadcast(said), column, "left").withColumn("pos", F.coalesce("pos", F.lit(last)))
     return placed.withColumn("k", F.row_number().over(Window.orderBy("pos", column)))
+
+
+def mean_and_deviation(mean: str, deviation: str, digits: int) -> Column:
+    """``mean ± deviation`` as a text; a null deviation (one seed) is left out."""
+    number = f"%.{digits}f"
+    return F.when(F.col(deviation).isNull(), F.format_string(number, mean)).otherwise(F.format_string(f"{number} ± {number}", mean, deviation))
+
+
+def bounded_sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """At most n rows in the order of a hash of key and seed; the limit is the feature. A task sends n rows at most."""
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)).cast("binary")), key).limit(n)

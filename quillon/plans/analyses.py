@@ -199,10 +199,11 @@ def accumulation_weights(spark, sf_dir):
     return _epochs(spark, sf_dir).select("user_id", "epoch", (size / F.sum(size).over(Window.partitionBy("user_id", F.floor((F.col("epoch") - 1) / 4)))).alias("weight"))
 
 
-@query(f"WITH {ASSETS} SELECT doc_id, ('0x' || substr(sha256(class_name || '/' || filename || '|noise'), 1, 8))::BIGINT AS noise_seed FROM assets")
+@query(f"WITH {ASSETS} SELECT doc_id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS noise_seed FROM (SELECT doc_id, sha256(class_name || '/' || filename || '|noise') AS h FROM assets)")
 def noise_seeds(spark, sf_dir):
     key = F.concat(F.concat_ws("/", "class_name", "filename"), F.lit("|noise"))
-    return assets(spark, sf_dir).select("doc_id", F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long").alias("noise_seed"))
+    turned = F.concat(*(F.substring(F.sha2(key, 256), k, 2) for k in (7, 5, 3, 1)))  # the first four bytes, least first
+    return assets(spark, sf_dir).select("doc_id", F.conv(turned, 16, 10).cast("long").alias("noise_seed"))
 
 
 @query(f"""WITH {ASSETS}, tr AS (SELECT DISTINCT canonical_id FROM assets WHERE split = 'train'), va AS (SELECT DISTINCT canonical_id FROM assets WHERE split = 'val')
