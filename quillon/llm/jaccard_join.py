@@ -45,7 +45,7 @@ from .common import Workspace, byte_words, map_batches, named, on_workers, shard
 from .graph import components
 
 MOST_SLOT_BITS, MOST_FREQUENT = 29, 1_000_000
-HELD_TOKENS = 2_000_000  # that a task adds up before it sends them
+HELD_TOKENS = 1_000_000  # that a task adds up before it sends them
 PARITY_BITS = 1024
 MOST_STARS, HEAVY = 4, 4096  # rounds that compare a bucket with one of its members; those after the first are for buckets of more members
 BLOCK = 1024  # members of a large bucket that meet another block in one place
@@ -284,6 +284,7 @@ def indexed(texts: DataFrame, maps, size: int, percent: int, id_type: str) -> Da
 
 
 PARTNERS = 256  # members that one copy of a head's set is compared with
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _wanted_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -350,7 +351,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
                             out.append((a, sid))
                 yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    links = ws.save(stream.mapInArrow(compare, "a bigint, b bigint"), f"{tag}_links")
+    conf = texts.sparkSession.conf
+    before = conf.get(BATCH_CONF)
+    conf.set(BATCH_CONF, 512)  # whole sets are wide rows; what else starts meanwhile gets smaller batches, nothing more
+    try:
+        links = ws.save(stream.mapInArrow(compare, "a bigint, b bigint"), f"{tag}_links")
+    finally:
+        conf.set(BATCH_CONF, before)
     ws.drop(f"{tag}_placed", f"{tag}_wanted")
     return links
 
