@@ -174,7 +174,7 @@ def of_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     known = ws.save(training_labels(labels, id_column, label_column, modulus, held), "known")
     texts = _texts(docs, id_column, text_column)
     if known.count() <= most:
-        rows = vectors_of(texts.join(F.broadcast(known), "_id"), "label")
+        rows = ws.save(vectors_of(texts.join(F.broadcast(known), "_id"), "label"), "rows")  # one Python worker a task
     else:
         rows = ws.save(vectors_of(texts), "vectors").join(known, "_id")
     model = Discriminant(*class_moments(rows.select("label", "x")))
