@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +14,11 @@ from pyspark.sql import functions as F
 def _checkpoints(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+        made = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, made, True)
+        sc.setCheckpointDir(made)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
