@@ -70,7 +70,9 @@ def word_counts(texts: DataFrame, bits: int, ws: Workspace) -> DataFrame:
 
     on_workers(texts.sparkSession)
 
-    def packed(train: Counter, total: Counter) -> pa.RecordBatch:
+    def packed(train: Counter, held: Counter) -> pa.RecordBatch:
+        total = Counter(train)
+        total.update(held)
         keys = np.fromiter(map(key_of, total), np.uint64, len(total))
         order = np.argsort(keys)
         all_n = np.fromiter(total.values(), np.int64, len(total))[order]
@@ -82,20 +84,17 @@ def word_counts(texts: DataFrame, bits: int, ws: Workspace) -> DataFrame:
 
     def run(batches):
         """A task adds its words up and sends them when there are many, so a word comes a few times from each task."""
-        train, total = Counter(), Counter()
+        train, held = Counter(), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for text, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = byte_words(text)
-                    total.update(words)
-                    if not held:
-                        train.update(words)
-                if len(total) >= HELD_WORDS:
-                    yield packed(train, total)
-                    train, total = Counter(), Counter()
-        if total:
-            yield packed(train, total)
+                for text, out in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    (held if out else train).update(byte_words(text))
+                if len(train) + len(held) >= HELD_WORDS:
+                    yield packed(train, held)
+                    train, held = Counter(), Counter()
+        if train or held:
+            yield packed(train, held)
 
     schema = "shard int, keys binary, train binary, total binary"
 
