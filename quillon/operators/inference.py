@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.keys import md5_mod
-from quillon.operators.metrics import binary_auc
+from quillon.operators.metrics import averages, binary_auc
 
 
 def contingency(pairs: DataFrame, group: list[str], a: str = "ok_a", b: str = "ok_b") -> DataFrame:
@@ -153,20 +153,21 @@ def _macro_f1(cells: np.ndarray, pred: np.ndarray, weights: np.ndarray, classes:
     return total / classes
 
 
-def paired_bootstrap(pairs: DataFrame, group: str, classes: int, replicates: int, metric: str = "macro_f1", level: float = 0.95, seed: int = 1, part: int = 500) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, group: str, classes: int, replicates: int, metric: str = "macro_f1", level: float = 0.95, seed: int = 1, part: int = 500, weight: str | None = None) -> DataFrame:
     """(group, n, observed, delta_mean, delta_std, ci_low, ci_high, fraction_above, excludes_zero, mde80) of the metric's
     difference, b less a, over paired resamples of rows (group, target, a, b).
 
     Both metrics (macro_f1 over ``classes`` fixed labels, accuracy) depend on the counts of (target, a, b) alone, of which
     there are classes**3 at most. So rows are counted first, and a replicate is one multinomial draw of these counts,
     the same for both sides: the very distribution of resampled rows, at a cost that doesn't depend on their number.
-    Replicates are drawn in parts by the tasks.
+    Replicates are drawn in parts by the tasks. ``weight`` names a column by which a row stands for several.
     """
     if metric not in ("macro_f1", "accuracy"):
         raise ValueError(f"unknown metric {metric}")
     kind = pairs.schema[group].dataType.simpleString()
-    cells = pairs.groupBy(group).agg(F.count("*").alias("n")).join(
-        pairs.groupBy(group, "target", "a", "b").agg(F.count("*").alias("c")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("target", "a", "b", "c"))).alias("cells")), group
+    many = F.sum(weight) if weight else F.count("*")
+    cells = pairs.groupBy(group).agg(many.alias("n")).join(
+        pairs.groupBy(group, "target", "a", "b").agg(many.alias("c")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("target", "a", "b", "c"))).alias("cells")), group
     )
     parts = cells.join(pairs.sparkSession.range(-(-replicates // part)).select(F.col("id").alias("part")), how="cross")  # a group's replicates, few rows
 
@@ -224,3 +225,29 @@ def counted_bootstrap_auc(rows: DataFrame, group: str, score: str, label: str, r
     low, high = (1 - level) / 2, (1 + level) / 2
     out = drawn.groupBy(group).agg(F.max("auc").alias("auc"), F.percentile("d", F.array(F.lit(low), F.lit(high))).alias("ci"), F.count("d").alias("n_used"))
     return out.select(group, "auc", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "n_used")
+
+
+def power_in_full(preds: DataFrame, arm: str, item: str, classes: int, replicates: int, family: str | None = None, fraction: float = 0.5) -> DataFrame:
+    """``paired_bootstrap`` of macro-F1 for every pair of arms (of one family, if a column is named), with what the set
+    can resolve: ci_half_width, the pairs' median_mde80, the headroom (macro-F1 of an oracle that is right where any arm
+    is, less that of the best arm, of equal ones the first by name), and whether the median is at most ``fraction`` of it.
+
+    ``preds`` has one row an arm and item: arm, item, target, pred, each item with one target. A pair needs its counts of
+    (target, a, b) alone, so its replicates are drawn by itself and no item is numbered; arms are few.
+    """
+    own = preds.select(arm, item, "target", "pred", *([family] if family else []))
+    left = own.select(F.col(arm).alias("_l"), item, "target", F.col("pred").alias("a"), *([family] if family else []))
+    right = own.select(F.col(arm).alias("_r"), item, F.col("pred").alias("b"), *([family] if family else []))
+    pairs = left.join(right, [item, *([family] if family else [])]).filter("_l < _r")
+    named = pairs.groupBy("_l", "_r", "target", "a", "b").agg(F.count("*").alias("_n")).withColumn("pair", F.to_json(F.array("_l", "_r")))
+    out = paired_bootstrap(named, "pair", classes, replicates, weight="_n")
+    f1 = averages(own, [arm], classes).select(arm, F.col("macro_f1_fixed").alias("_f1"))
+    best = f1.agg(F.min(F.struct((-F.col("_f1")).alias("f"), F.col(arm).alias("arm"))).alias("_best"))  # one row
+    hit = F.col("target") == F.col("pred")
+    oracle = own.crossJoin(F.broadcast(best)).groupBy(item).agg(F.max("target").alias("target"), F.bool_or(hit).alias("_any"), F.max(F.when(F.col(arm) == F.col("_best.arm"), F.col("pred"))).alias("_own"))
+    oracle = oracle.select(F.lit(0).alias("_run"), "target", F.when(F.col("_any"), F.col("target")).otherwise(F.col("_own")).alias("pred"))
+    room = averages(oracle, ["_run"], classes).crossJoin(best).select((F.col("macro_f1_fixed") + F.col("_best.f")).alias("headroom"))  # one row
+    median = out.agg(F.percentile("mde80", F.lit(0.5)).alias("median_mde80"))  # one row
+    ends = F.from_json("pair", "array<string>")
+    out = out.withColumns({"a": ends[0], "b": ends[1], "ci_half_width": (F.col("ci_high") - F.col("ci_low")) / 2}).drop("pair")
+    return out.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(room)).withColumn("go", F.col("median_mde80") <= fraction * F.col("headroom"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +103,84 @@ def blur(sigma: float):
     return f
 
 
-#: The named corruptions with their groups and strengths. JPEG compression has no kernel here.
+#: The quantisation tables of the JPEG standard's annex K, for brightness and for colour.
+BRIGHT = (
+    (16, 11, 10, 16, 24, 40, 51, 61),
+    (12, 12, 14, 19, 26, 58, 60, 55),
+    (14, 13, 16, 24, 40, 57, 69, 56),
+    (14, 17, 22, 29, 51, 87, 80, 62),
+    (18, 22, 37, 56, 68, 109, 103, 77),
+    (24, 35, 55, 64, 81, 104, 113, 92),
+    (49, 64, 78, 87, 103, 121, 120, 101),
+    (72, 92, 95, 98, 112, 100, 103, 99),
+)
+COLOUR = (
+    (17, 18, 24, 47, 99, 99, 99, 99),
+    (18, 21, 26, 66, 99, 99, 99, 99),
+    (24, 26, 56, 99, 99, 99, 99, 99),
+    (47, 66, 99, 99, 99, 99, 99, 99),
+    (99, 99, 99, 99, 99, 99, 99, 99),
+    (99, 99, 99, 99, 99, 99, 99, 99),
+    (99, 99, 99, 99, 99, 99, 99, 99),
+    (99, 99, 99, 99, 99, 99, 99, 99),
+)
+
+
+def jpeg_tile(rgb: np.ndarray, quality: int) -> np.ndarray:
+    """An 8-bit tile after JPEG's lossy steps: colour halved in both directions by averages, blocks of 8x8 transformed,
+    quantised and brought back, colour doubled by three parts of the nearest value and one of the next in each direction.
+    Entropy coding loses nothing and is left out."""
+    scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+    tables = [np.clip((np.array(t) * scale + 50) // 100, 1, 255) for t in (BRIGHT, COLOUR)]
+    basis = np.sqrt(np.where(np.arange(8)[:, None] == 0, 1, 2) / 8) * np.cos(math.pi * (np.arange(8)[None] + 0.5) * np.arange(8)[:, None] / 8)
+    h, w = rgb.shape[:2]
+    a = np.pad(rgb.astype(float), ((0, -h % 16), (0, -w % 16), (0, 0)), mode="edge")
+
+    def coded(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
+        blocks = plane.reshape(plane.shape[0] // 8, 8, -1, 8).swapaxes(1, 2) - 128
+        kept = np.rint(basis @ blocks @ basis.T / table) * table
+        return np.clip(np.rint(basis.T @ kept @ basis + 128), 0, 255).swapaxes(1, 2).reshape(plane.shape)
+
+    luma_ = np.rint(a @ [0.299, 0.587, 0.114])
+    blue, red = (np.rint(128 + (a[..., c] - a @ [0.299, 0.587, 0.114]) / k) for c, k in ((2, 1.772), (0, 1.402)))
+
+    def doubled(plane: np.ndarray) -> np.ndarray:
+        plane = plane[: (h + 1) // 2, : (w + 1) // 2]
+        for _ in range(2):  # along each axis in turn
+            wide = np.pad(plane, ((1, 1), (0, 0)), mode="edge")
+            plane = np.stack([(3 * plane + wide[:-2]) / 4, (3 * plane + wide[2:]) / 4], 1).reshape(-1, plane.shape[1]).T
+        return np.rint(plane)[:h, :w]
+
+    half = lambda p: np.rint(p.reshape(p.shape[0] // 2, 2, -1, 2).mean((1, 3)))
+    y = coded(luma_, tables[0])[:h, :w]
+    cb, cr = (doubled(coded(half(np.clip(p, 0, 255)), tables[1])) - 128 for p in (blue, red))
+    back = np.stack([y + 1.402 * cr, y - (0.114 * 1.772 * cb + 0.299 * 1.402 * cr) / 0.587, y + 1.772 * cb], -1)
+    return np.clip(np.rint(back), 0, 255)
+
+
+def jpeg(quality: int, side: int = 128):
+    """JPEG's losses at a quality. A pixel depends on its block of 16x16 and, by the doubled colour, on the blocks beside
+    it; so tiles of ``side``, a multiple of 16, are done apart, each with one block around it. A tile lacking pixels
+    raises."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["y", "x"])
+        h, w = (int(rows[c].max() - rows[c].min() + 1) for c in ("y", "x"))
+        rows[list(RGB)] = jpeg_tile(np.rint(rows[list(RGB)].to_numpy() * 255).reshape(h, w, 3), quality).reshape(-1, 3) / 255
+        return rows[(rows["y"] // side == rows["_ty"]) & (rows["x"] // side == rows["_tx"])]
+
+    def f(d: DataFrame) -> DataFrame:
+        tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 16) / side), F.floor((F.col(c) + 16) / side)))
+        d = d.select("image_id", "y", "x", *(F.col(c).cast("double").alias(c) for c in RGB))
+        near = d.withColumn("_ty", tiles("y")).withColumn("_tx", tiles("x"))
+        s = d.groupBy("image_id").agg(F.floor(F.max("y") / side).alias("_my"), F.floor(F.max("x") / side).alias("_mx"))
+        near = near.join(s, "image_id").filter("_ty between 0 and _my and _tx between 0 and _mx").drop("_my", "_mx")
+        return near.groupBy("image_id", "_ty", "_tx").applyInPandas(one, near.schema).drop("_ty", "_tx")
+
+    return f
+
+
+#: The named corruptions with their groups and strengths.
 PERTURBATIONS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "unperturbed": ("unperturbed", lambda d: d),
     "brightness_up": ("brightness/contrast", brightness(0.20)),
@@ -116,11 +195,15 @@ PERTURBATIONS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "noise_heavy": ("gaussian noise", noise(0.08, "noise_heavy")),
     "blur_light": ("blur", blur(1.0)),
     "blur_heavy": ("blur", blur(2.5)),
+    "jpeg_q60": ("jpeg compression", jpeg(60)),
+    "jpeg_q30": ("jpeg compression", jpeg(30)),
     "shadow_left": ("shadow", shadow("left")),
     "shadow_right": ("shadow", shadow("right")),
     "wb_warm": ("white balance", balance((1.12, 1.03, 0.90))),
     "wb_cool": ("white balance", balance((0.90, 1.02, 1.12))),
 }
+if len(PERTURBATIONS) != 19:
+    raise RuntimeError(f"18 corruptions and the unperturbed image are expected, found {len(PERTURBATIONS)} entries")
 
 
 def perturbed(pixels: DataFrame, names: list[str]) -> DataFrame:

@@ -265,8 +265,8 @@ def perturbed_colours(spark, sf_dir):
 
 @query(None)
 def perturbed_neighbourhoods(spark, sf_dir):
-    """Mean channels under hue turns, noise and blur; the tests hold the kernels against NumPy."""
-    names = ["hue_pos", "hue_neg", "noise_light", "noise_heavy", "blur_light", "blur_heavy"]
+    """Mean channels under hue turns, noise, blur and JPEG's losses; the tests hold the kernels against NumPy."""
+    names = ["hue_pos", "hue_neg", "noise_light", "noise_heavy", "blur_light", "blur_heavy", "jpeg_q60", "jpeg_q30"]
     return pixels.perturbed(_grid(spark, sf_dir), names).groupBy("perturbation").agg(*(F.avg(c).alias(c) for c in pixels.RGB))
 
 

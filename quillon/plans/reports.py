@@ -369,3 +369,9 @@ def bootstrap_auc_in_full(spark, sf_dir):
     """AUC with the interval of 2,000 resamples; replicates that lack a class are left out."""
     p = predictions(spark, sf_dir).filter(F.col("arm") == list(ARMS)[-1]).withColumn("ok", F.col("pred") == F.col("target"))
     return inference.counted_bootstrap_auc(p, "seed", "p_true", "ok", 2_000)
+
+
+@query(None)
+def power_in_full(spark, sf_dir):
+    """What the evaluation set can resolve: macro-F1 of every pair of arms over 2,000 resamples, and go or no-go."""
+    return inference.power_in_full(predictions(spark, sf_dir).filter("seed = 42"), "arm", "image_id", CLASSES, 2_000)

@@ -8,9 +8,13 @@ import re
 import sys
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import rasters
+from quillon.operators import images as whole
+
 IMAGES = ("jpg", "jpeg", "png", "bmp", "webp")
 
 
@@ -57,6 +61,22 @@ def decoded(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter("height > 0"), rows.filter("height <= 0").select("path")
 
 
+def upright(spark: SparkSession, root: str) -> DataFrame:
+    """Readable images under a folder, turned as their orientation tags ask. Files are read twice: decoded, and whole for
+    the tag; only the tags are joined."""
+
+    @F.pandas_udf("int")
+    def tag(content: pd.Series) -> pd.Series:
+        return content.map(rasters.orientation)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    tags = files.select("path", tag("content").alias("orientation")).filter("orientation != 1")
+    plain = lambda: F.regexp_replace("path", "^file:/+", "/").alias("_plain")
+    good, _ = decoded(spark, root)
+    met = good.withColumn("_plain", plain()).join(tags.select(plain(), "orientation"), "_plain", "left").drop("_plain")
+    return whole.upright(met, "path")
+
+
 def pixels(images: DataFrame) -> DataFrame:
     """(path, x, y, r, g, b), values from 0 to 1, of decoded images of three channels."""
     at = lambda k: F.conv(F.hex(F.substring("data", F.col("_p") * 3 + k, F.lit(1))), 16, 10).cast("double") / 255
