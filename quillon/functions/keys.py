@@ -85,3 +85,14 @@ def flags(named: dict[str, Column]) -> Column:
     """Command-line flags: a boolean stands alone if true and is left out if not, nulls are left out."""
     parts = [F.when(F.typeof(v) == "boolean", F.when(v.cast("string") == "true", f"--{k}")).when(v.isNotNull(), F.concat(F.lit(f"--{k} "), v.cast("string"))) for k, v in named.items()]
     return F.concat_ws(" ", *parts)
+
+
+def power_of_ten(text: Column) -> Column:
+    """A number written with an exponent, such as 5e-04, as LaTeX."""
+    part = F.split(text, "e")
+    return F.concat(F.lit("$"), part[0], F.lit(r"\times10^{"), part[1].cast("int").cast("string"), F.lit("}$"))
+
+
+def review_note(verdict: Column) -> Column:
+    """Ambiguous stays; any other verdict suspects the label; none is a dash."""
+    return F.when(verdict == "Ambiguous", "Ambiguous").when(verdict != "", "Suspected mislabel").otherwise("--")

@@ -102,3 +102,14 @@ def manifest_lock(files: DataFrame, manifest_sha256: str, counts: dict[tuple[str
     have = files.groupBy("split", "class_name").agg(F.count("*").alias("have"))
     off = want.join(have, ["split", "class_name"], "full_outer").filter("not want <=> have")
     return wrong.unionByName(off.select(F.format_string("%s/%s: %s, not %s", "split", "class_name", F.coalesce(F.col("have").cast("string"), F.lit("none")), F.coalesce(F.col("want").cast("string"), F.lit("none"))).alias("problem")))
+
+
+def shared_items(rows: DataFrame, run: list[str], columns: list[str]) -> DataFrame:
+    """(run, n, low, high, agrees): rows of each run, two sums of hashes of the columns, and whether all three are those of
+    the first run. The order of rows doesn't count; null columns count as the word null."""
+    text = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns)))
+    part = lambda k: F.sum(F.conv(F.substring(text, k, 8), 16, 10).cast("long"))
+    out = rows.groupBy(*run).agg(F.count("*").alias("n"), part(1).alias("low"), part(9).alias("high"))
+    first = out.agg(F.min(F.struct(*run, "n", "low", "high")).alias("_f"))  # one row
+    same = (F.col("n") == F.col("_f.n")) & (F.col("low") == F.col("_f.low")) & (F.col("high") == F.col("_f.high"))
+    return out.crossJoin(F.broadcast(first)).withColumn("agrees", same).drop("_f")

@@ -75,13 +75,36 @@ def fisher_exact(counts: DataFrame, cells: tuple[str, str, str, str]) -> DataFra
     return counts.withColumn("fisher_p", p_value(*cells))
 
 
-def mann_whitney(rows: DataFrame, group: list[str], value: str, flag: str) -> DataFrame:
-    """u of the flagged rows, the tie-corrected z with continuity correction, and the two-sided normal p-value. Rows
-    are counted by value first. A missing side, or all values equal, gives null z and p."""
+def _subset_tail(u: float, a: int, b: int) -> float:
+    """Two-sided exact p-value of u without ties: the share of rank sets at least as far out, doubled, at most 1."""
+    few, many = min(a, b), max(a, b)
+    ways = [1]  # ways[s]: sets of the ranks so far whose excess over the least sum is s
+    for k in range(1, few + 1):  # times (1 - x^(many + k)) / (1 - x^k), in whole numbers
+        long = ways + [0] * (many + k)
+        for s in range(len(ways)):
+            long[s + many + k] -= ways[s]
+        for s in range(k, len(long)):
+            long[s] += long[s - k]
+        ways = long[: few * many + 1]
+    far = int(max(u, a * b - u))
+    return min(1.0, 2 * sum(ways[far:]) / sum(ways))
+
+
+def mann_whitney(rows: DataFrame, group: list[str], value: str, flag: str, exact: int = 8, most: int = 20_000) -> DataFrame:
+    """u of the flagged rows, the tie-corrected z with continuity correction, and the two-sided p-value: the normal one,
+    or the exact one if a side has at most ``exact`` rows, no values tie, and u has at most ``most`` values. Rows are
+    counted by value first. A missing side, or all values equal, gives null z and p."""
 
     @F.pandas_udf("double")
-    def tail(z: pd.Series) -> pd.Series:
-        return z.map(lambda x: None if pd.isna(x) else math.erfc(x / math.sqrt(2)))
+    def tail(z: pd.Series, u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series) -> pd.Series:
+        def one(z, u, a, b, ties):
+            if pd.isna(z):
+                return None
+            if ties == 0 and min(a, b) <= exact and a * b <= most:
+                return _subset_tail(u, int(a), int(b))
+            return math.erfc(z / math.sqrt(2))
+
+        return pd.Series([one(*r) for r in zip(z, u, a, b, ties)], dtype="float64")
 
     cells = rows.groupBy(*group, value).agg(F.count("*").alias("t"), F.sum(F.col(flag).cast("long")).alias("k"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -93,7 +116,7 @@ def mann_whitney(rows: DataFrame, group: list[str], value: str, flag: str) -> Da
     spread = F.sqrt(a * b / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     sums = sums.withColumn("z", F.greatest(F.lit(0.0), F.try_divide(F.abs(F.col("u") - a * b / 2) - 0.5, spread)))
     sums = sums.withColumn("z", F.when(spread > 0, F.col("z")))
-    return sums.select(*group, "u", "z", tail("z").alias("p_value"))
+    return sums.select(*group, "u", "z", tail("z", "u", a, b, "ties").alias("p_value"))
 
 
 def alignment(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:
@@ -251,3 +274,31 @@ def power_in_full(preds: DataFrame, arm: str, item: str, classes: int, replicate
     ends = F.from_json("pair", "array<string>")
     out = out.withColumns({"a": ends[0], "b": ends[1], "ci_half_width": (F.col("ci_high") - F.col("ci_low")) / 2}).drop("pair")
     return out.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(room)).withColumn("go", F.col("median_mde80") <= fraction * F.col("headroom"))
+
+
+def favoured(intervals: DataFrame, variant: str, ci_low: str, least: int = 2) -> DataFrame:
+    """(variant, n_seeds, n_favoured, improves): a variant may be said to improve if its interval lies above zero on at
+    least so many seeds."""
+    out = intervals.groupBy(variant).agg(F.count("*").alias("n_seeds"), F.count_if(F.col(ci_low) > 0).alias("n_favoured"))
+    return out.withColumn("improves", F.col("n_favoured") >= least)
+
+
+def framing(claims: DataFrame, means: DataFrame, variant: str, metric: str, control: str) -> DataFrame:
+    """Adds to ``favoured`` the variant's mean metric, the control arm's, and the framing: A if the variant improves and
+    its mean is at least the control's, else B. ``means`` has one row a variant."""
+    at = means.filter(F.col(variant) == control).select(F.col(metric).alias("control_mean"))  # one row
+    out = claims.join(means.select(variant, F.col(metric).alias("mean")), variant).crossJoin(F.broadcast(at))
+    return out.withColumn("framing", F.when(F.col("improves") & (F.col("mean") >= F.col("control_mean")), "A").otherwise("B"))
+
+
+def clipped_fit(rows: DataFrame, group: list[str], x: str, y: str, low: float, high: float, least: int = 500) -> DataFrame:
+    """(group, gain, shift, n_inner, n): the least squares line through the points within the bounds, or through all if
+    fewer than ``least`` are."""
+    inner = F.col(x).between(low, high)
+    line = lambda f: F.when(F.col("n_inner") >= least, F.col(f"_{f}i")).otherwise(F.col(f"_{f}a"))
+    at = lambda keep: (F.when(keep, F.col(y)), F.when(keep, F.col(x)))
+    every = F.lit(True)
+    out = rows.groupBy(*group).agg(
+        F.count_if(inner).alias("n_inner"), F.count("*").alias("n"), F.regr_slope(*at(inner)).alias("_gi"), F.regr_slope(*at(every)).alias("_ga"), F.regr_intercept(*at(inner)).alias("_si"), F.regr_intercept(*at(every)).alias("_sa")
+    )
+    return out.select(*group, line("g").alias("gain"), line("s").alias("shift"), "n_inner", "n")

@@ -253,3 +253,19 @@ def flip_axis(source: DataFrame, target: DataFrame) -> DataFrame:
     mae = met.groupBy("image_id", "k").agg(F.avg(F.abs(F.col("_v") - F.col("v"))).alias("mae"))
     best = mae.groupBy("image_id").agg(F.min(F.struct(F.round("mae", 9).alias("mae"), "k")).alias("m"))
     return best.select("image_id", F.element_at(F.array(*map(F.lit, FLIPS)), F.col("m.k") + 1).alias("axis"), "m.mae")
+
+
+def colour_moments(pixels: DataFrame) -> DataFrame:
+    """(image_id, sin_hue, cos_hue, s_mean, v_mean, s_std, v_std), deviations of the population."""
+    h, s, v = hsv(F.col("r"), F.col("g"), F.col("b"))
+    p = pixels.select("image_id", (2 * math.pi * h).alias("_t"), s.alias("_s"), v.alias("_v"))
+    return p.groupBy("image_id").agg(F.avg(F.sin("_t")).alias("sin_hue"), F.avg(F.cos("_t")).alias("cos_hue"), F.avg("_s").alias("s_mean"), F.avg("_v").alias("v_mean"), F.stddev_pop("_s").alias("s_std"), F.stddev_pop("_v").alias("v_std"))
+
+
+def colour_histogram(pixels: DataFrame, bins: tuple[int, int, int] = (18, 8, 8)) -> DataFrame:
+    """(image_id, channel, bin, share) of hue, saturation and value over equal bins of 0..1, the last one closed; empty
+    bins are left out."""
+    parts = F.array(*(F.struct(F.lit(c).alias("channel"), F.least(F.floor(x * n), F.lit(n - 1)).cast("int").alias("bin")) for c, x, n in zip("hsv", hsv(F.col("r"), F.col("g"), F.col("b")), bins)))
+    cells = pixels.select("image_id", F.explode(parts).alias("c")).groupBy("image_id", "c.channel", "c.bin").agg(F.count("*").alias("n"))
+    size = pixels.groupBy("image_id").agg(F.count("*").alias("_size"))
+    return cells.join(size, "image_id").select("image_id", "channel", "bin", (F.col("n") / F.col("_size")).alias("share"))

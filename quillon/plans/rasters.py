@@ -1,11 +1,11 @@
-"""Registered queries of whole-image kernels. They have no twin: the tests hold the kernels against plain loops."""
+"""Registered queries of image features. Whole-image kernels have no twin: the tests hold them against plain loops."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quillon.operators import images, pixels
-from quillon.plans.analyses import _grid
+from quillon.plans.analyses import GRID, _grid
 from quillon.plans.catalog import query
 
 
@@ -48,3 +48,19 @@ def derivative_parameters(spark, sf_dir):
         derived = part if derived is None else derived.unionByName(part)
     derived = derived.withColumn("derivative", F.concat_ws("_", F.col("image_id").cast("string"), "op"))
     return images.derivative_parameters(derived, _images(spark, sf_dir), ["image_id"], "derivative")
+
+
+COLOURS = f"""WITH {GRID}, m AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM px),
+ h0 AS (SELECT *, CASE WHEN d < 1e-10 THEN 0 WHEN v = r THEN (g - b) / (d + 1e-10) WHEN v = g THEN (b - r) / (d + 1e-10) + 2 ELSE (r - g) / (d + 1e-10) + 4 END / 6 AS h0, CASE WHEN v > 0 THEN d / (v + 1e-10) ELSE 0 END AS s FROM m),
+ c AS (SELECT image_id, CASE WHEN h0 < 0 THEN h0 + 1 ELSE h0 END AS h, s, v FROM h0)"""
+
+
+@query(COLOURS + " SELECT image_id, round(avg(sin(2 * pi() * h)), 6) AS sin_hue, round(avg(cos(2 * pi() * h)), 6) AS cos_hue, round(avg(s), 6) AS s_mean, round(avg(v), 6) AS v_mean, round(stddev_pop(s), 6) AS s_std, round(stddev_pop(v), 6) AS v_std FROM c GROUP BY 1")
+def colour_moments(spark, sf_dir):
+    return pixels.colour_moments(_grid(spark, sf_dir))
+
+
+@query(COLOURS + """, b AS (SELECT image_id, unnest([{'channel': 'h', 'bin': least(floor(h * 18), 17)::INTEGER}, {'channel': 's', 'bin': least(floor(s * 8), 7)::INTEGER}, {'channel': 'v', 'bin': least(floor(v * 8), 7)::INTEGER}]) AS c FROM c)
+ SELECT image_id, c.channel AS channel, c.bin AS bin, round(count(*) / 64.0, 6)::DOUBLE AS share FROM b GROUP BY 1, 2, 3""")
+def colour_histogram(spark, sf_dir):
+    return pixels.colour_histogram(_grid(spark, sf_dir))

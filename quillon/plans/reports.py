@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import keys as K
 from quillon.functions import masks as M
 from quillon.functions import vectors as V
-from quillon.operators import consensus, contracts, inference, metrics, summary
+from quillon.operators import consensus, contracts, inference, metrics, pairs, summary
 from quillon.plans.catalog import AB, ASSETS, CELLS, DECIDE, PREDS, VECTORS, _ab, _decided, _pairs, query
 from quillon.sources.tables import ARMS, CLASSES, assets, predictions, table, vectors
 
@@ -375,3 +375,49 @@ def bootstrap_auc_in_full(spark, sf_dir):
 def power_in_full(spark, sf_dir):
     """What the evaluation set can resolve: macro-F1 of every pair of arms over 2,000 resamples, and go or no-go."""
     return inference.power_in_full(predictions(spark, sf_dir).filter("seed = 42"), "arm", "image_id", CLASSES, 2_000)
+
+
+@query(f"""WITH {PREDS}, d AS (SELECT a.arm, a.seed, avg((a.pred = a.target)::INT - (b.pred = b.target)::INT) AS m, stddev_samp((a.pred = a.target)::INT - (b.pred = b.target)::INT) / sqrt(count(*)) AS se FROM preds a JOIN preds b ON a.seed = b.seed AND a.image_id = b.image_id AND b.arm = 'A2' WHERE a.arm <> 'A2' GROUP BY ALL),
+ f AS (SELECT arm, count(*) AS n_seeds, count(*) FILTER (m - 1.959964 * se > 0) AS n_favoured FROM d GROUP BY 1), acc AS (SELECT arm, avg((pred = target)::INT) AS m FROM preds GROUP BY 1)
+ SELECT f.*, n_favoured >= 2 AS improves, round(acc.m, 6) AS mean, round(c.m, 6) AS control_mean, CASE WHEN n_favoured >= 2 AND acc.m >= c.m THEN 'A' ELSE 'B' END AS framing FROM f JOIN acc USING (arm) JOIN acc c ON c.arm = 'A1'""")
+def framing_decision(spark, sf_dir):
+    """Which arms may be said to improve on one arm, and the framing that this and a control arm decide; intervals are
+    normal ones of the accuracy's difference, so that SQL can say them."""
+    p = predictions(spark, sf_dir).withColumn("hit", (F.col("pred") == F.col("target")).cast("int"))
+    base = p.filter("arm = 'A2'").select("seed", "image_id", F.col("hit").alias("_b"))
+    d = p.filter("arm != 'A2'").join(base, ["seed", "image_id"]).groupBy("arm", "seed").agg((F.avg(F.col("hit") - F.col("_b")) - 1.959964 * F.stddev_samp(F.col("hit") - F.col("_b")) / F.sqrt(F.count("*"))).alias("ci_low"))
+    means = p.groupBy("arm").agg(F.avg("hit").alias("accuracy"))
+    return inference.framing(inference.favoured(d, "arm", "ci_low"), means, "arm", "accuracy", "A1")
+
+
+@query("""WITH g AS (SELECT l_suppkey % 40 AS grp, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem), f AS (SELECT grp, count(*) FILTER (x BETWEEN 5 AND 45) AS n_inner, count(*) AS n, regr_slope(y, x) FILTER (x BETWEEN 5 AND 45) AS gi, regr_slope(y, x) AS ga, regr_intercept(y, x) FILTER (x BETWEEN 5 AND 45) AS si, regr_intercept(y, x) AS sa FROM g GROUP BY 1)
+ SELECT grp, round(CASE WHEN n_inner >= 500 THEN gi ELSE ga END, 6) AS gain, round(CASE WHEN n_inner >= 500 THEN si ELSE sa END, 6) AS shift, n_inner, n FROM f""")
+def clipped_fit(spark, sf_dir):
+    """A linear fit without the clipped ends, or of all points where fewer than 500 are left."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("grp"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    return inference.clipped_fit(rows, ["grp"], "x", "y", 5, 45)
+
+
+@query("""WITH c AS (SELECT o_orderkey AS run, printf('%.0e', ((o_orderkey % 9 + 1) / pow(10, o_orderkey % 5 + 1))::DOUBLE) AS e, CASE o_orderkey % 4 WHEN 0 THEN 'Ambiguous' WHEN 1 THEN 'Blight' WHEN 2 THEN '' END AS verdict FROM orders)
+ SELECT run, '$' || split_part(e, 'e', 1) || '\\times10^{' || split_part(e, 'e', 2)::INT || '}$' AS rate, CASE WHEN verdict = 'Ambiguous' THEN 'Ambiguous' WHEN verdict <> '' THEN 'Suspected mislabel' ELSE '--' END AS note FROM c""")
+def report_cells(spark, sf_dir):
+    """Learning rates as mantissa and power of ten, and review verdicts as notes."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("run"), F.format_string("%.0e", (k % 9 + 1) / F.pow(F.lit(10.0), k % 5 + 1)).alias("e"), F.when(k % 4 == 0, "Ambiguous").when(k % 4 == 1, "Blight").when(k % 4 == 2, "").alias("verdict"))
+    return o.select("run", K.power_of_ten(F.col("e")).alias("rate"), K.review_note(F.col("verdict")).alias("note"))
+
+
+@query(f"""WITH {PREDS}, t AS (SELECT arm, seed, image_id, CASE WHEN arm = 'A2' AND seed = 1337 AND image_id = 3 THEN -1 ELSE target END AS target FROM preds),
+ d AS (SELECT arm, seed, count(*) AS n, sum(('0x' || substr(md5(image_id || '|' || target), 1, 8))::BIGINT)::BIGINT AS low, sum(('0x' || substr(md5(image_id || '|' || target), 9, 8))::BIGINT)::BIGINT AS high FROM t GROUP BY ALL)
+ SELECT *, (n, low, high) = (SELECT (n, low, high) FROM d ORDER BY arm, seed LIMIT 1) AS agrees FROM d""")
+def runs_share_items(spark, sf_dir):
+    """Whether every run holds the items and targets of the first one, by sums of hashes; one target is made to differ."""
+    p = predictions(spark, sf_dir).withColumn("target", F.when((F.col("arm") == "A2") & (F.col("seed") == 1337) & (F.col("image_id") == 3), -1).otherwise(F.col("target")))
+    return contracts.shared_items(p, ["arm", "seed"], ["image_id", "target"])
+
+
+@query(f"""WITH {VECTORS}, p AS (SELECT * FROM pairs WHERE cosine >= 0.2), b AS (SELECT i, j, split_i, split_j, hamming FROM p UNION ALL SELECT j, i, split_j, split_i, hamming FROM p),
+ one AS (SELECT i AS id, min((CASE split_i WHEN 'test' THEN 0 ELSE 1 END, hamming, j)) AS m FROM b WHERE split_i <> 'train' AND split_j = 'train' GROUP BY 1) SELECT id, m[3] AS partner, m[1] AS severity FROM one""")
+def prune_keeping_val_test(spark, sf_dir):
+    """The prune with pairs of validation and test rows let be."""
+    return pairs.prune(_pairs(spark, sf_dir), keep_val_test=True)

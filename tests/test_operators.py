@@ -141,3 +141,27 @@ def test_linear_probe_tells_a_planted_direction(spark):
     rows = [(k, [y * 1.5 + rng.gauss(0, 1), rng.gauss(0, 1)], y, k % 3 != 0) for k in range(240) for y in (int(rng.random() < 0.4),)]
     r = probe.linear_probe(spark.createDataFrame(rows, "k long, f array<double>, y int, train boolean"), "k", "f", "y", "train", (0.1, 1.0), 3, 50).first()
     assert 0.75 < r.auc < 0.95 and r.ci_low < r.auc < r.ci_high and r.n_used == 50 and r.balanced_accuracy > 0.65 and r.c in (0.1, 1.0)
+
+
+def test_mann_whitney_exact_on_few_rows(spark):
+    from itertools import combinations
+
+    a, b = [1.5, 7.0, 9.5], [2.0, 3.0, 4.5, 5.5, 8.0, 10.0, 11.0]
+    rows = spark.createDataFrame([(0, x, True) for x in a] + [(0, x, False) for x in b], "g int, v double, f boolean")
+    r = inference.mann_whitney(rows, ["g"], "v", "f").first()
+    every = [sum(s) - 3 for s in combinations(range(10), 3)]  # u of every way to deal the ranks
+    far = max(r.u, 21 - r.u)
+    assert r.u == sum(x > y for x in a for y in b) and r.p_value == pytest.approx(min(1, 2 * sum(u >= far for u in every) / len(every)))
+    assert inference._subset_tail(0, 8, 30) == pytest.approx(2 / math.comb(38, 8))
+
+
+def test_rules_and_fits(spark):
+    ci = spark.createDataFrame([("x", 1, 0.1), ("x", 2, 0.2), ("x", 3, -0.1), ("y", 1, 0.1), ("y", 2, 0.0), ("y", 3, None)], "v string, seed int, lo double")
+    means = spark.createDataFrame([("x", 0.5), ("y", 0.9), ("c", 0.6)], "v string, m double")
+    got = {r.v: (r.n_favoured, r.improves, r.framing) for r in inference.framing(inference.favoured(ci, "v", "lo"), means, "v", "m", "c").collect()}
+    assert got == {"x": (2, True, "B"), "y": (1, False, "B")}
+    assert inference.framing(inference.favoured(ci, "v", "lo"), means, "v", "m", "x").filter("v = 'x'").first().framing == "A"
+    pts = spark.createDataFrame([(0, float(x), 2.0 * x + 1 if 3 < x < 9 else 50.0) for x in range(12)], "g int, x double, y double")
+    fit = inference.clipped_fit(pts, ["g"], "x", "y", 3.5, 8.5, 5).first()
+    assert (fit.gain, fit.shift, fit.n_inner, fit.n) == (pytest.approx(2), pytest.approx(1), 5, 12)
+    assert inference.clipped_fit(pts, ["g"], "x", "y", 3.5, 8.5, 6).first().gain != pytest.approx(2)
