@@ -151,3 +151,16 @@ def without_ids(df: DataFrame, ids: DataFrame, column: str, most: int = 1_000_00
     (tag,) = fresh(df.columns, "_gone")
     gone = met_by(ids.select(named(column).alias(tag)).distinct(), most)
     return df.join(gone, named(column).eqNullSafe(F.col(tag)), "left_anti")
+
+
+def met_evenly(rows: DataFrame, told: DataFrame, on: list[str], count: str, hot: int = 20_000) -> DataFrame:
+    """Inner join of rows with ``told``, a written table with one row a key whose column ``count`` says how many rows have
+    the key. Keys of more than ``hot`` rows, or of a 100,000th of all, are broadcast: so there are at most 100,000 of them.
+    The rest is shuffled, and no task gets more than that many rows of one key."""
+    total = told.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) > max(hot, total // 100_000)
+    if told.filter(often).isEmpty():
+        return rows.join(told, on)
+    few, many = told.filter(often), told.filter(~often)
+    keys = F.broadcast(few.select(*on))
+    return rows.join(F.broadcast(few), on).unionByName(rows.join(keys, on, "left_anti").join(many, on))

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .hmm import hmm_scores
 from .jaccard_join import jaccard_join
 from .language import language_of_pages
+from .lexical import ranked_search
 from .mixing import mix
 from .pii import find_personal_data
 from .quality import quality
+from .simhash_join import simhash_groups
 from .token_rollup import TokenRollup, counted
 from .toxicity import toxicity
 
@@ -22,6 +25,7 @@ CONTRACT = {
     "op2_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"],
     "op5_block_naming": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     "op9_token_combinations": ["doc_id", "n_shingles", "component_id"],
+    "op12_covering_hashing": ["doc_id", "fingerprint", "component_id"],
 }
 
 
@@ -82,8 +86,23 @@ def op10_delta_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7, the label is the next one of ten; rows whose vec_id is divisible by 100 are anchors."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
+def op12_covering_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read(spark, sf_dir, "documents")).select(*CONTRACT["op12_covering_hashing"])
+
+
+def op13_heap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_string_tiling, op2_personal_data, op3_factorization_machine, op4_quadratic_discriminant, op5_block_naming, op6_evidence_fusion, op7_proportional_fitting, op8_hidden_markov, op9_token_combinations, op10_delta_rollups)
+    f.__name__: f for f in (op1_string_tiling, op2_personal_data, op3_factorization_machine, op4_quadratic_discriminant, op5_block_naming, op6_evidence_fusion, op7_proportional_fitting, op8_hidden_markov, op9_token_combinations, op10_delta_rollups, op11_inverted_lists, op12_covering_hashing, op13_heap_merge)
 }
 
 #: DuckDB twins where plain SQL says the same.
@@ -114,4 +133,32 @@ ORACLE_SQL = {
         SELECT s.doc_id, node.n AS n_shingles, CASE WHEN node.n = 0 THEN s.doc_id ELSE comp.low END AS component_id
         FROM s JOIN node USING (shingles) JOIN comp ON comp.id = node.id
     """,
+    "op11_inverted_lists": """
+        WITH v AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.id AS anchor_id, a.label AS own, b.id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id
+        ), p AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score, own FROM s WHERE label = own
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+        QUALIFY rank <= 5
+    """,
+    "op13_heap_merge": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents WHERE text IS NOT NULL
+        ), q AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL
+        ), total AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+        m AS (SELECT doc_id, terms, 100 - 25 + (25 * len(terms) * n_docs) // n_terms AS m FROM d, total WHERE len(terms) > 0),
+        p AS (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(terms) AS term FROM m) GROUP BY doc_id, m, term),
+        w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, total GROUP BY term, n_docs),
+        s AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) GROUP BY item_id, doc_id
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
+    """,
 }
