@@ -135,7 +135,7 @@ class InvertedLists:
                     take, cells = [], []
                     for k, slots in enumerate(part.column("slots").to_pylist()):
                         spare = norm[k] * radius + 1e-9 * norm[k] * far + 1  # rounding
-                        up, low = middle[k] + spare, middle[k] - spare
+                        up, low = np.clip(middle[k] + spare, -TOP, TOP), np.clip(middle[k] - spare, -TOP, TOP)  # as scores are
                         lo = np.array([float(s["lo"]) for s in slots])
                         hi, bar = np.array([float(s["hi"]) for s in slots]), np.array([float(s["bar"]) for s in slots])
                         open_ = (count > 0) & (up >= lo.min()) & (low <= hi.max())
