@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import rasters as R
+from quillon.functions import registration as G
 
 IMAGE = ("height", "width", "channels", "data")
 
@@ -192,31 +193,59 @@ ESTIMATES = {"rotation": "affine", "zoom": "affine", "crop": "affine", "brightne
 SIGMAS = tuple(round(0.1 + 0.05 * k, 2) for k in range(59))
 
 
+def enlarged(images: DataFrame, key: str, times: int) -> DataFrame:
+    """Images with each pixel as a square of ``times`` pixels."""
+    return _each(images, key, "height int, width int, channels int, data binary", lambda a: (None,) * 4 if a is None else _data(a.repeat(times, 0).repeat(times, 1)))
+
+
+def turned(images: DataFrame, key: str, angle: str, zoom: str) -> DataFrame:
+    """Images turned by the column ``angle`` (degrees, from the x axis to the downward y axis) and zoomed by the column
+    ``zoom`` about their middle; grey 128 enters from outside. A null angle is 0, a null zoom 1; both columns are kept."""
+    kind = images.schema[key].dataType.simpleString()
+    names = [key, angle, zoom, *IMAGE]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, by, at, *v in zip(b[key], b[angle], b[zoom], *(b[c] for c in IMAGE)):
+                a = _rgb(*v)
+                made = None if a is None else np.stack([G.transformed(a[:, :, c], 0 if pd.isna(by) else by, 1 if pd.isna(at) else at) for c in range(3)], 2)
+                out.append((k, by, at, *((None,) * 4 if made is None else _data(made))))
+            yield pd.DataFrame(out, columns=names).astype(object)
+
+    rows = images.select(key, F.col(angle).cast("double").alias(angle), F.col(zoom).cast("double").alias(zoom), *IMAGE)
+    return rows.mapInPandas(run, f"{key} {kind}, {angle} double, {zoom} double, height int, width int, channels int, data binary")
+
+
 def derivative_parameters(derivatives: DataFrame, parents: DataFrame, on: list[str], key: str, op: str = "op", sigmas: tuple[float, ...] = SIGMAS) -> DataFrame:
-    """(key, on, op, status, gain, offset, sigma, flip_axis) of each derivative, estimated against the parent that shares
-    the columns ``on``; derivatives without a parent, or with an image that isn't whole, are left out. The target is
-    brought to the source's size by area. Status is ok; blur_fit_failed if no blur explains the difference;
-    gain_fit_failed if the source has one value only; affine_not_estimated for operations that move corners, which have
-    no estimator here; an operation outside ESTIMATES is ok without figures."""
+    """(key, on, op, status, angle_deg, scale, inliers, gain, offset, sigma, flip_axis) of each derivative, estimated against
+    the parent that shares the columns ``on``; derivatives without a parent, or with an image that isn't whole, are left
+    out. Operations that move corners are read off matched corners of both images in their own sizes
+    (``registration.similarity``); for the others the target is brought to the source's size by area. Status is ok;
+    affine_failed if too few corners match or agree; blur_fit_failed if no blur explains the difference; gain_fit_failed
+    if the source has one value only; an operation outside ESTIMATES is ok without figures."""
     old = parents.select(*on, *(F.col(c).alias(f"_{c}") for c in IMAGE))
     both = derivatives.select(key, *on, F.col(op).alias("op"), *IMAGE).join(old, on)
     head = [key, *on, "op"]
     kinds = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in head)
 
-    def one(op: str, source: np.ndarray, target: np.ndarray) -> tuple:
+    def one(op: str, source: np.ndarray, target: np.ndarray) -> dict:
         source, target = R.grey(source), R.grey(target)
-        if source.shape != target.shape:
-            target = R.resized(target, *source.shape, "area")
         kind = ESTIMATES.get(op)
         if kind == "affine":
-            return "affine_not_estimated", None, None, None, None
+            found = G.similarity(source, target)
+            return {"status": "affine_failed"} if found is None else dict(zip(("angle_deg", "scale", "inliers"), found))
+        if source.shape != target.shape:
+            target = R.resized(target, *source.shape, "area")
         if kind == "gain":
             gain, offset = _gain(source, target)
-            return "ok" if gain is not None else "gain_fit_failed", gain, offset, None, None
+            return {"status": "gain_fit_failed"} if gain is None else {"gain": gain, "offset": offset}
         if kind == "sigma":
             sigma = _blur_sigma(source, target, sigmas)
-            return "ok" if sigma is not None else "blur_fit_failed", None, None, sigma, None
-        return "ok", None, None, None, _flip(source, target) if kind == "flip" else None
+            return {"status": "blur_fit_failed"} if sigma is None else {"sigma": sigma}
+        return {"flip_axis": _flip(source, target)} if kind == "flip" else {}
+
+    figures = ["status", "angle_deg", "scale", "inliers", "gain", "offset", "sigma", "flip_axis"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -224,7 +253,19 @@ def derivative_parameters(derivatives: DataFrame, parents: DataFrame, on: list[s
             for row in b.to_dict("records"):
                 target, source = _rgb(*(row[c] for c in IMAGE)), _rgb(*(row[f"_{c}"] for c in IMAGE))
                 if target is not None and source is not None:
-                    out.append((*(row[c] for c in head), *one(row["op"], source, target)))
-            yield pd.DataFrame(out, columns=[*head, "status", "gain", "offset", "sigma", "flip_axis"]).astype(object)
-
-    return both.mapInPandas(run, f"{kinds}, status string, gain double, offset double, sigma double, flip_axis string")
+                    got = {"status": "ok", **one(row["op"], source, target)}
+                    out.append((*(row[c] for c in head), *(got.get(c) for c in figures)))
+            yield pd.DataFrame(out, columns=[*head, *figures]).astype(object)
+
+    return both.mapInPandas(run, f"{kinds}, status string, angle_deg double, scale double, inliers int, gain double, offset double, sigma double, flip_axis string")
+
+
+def parameter_ranges(parameters: DataFrame) -> DataFrame:
+    """(op, parameter, n, low, high): 5th and 95th percentile of each recovered figure by operation, angles without sign;
+    and n of the derivatives of each status that isn't ok, as parameter."""
+    ok = parameters.filter("status = 'ok'")
+    named = {"angle_deg": F.abs("angle_deg"), "scale": F.col("scale"), "gain": F.col("gain"), "offset": F.col("offset"), "sigma": F.col("sigma")}
+    rows = ok.select("op", F.explode(F.array(*(F.struct(F.lit(k).alias("parameter"), v.alias("v")) for k, v in named.items()))).alias("x")).select("op", "x.parameter", "x.v").filter("v is not null")
+    found = rows.groupBy("op", "parameter").agg(F.count("*").alias("n"), F.percentile("v", 0.05).alias("low"), F.percentile("v", 0.95).alias("high"))
+    failed = parameters.filter("status != 'ok'").groupBy("op", F.col("status").alias("parameter")).agg(F.count("*").alias("n"))
+    return found.unionByName(failed, allowMissingColumns=True)

@@ -50,6 +50,24 @@ def derivative_parameters(spark, sf_dir):
     return images.derivative_parameters(derived, _images(spark, sf_dir), ["image_id"], "derivative")
 
 
+@query(None)
+def affine_parameters(spark, sf_dir):
+    """Each grid image at sixteen times its size against itself turned by up to 30 degrees and zoomed by 0.8 to 1.25, both
+    told by its id: what was planted and what was found."""
+    whole = images.enlarged(_images(spark, sf_dir), "image_id", 16)
+    planted = whole.withColumn("planted_deg", F.pmod(F.col("image_id") * 17, F.lit(61)) - 30).withColumn("planted_scale", 0.8 + F.pmod(F.col("image_id") * 7, F.lit(46)) / 100)
+    made = images.turned(planted, "image_id", "planted_deg", "planted_scale").withColumn("op", F.when(F.abs("planted_deg") > 5, "rotation").otherwise("zoom"))
+    found = images.derivative_parameters(made.withColumnRenamed("image_id", "derivative").withColumn("image_id", F.col("derivative")), whole, ["image_id"], "derivative")
+    told = planted.select("image_id", F.col("planted_deg").cast("double").alias("planted_deg"), "planted_scale")
+    return found.select("image_id", "op", "status", "angle_deg", "scale", "inliers").join(told, "image_id")
+
+
+@query(None)
+def derivative_ranges(spark, sf_dir):
+    """The usual range of each operation's recovered figures, and how many derivatives have none."""
+    return images.parameter_ranges(derivative_parameters(spark, sf_dir))
+
+
 COLOURS = f"""WITH {GRID}, m AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM px),
  h0 AS (SELECT *, CASE WHEN d < 1e-10 THEN 0 WHEN v = r THEN (g - b) / (d + 1e-10) WHEN v = g THEN (b - r) / (d + 1e-10) + 2 ELSE (r - g) / (d + 1e-10) + 4 END / 6 AS h0, CASE WHEN v > 0 THEN d / (v + 1e-10) ELSE 0 END AS s FROM m),
  c AS (SELECT image_id, CASE WHEN h0 < 0 THEN h0 + 1 ELSE h0 END AS h, s, v FROM h0)"""

@@ -78,9 +78,10 @@ def upright(spark: SparkSession, root: str) -> DataFrame:
 
 
 def pixels(images: DataFrame) -> DataFrame:
-    """(path, x, y, r, g, b), values from 0 to 1, of decoded images of three channels."""
-    at = lambda k: F.conv(F.hex(F.substring("data", F.col("_p") * 3 + k, F.lit(1))), 16, 10).cast("double") / 255
-    rows = images.filter("channels = 3").withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)))
+    """(path, x, y, r, g, b), values from 0 to 1, of decoded images; one channel is grey, a fourth is left out, images of
+    other channels are."""
+    at = lambda k: F.conv(F.hex(F.substring("data", F.col("_p") * F.col("channels") + F.least(F.lit(k), "channels"), F.lit(1))), 16, 10).cast("double") / 255
+    rows = images.filter("channels in (1, 3, 4)").withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)))
     return rows.select("path", (F.col("_p") % F.col("width")).cast("int").alias("x"), F.floor(F.col("_p") / F.col("width")).cast("int").alias("y"), at(3).alias("r"), at(2).alias("g"), at(1).alias("b"))
 
 
@@ -160,18 +161,40 @@ def command_flags(settings: dict) -> list[str]:
     return out
 
 
-def environment(spark: SparkSession) -> DataFrame:
-    """One row: versions of Python, Java and Spark, the system, and the installed packages."""
+def _told(*command: str, cwd: str | None = None) -> str | None:
+    """What a command prints, or None if it isn't there or fails."""
+    import subprocess
+
+    try:
+        return subprocess.run(command, cwd=cwd, capture_output=True, text=True, timeout=20, check=True).stdout.strip()
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
+def environment(spark: SparkSession, folder: str = ".") -> DataFrame:
+    """One row: versions of Python, Java and Spark, the system, the installed packages, the commit of the git work tree that
+    ``folder`` is in and whether tracked files differ from it (null outside one), and the devices that the resource manager
+    or the vendor's tool names (empty without)."""
     packages = sorted({f"{d.metadata['Name']}=={d.version}" for d in importlib.metadata.distributions()})
     java = spark._jvm.java.lang.System.getProperty("java.version")
-    row = (sys.version.split()[0], java, spark.version, platform.platform(), packages)
-    return spark.createDataFrame([row], "python string, java string, spark string, system string, packages array<string>")
+    commit = _told("git", "rev-parse", "HEAD", cwd=folder)
+    changed = None if commit is None else bool(_told("git", "status", "--porcelain", "--untracked-files=no", cwd=folder))
+    devices = [f"{name}:{a}" for name, r in spark.sparkContext.resources.items() for a in r.addresses] or (_told("nvidia-smi", "--query-gpu=name,memory.total,driver_version", "--format=csv,noheader") or "").splitlines()
+    row = (sys.version.split()[0], java, spark.version, platform.platform(), packages, commit, changed, devices)
+    return spark.createDataFrame([row], "python string, java string, spark string, system string, packages array<string>, git_commit string, git_changed boolean, devices array<string>")
 
 
-def preflight(spark: SparkSession, modules: list[str], grid: DataFrame, arms: int, seeds: int) -> DataFrame:
-    """(check, ok): each module is importable, and the grid has each of arms x seeds once."""
+def _importable(module: str) -> bool:
     from importlib.util import find_spec
 
+    try:
+        return find_spec(module) is not None
+    except (ImportError, ValueError):  # a package on the way is missing, or is no package
+        return False
+
+
+def preflight(spark: SparkSession, modules: list[str], grid: DataFrame, arms: int, seeds: int) -> DataFrame:
+    """(check, ok): each module is importable, and the grid has each of arms x seeds once."""
     found = grid.agg(F.count("*"), F.count_distinct("arm", "seed"), F.count_distinct("arm"), F.count_distinct("seed")).first()
-    rows = [(f"module {m}", find_spec(m) is not None) for m in modules] + [("grid", tuple(found) == (arms * seeds, arms * seeds, arms, seeds))]
+    rows = [(f"module {m}", _importable(m)) for m in modules] + [("grid", tuple(found) == (arms * seeds, arms * seeds, arms, seeds))]
     return spark.createDataFrame(rows, "check string, ok boolean")

@@ -80,7 +80,7 @@ def test_campaign(spark):
     assert {r.run: r.flags for r in grid.collect()} == {"x_s1": ["--lr", "0.1", "--big"], "x_s2": ["--lr", "0.1", "--big"], "y_s1": [], "y_s2": []}
     assert scans.command_flags({"a": [1, 2], "b": None}) == ["--a", "1", "--a", "2"]
     assert all(r.ok for r in scans.preflight(spark, ["json"], grid, 2, 2).collect())
-    assert [r.ok for r in scans.preflight(spark, ["no_such_module"], grid.limit(3), 2, 2).collect()] == [False, False]
+    assert [r.ok for r in scans.preflight(spark, ["no_such_module", "no_such_package.sub", "json.no_such"], grid.limit(3), 2, 2).collect()] == [False] * 4
     for bad, said in (("name: n", "seeds is missing"), ("name: 1\nseeds: [1, 1]\nepochs: true\narms: {}\nx: 1", "name must be str.*epochs must be int.*seeds repeat|x is unknown"), ("- 1", "mapping")):
         with pytest.raises(ValueError, match=said):
             scans.campaign(bad)
@@ -209,3 +209,25 @@ def test_counted_auc_against_resampling(spark):
     rows = spark.createDataFrame([(1, float(s), bool(f)) for s, f in zip(score, label)], "g int, s double, f boolean")
     got = inference.counted_bootstrap_auc(rows, "g", "s", "f", 2000).first()
     assert abs(got.auc - auc(score, label)) < 1e-12 and got.n_used == 2000 and abs(got.ci_low - np.quantile(draws, 0.025)) < 0.03 and abs(got.ci_high - np.quantile(draws, 0.975)) < 0.03
+
+
+def test_git_state(spark, tmp_path):
+    import subprocess
+
+    row = scans.environment(spark, str(tmp_path)).first()
+    assert row.git_commit is None and row.git_changed is None and isinstance(row.devices, list)
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=x", "-c", "user.email=x@x", *a], cwd=tmp_path, check=True, capture_output=True, text=True).stdout.strip()
+    git("init")
+    (tmp_path / "f").write_text("1")
+    git("add", "f")
+    git("commit", "-m", "one")
+    row = scans.environment(spark, str(tmp_path)).first()
+    assert (row.git_commit, row.git_changed) == (git("rev-parse", "HEAD"), False)
+    (tmp_path / "f").write_text("2")
+    assert scans.environment(spark, str(tmp_path)).first().git_changed
+
+
+def test_pixels_of_grey_and_alpha(spark):
+    rows = spark.createDataFrame([("g", 1, 2, 1, bytearray(b"\x33\xff")), ("a", 1, 1, 4, bytearray(b"\x00\x33\xff\x80")), ("odd", 1, 1, 2, bytearray(b"\x00\x01"))], "path string, height int, width int, channels int, data binary")
+    got = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in scans.pixels(rows).collect())
+    assert got == [("a", 0, 0, 1.0, 0.2, 0.0), ("g", 0, 0, 0.2, 0.2, 0.2), ("g", 1, 0, 1.0, 1.0, 1.0)]

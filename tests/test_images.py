@@ -1,5 +1,6 @@
 """Whole-image kernels against plain loops, and JPEG against the JVM's own encoder."""
 
+import itertools
 import math
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import rasters as R
+from quillon.functions import registration as G
 from quillon.operators import images, inference, pixels
 from quillon.sources import scans
 
@@ -157,7 +159,68 @@ def test_parameters(spark):
     got = {r.d: r for r in images.derivative_parameters(d, rows_of(spark, [source]), ["id"], "d").collect()}
     assert set(got) == set(range(8)) and got[0].sigma == 1.0 and got[1].status == "blur_fit_failed" and got[1].sigma is None
     assert (got[2].gain, got[2].offset) == pytest.approx((1.1, 5), abs=0.05) and [got[x].flip_axis for x in (3, 4, 7)] == ["hflip", "rot180", "vflip"]
-    assert got[5].status == "affine_not_estimated" and got[6].status == "ok" and got[6].gain is None
+    assert got[5].status == "affine_failed" and got[5].angle_deg is None and got[6].status == "ok" and got[6].gain is None
+
+
+def cloudy(n, seed):
+    """Grey noise at several sizes."""
+    rng = np.random.default_rng(seed)
+    a = sum(w * s * G.smooth(rng.normal(size=(n, n)), s) for s, w in ((2, 1), (4, 1.5), (8, 2)))
+    return ((a - a.min()) / (a.max() - a.min()) * 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("angle, zoom", [(0, 1), (30, 1), (-30, 1), (0, 0.8), (0, 1.25), (17.5, 1.1), (-12, 0.85), (90, 1), (179, 1.0)])
+def test_planted_turns_and_zooms(angle, zoom):
+    for seed in range(3):
+        source = cloudy(128, seed)
+        found = G.similarity(source, G.transformed(source, angle, zoom))
+        assert found is not None and abs((found[0] - angle + 180) % 360 - 180) < 1 and abs(found[1] / zoom - 1) < 0.02
+
+
+def test_transformed_by_plain_loops():
+    a = cloudy(12, 3)
+    assert (G.transformed(a, 0, 1) == a).all() and (G.transformed(a, 90, 1) == np.rot90(a, -1)).all()
+    got = G.transformed(a, 20, 0.9)
+    for y, x in itertools.product(range(12), repeat=2):
+        c, s = math.cos(math.radians(20)) / 0.9, math.sin(math.radians(20)) / 0.9
+        u, v = c * (x - 5.5) + s * (y - 5.5) + 5.5, -s * (x - 5.5) + c * (y - 5.5) + 5.5
+        i, j = math.floor(v), math.floor(u)
+        at = lambda p, q: float(a[p, q]) if 0 <= p < 12 and 0 <= q < 12 else 128.0
+        want = sum(at(i + p, j + q) * (v - i if p else 1 - v + i) * (u - j if q else 1 - u + j) for p in (0, 1) for q in (0, 1))
+        assert abs(got[y, x] - want) <= 0.5 + 1e-6
+
+
+def test_unrelated_or_bare_images_have_no_turn():
+    a = cloudy(128, 1)
+    assert G.similarity(a, cloudy(128, 99)) is None and G.similarity(a, np.full((80, 90), 7, np.uint8)) is None
+    assert G.similarity(a[:9, :9], a) is None and G.similarity(a, a[:, :1]) is None
+    big = np.kron(cloudy(128, 5), np.ones((8, 8), np.uint8))  # 1,024 pixels, shrunken to 512
+    assert abs(G.similarity(big, G.transformed(big, 10, 1))[0] - 10) < 1
+
+
+def test_similarity_survives_wrong_matches():
+    rng = np.random.default_rng(2)
+    p = rng.random(60) * 100 + 1j * rng.random(60) * 100
+    q = 1.1 * np.exp(1j * math.radians(25)) * p + (3 - 4j)
+    q[:30] = rng.random(30) * 100 + 1j * rng.random(30) * 100
+    f, o, n = G.consensus(p, q, G.Effort())
+    assert n >= 30 and abs(f - 1.1 * np.exp(1j * math.radians(25))) < 0.01 and abs(o - (3 - 4j)) < 1
+
+
+def test_affine_derivatives(spark):
+    sources = [np.repeat(cloudy(128, k)[..., None], 3, 2) for k in range(4)]
+    parents = rows_of(spark, sources).withColumnRenamed("id", "image_id")
+    planted = parents.withColumns({"deg": F.col("image_id") * 9.0 - 12, "zoom": F.lit(1.0) + F.col("image_id") * 0.05})
+    made = images.turned(planted, "image_id", "deg", "zoom")
+    assert images.enlarged(parents, "image_id", 2).first().height == 256
+    derived = made.withColumn("op", F.lit("rotation")).unionByName(made.withColumns({"op": F.lit("crop"), "image_id": F.pmod(F.col("image_id") + 1, F.lit(4))})).withColumn("d", F.monotonically_increasing_id())
+    got = images.derivative_parameters(derived, parents, ["image_id"], "d")
+    rows = got.collect()
+    good = [r for r in rows if r.op == "rotation"]
+    assert all(r.status == "ok" and abs(r.angle_deg - (r.image_id * 9 - 12)) < 1 and abs(r.scale / (1 + r.image_id * 0.05) - 1) < 0.02 and r.inliers >= 10 for r in good) and len(good) == 4
+    assert {r.status for r in rows if r.op == "crop"} == {"affine_failed"}  # against another parent
+    ranges = {(r.op, r.parameter): (r.n, r.low, r.high) for r in images.parameter_ranges(got).collect()}
+    assert ranges["crop", "affine_failed"][0] == 4 and ranges["rotation", "angle_deg"][0] == 4 and 0 < ranges["rotation", "angle_deg"][1] < ranges["rotation", "angle_deg"][2] < 16
 
 
 def encoded(spark, a, quality):
