@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import dot, hamming
+from quillon.operators import metric
 
 SEVERITY = {("test", "train"): 0, ("train", "val"): 1, ("test", "val"): 2}
 
@@ -17,43 +18,54 @@ def _banded(rows: DataFrame, bands: int) -> DataFrame:
     return rows.withColumn("_b", F.explode(F.array(*words))).select("*", F.col("_b.band").alias("band"), F.col("_b.piece").alias("piece")).drop("_b")
 
 
-BLOCK = 4096  # rows of an id block, as blocks are dealt
-
-
-def _blocked(rows: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """Two copies of rows, dealt so that each pair of rows meets once by (lo, hi), the numbers of their id blocks."""
-    own = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = own.withColumn("lo", F.col("_own")).withColumn("hi", F.explode(F.sequence("_own", F.lit(blocks - 1))))
-    right = own.withColumn("hi", F.col("_own")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("_own"))))
-    return left, right
+def _signs(word: Column) -> Column:
+    """A word's bits as +1 and -1: the inner product of two such vectors is 64 less twice the differing bits."""
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(F.bit_get(word, k) == 1, 1.0).otherwise(-1.0))
 
 
 def near_pairs(rows: DataFrame, max_hamming: int | None, min_cosine: float | None, mode: str = "both", within_class: bool = True) -> DataFrame:
     """Pairs i < j of rows (id, class_name, word, vector) with hamming and cosine.
 
-    mode: both, any, hash or vector. When the hash must agree within 15 bits, candidates come from equal bands of the
-    word (pigeon hole). Else every pair of a class is a candidate, as thresholds on a cosine or on half of all bits
-    rule out none beforehand; rows then meet by pairs of id blocks of some ``BLOCK`` rows, so that a large class is
-    spread over many tasks and none holds it.
+    mode: both, any, hash or vector. Where the hash must agree within 15 bits, candidates come from equal bands of the word
+    (pigeon hole). Other bounds on hash or vector are inner products, and candidates come from a metric index
+    (``metric.MetricIndex``), which gives all of them. ``any`` is the union of both. A bound that is None is met by all
+    rows; where no other holds, every pair of a class is a candidate. Rows with a null or non-finite component have no
+    near vector.
     """
+    on, base = (["class_name"] if within_class else []), ["class_name", "id", "word", "vector"]
+    rows = rows.select(*base)
     near = F.col("hamming") <= max_hamming if max_hamming is not None else F.lit(True)
     like = F.col("cosine") >= min_cosine if min_cosine is not None else F.lit(True)
     keep: Column = {"both": near & like, "any": near | like, "hash": near, "vector": like}[mode]
-    on = ["class_name"] if within_class else []
-    if mode in ("both", "hash") and max_hamming is not None and max_hamming < 16:
-        rows, on = _banded(rows, max_hamming + 1), [*on, "band", "piece"]
-        left, right = rows, rows
+
+    def banded() -> DataFrame:
+        parts, keys = _banded(rows, max_hamming + 1), [*on, "band", "piece"]
+        a = parts.select(*keys, F.col("id").alias("i"), F.col("word").alias("wi"), F.col("vector").alias("vi"))
+        b = parts.select(*keys, F.col("id").alias("j"), F.col("word").alias("wj"), F.col("vector").alias("vj"))
+        return a.join(b, keys).filter("i < j").select(*on, "i", "j", "wi", "wj", "vi", "vj")
+
+    def by_vector(least: float) -> DataFrame:
+        given = rows.select(*on, "id", "vector", "word", F.col("vector").alias("whole"))
+        return metric.MetricIndex(given, least, on).pairs().selectExpr(*on, "i", "j", "word_i as wi", "word_j as wj", "whole_i as vi", "whole_j as vj")
+
+    def by_hash() -> DataFrame:
+        if max_hamming is not None and max_hamming < 16:
+            return banded()
+        given = rows.select(*on, "id", _signs(F.col("word")).alias("vector"), "word", F.col("vector").alias("whole"))
+        least = 64 - 2 * (64 if max_hamming is None else max_hamming)
+        return metric.MetricIndex(given.filter("word is not null"), least, on).pairs().selectExpr(*on, "i", "j", "word_i as wi", "word_j as wj", "whole_i as vi", "whole_j as vj")
+
+    small = max_hamming is not None and max_hamming < 16
+    if mode == "hash" or mode == "both" and (small or min_cosine is None):
+        met = by_hash()
+    elif mode == "any" and min_cosine is not None and max_hamming is not None:
+        met = by_hash().unionByName(by_vector(min_cosine))
+    elif mode == "any" or min_cosine is None:
+        met = by_hash() if min_cosine is not None else by_vector(float("-inf"))
     else:
-        largest = rows.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
-        (left, right), on = _blocked(rows, -(-largest // BLOCK) or 1), [*on, "lo", "hi"]
-    a = left.select(*on, F.col("id").alias("i"), F.col("word").alias("wi"), F.col("vector").alias("vi"))
-    b = right.select(*on, F.col("id").alias("j"), F.col("word").alias("wj"), F.col("vector").alias("vj"))
-    met = a.join(b, on).filter(F.col("i") != F.col("j")).filter((F.col("lo") < F.col("hi")) | (F.col("i") < F.col("j")) if "lo" in on else F.col("i") < F.col("j"))
-    if "lo" in on:  # pairs of two blocks come in any order
-        turn = F.col("i") > F.col("j")
-        met = met.select(*on, *(F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("i", "j"), ("j", "i"), ("wi", "wj"), ("wj", "wi"), ("vi", "vj"), ("vj", "vi"))))
+        met = by_vector(min_cosine)
     met = met.withColumns({"hamming": hamming(F.col("wi"), F.col("wj")), "cosine": dot(F.col("vi"), F.col("vj"))})
-    return met.filter(keep).select(*(["class_name"] if within_class else []), "i", "j", "hamming", "cosine").distinct()
+    return met.filter(keep).select(*on, "i", "j", "hamming", "cosine").distinct()
 
 
 def prune(pairs: DataFrame, keep_val_test: bool = False) -> DataFrame:
@@ -83,18 +95,10 @@ def sweep(pairs: DataFrame, grid: list[tuple[int, float]]) -> DataFrame:
 
 
 def across_classes(rows: DataFrame, min_cosine: float, n: int) -> DataFrame:
-    """The first n pairs i < j of different classes by (i, j) with at least the cosine; the limit is the feature.
-
-    Rows meet by pairs of id blocks of some ``BLOCK`` rows, and no task holds more than two blocks.
-    """
-    left, right = _blocked(rows.select("id", "class_name", "vector"), -(-rows.count() // BLOCK) or 1)
-    a = left.select("lo", "hi", F.col("id").alias("x"), F.col("class_name").alias("cx"), F.col("vector").alias("vx"))
-    b = right.select("lo", "hi", F.col("id").alias("y"), F.col("class_name").alias("cy"), F.col("vector").alias("vy"))
-    met = a.join(b, ["lo", "hi"]).filter("cx != cy and (lo < hi or x < y)").withColumn("cosine", dot(F.col("vx"), F.col("vy"))).filter(F.col("cosine") >= min_cosine)
-    turn = F.col("x") > F.col("y")
-    pick = lambda p, q, name: F.when(turn, F.col(q)).otherwise(F.col(p)).alias(name)
-    met = met.select(pick("x", "y", "i"), pick("y", "x", "j"), pick("cx", "cy", "class_i"), pick("cy", "cx", "class_j"), "cosine")
-    return met.orderBy("i", "j").limit(n)
+    """The first n pairs i < j of different classes by (i, j) with at least the cosine; the limit is the feature. Candidates
+    come from the metric index."""
+    met = metric.MetricIndex(rows.select("id", "class_name", "vector"), min_cosine, []).pairs().filter("class_name_i != class_name_j").distinct()
+    return met.orderBy("i", "j").limit(n).selectExpr("i", "j", "class_name_i as class_i", "class_name_j as class_j", "product as cosine")
 
 
 def bands(pairs: DataFrame, edges: list[int]) -> DataFrame:
