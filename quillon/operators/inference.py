@@ -7,10 +7,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.keys import md5_mod
+from quillon.operators import prefix
 from quillon.operators.metrics import averages, binary_auc
 
 
@@ -32,13 +34,27 @@ def mcnemar(counts: DataFrame, a: str = "a_only", b: str = "b_only") -> DataFram
     return counts.withColumn("p_value", F.least(F.lit(1.0), 2 * tail))
 
 
-def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """Correlation of average ranks."""
-    out = rows
-    for c in (x, y):
-        w = Window.partitionBy(*group).orderBy(c)
-        out = out.withColumn(f"_{c}", F.rank().over(w) + (F.count("*").over(Window.partitionBy(*group, c)) - 1) / 2)
-    return out.groupBy(*group).agg(F.corr(f"_{x}", f"_{y}").alias("rho"))
+def spearman(rows: DataFrame, group: list[str], x: str, y: str, few: int = prefix.FEW) -> DataFrame:
+    """Correlation of average ranks, null first; null where a side has one value. Rows are counted by both values, and each
+    value's ranks are summed up by many tasks."""
+    cells = rows.groupBy(*group, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_w"))
+    size = rows.groupBy(*group).agg(F.count("*").alias("_n"))
+    at = lambda c: prefix.average_ranks(rows.select(*group, F.col(c).alias("_v")), group, "_v", "_r", few)
+
+    def met(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> DataFrame:
+        on = F.lit(True)
+        for a, b in pairs.items():
+            on = on & F.col(f"l.{a}").eqNullSafe(F.col(f"r.{b}"))
+        taken = [c for c in right.columns if c not in pairs.values()]
+        return left.alias("l").join(right.alias("r"), on).select("l.*", *(f"r.{c}" for c in taken))
+
+    same = {g: g for g in group}
+    cells = met(met(cells, at(x).drop("n_rows").withColumnRenamed("_r", "_rx"), same | {"_x": "_v"}), at(y).drop("n_rows").withColumnRenamed("_r", "_ry"), same | {"_y": "_v"})
+    cells = met(cells, size, same)
+    middle = (F.col("_n") + 1) / 2
+    a, b, w = F.col("_rx") - middle, F.col("_ry") - middle, F.col("_w")
+    sums = cells.groupBy(*group).agg(F.sum(w * a * b).alias("_ab"), F.sum(w * a * a).alias("_aa"), F.sum(w * b * b).alias("_bb"))
+    return sums.select(*group, F.try_divide("_ab", F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb"))).alias("rho"))
 
 
 def resamples(sizes: DataFrame, group: list[str], key: str, replicates: int) -> DataFrame:
@@ -107,9 +123,9 @@ def mann_whitney(rows: DataFrame, group: list[str], value: str, flag: str, exact
         return pd.Series([one(*r) for r in zip(z, u, a, b, ties)], dtype="float64")
 
     cells = rows.groupBy(*group, value).agg(F.count("*").alias("t"), F.sum(F.col(flag).cast("long")).alias("k"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = prefix.prefix_sums(cells, group, [value], {"before": "t"})
     t = F.col("t").cast("double")
-    sums = cells.withColumn("rank", before + (F.col("t") + 1) / 2).groupBy(*group).agg(F.sum(F.col("rank") * F.col("k")).alias("r"), F.sum("k").alias("a"), F.sum("t").alias("n"), F.sum(t * t * t - t).alias("ties"))
+    sums = cells.withColumn("rank", F.col("before") + (F.col("t") + 1) / 2).groupBy(*group).agg(F.sum(F.col("rank") * F.col("k")).alias("r"), F.sum("k").alias("a"), F.sum("t").alias("n"), F.sum(t * t * t - t).alias("ties"))
     a, n = F.col("a").cast("double"), F.col("n").cast("double")
     b = n - a
     sums = sums.withColumn("u", F.col("r") - a * (a + 1) / 2)
@@ -151,11 +167,11 @@ def bootstrap_accuracy(pairs: DataFrame, group: list[str], key: str, replicates:
 def power(hits: DataFrame, arm: str, item: str, hit: str, replicates: int) -> DataFrame:
     """(a, b, se, mde80, median_mde80) of the hit-rate difference of every pair of arms, all from one set of resamples.
 
-    Items are numbered by id in one task, as an evaluation set is drawn whole for each replicate; every arm holds every item. A pair's resamples need only each item's difference and
-    its weight in the replicate, so weights are summed before they meet the arms; arms are few.
+    Items are numbered by id by many tasks; every arm holds every item. A pair's resamples need only each item's
+    difference and its weight in the replicate, so weights are summed before they meet the arms; arms are few.
     """
     ids = hits.select(item).distinct()
-    numbered = ids.withColumn("_k", F.row_number().over(Window.orderBy(item)) - 1)
+    numbered = prefix.numbered(ids, [], [item], "_k")
     size = ids.agg(F.count("*").alias("n")).withColumn("g", F.lit(1))
     weights = resamples(size, ["g"], "_k", replicates).groupBy("rep", "_k").agg(F.count("*").alias("w"))
     own = hits.join(numbered, item).select(arm, "_k", hit)
@@ -219,35 +235,74 @@ def paired_bootstrap(pairs: DataFrame, group: str, classes: int, replicates: int
     return out.withColumns({"excludes_zero": (F.col("ci_low") > 0) | (F.col("ci_high") < 0), "mde80": 2.801585 * F.col("delta_std")})
 
 
-def counted_bootstrap_auc(rows: DataFrame, group: str, score: str, label: str, replicates: int, level: float = 0.95, seed: int = 1, part: int = 100) -> DataFrame:
-    """(group, auc, ci_low, ci_high, n_used): as ``bootstrap_auc``, by multinomial draws of the counts of (score, label).
-    A task holds the distinct scores of a group."""
-    kind = rows.schema[group].dataType.simpleString()
-    counted = rows.groupBy(group, F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
-    cells = counted.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("s", "p", "q"))).alias("cells"))
-    parts = cells.join(rows.sparkSession.range(-(-replicates // part)).select(F.col("id").alias("part")), how="cross")
+#: Upper bounds of a uniform number for 0, 1, 2, ... draws at one draw on average.
+POISSON_ONE = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 
-    def auc(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        below = np.cumsum(q, 1) - q
-        pairs = p.sum(1) * q.sum(1)
-        return np.divide((p * (below + q / 2)).sum(1), pairs, out=np.full(len(p), np.nan), where=pairs > 0)
 
-    def draw(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                p, q = (np.array([x[k] for x in row["cells"]], float) for k in ("p", "q"))
-                both = np.r_[p, q]
-                rng = np.random.default_rng([seed, int(row["part"]), zlib.crc32(str(row[group]).encode())])
-                drawn = rng.multinomial(int(both.sum()), both / both.sum(), min(part, replicates - row["part"] * part))
-                found = auc(drawn[:, : len(p)], drawn[:, len(p) :])
-                out.append((row[group], float(auc(p[None], q[None])[0]), found[~np.isnan(found)].tolist()))
-            yield pd.DataFrame(out, columns=[group, "auc", "draws"])
+def _replicate_weights(cell: np.ndarray, count: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson numbers (cells x replicates) with mean ``count``, told by the cell's hash alone. In front the counts themselves."""
+    with np.errstate(over="ignore"):
+        x = cell.astype(np.int64).view(np.uint64)[:, None] ^ (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    out = np.searchsorted(POISSON_ONE, (x >> np.uint64(11)) * 2.0**-53, side="right").astype(float)
+    out[count == 0] = 0
+    for k in np.flatnonzero(count > 1):  # cells of several rows draw all of them at once
+        out[k] = np.random.Generator(np.random.Philox(key=np.array([cell[k], seed], np.int64).view(np.uint64))).poisson(count[k], replicates)
+    return np.concatenate([count[:, None].astype(float), out], 1)
 
-    drawn = parts.repartition("part").mapInPandas(draw, f"{group} {kind}, auc double, draws array<double>").select(group, "auc", F.explode_outer("draws").alias("d"))
+
+def poisson_bootstrap_auc(rows: DataFrame, group: list[str], score: str, label: str, replicates: int, level: float = 0.95, seed: int = 1, parts: int | None = None) -> DataFrame:
+    """(group, auc, ci_low, ci_high, n_used): AUC with the percentile interval of ``replicates`` Poisson resamples, in which each
+    row counts 0, 1, 2, ... times, once on average, independently of the others.
+
+    Rows are counted by score and label; a cell's weights follow from its hash, so partitioning changes nothing and no
+    weight is shuffled. Cells lie in ranges of the score. A task goes along its range with one running sum a replicate:
+    the weight of negatives so far, by which it counts the pairs that its own rows win; what lies in earlier ranges is
+    added from each range's totals. So memory is some numbers a replicate, whatever the rows. Null scores and labels are
+    left out; replicates that lack a class aren't used.
+    """
+    cell = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*group, F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
+    named = cell.withColumns({"hp": F.xxhash64(*group, "s", F.lit("p")), "hq": F.xxhash64(*group, "s", F.lit("q"))})
+    placed = prefix.ranges(named, group, ["s"], parts).select("_key", "_g", "_part", "p", "q", "hp", "hq")
+    n, chunk = replicates + 1, max(1, (1 << 20) // (replicates + 1))
+
+    def run(batches):
+        at, sums = None, None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([at[1], at[2], *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in sums)], ["_key", "_part", "won", "positive", "negative"])
+
+        for batch in batches:
+            g = batch.column("_g").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)] if len(g) else np.zeros(1, int)
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if at is None or at[0] != g[low]:
+                    if at is not None:
+                        yield told()
+                    at, sums = (g[low], batch.column("_key").slice(low, 1), batch.column("_part").slice(low, 1)), np.zeros((3, n))
+                for k in range(low, high, chunk):
+                    part = batch.slice(k, min(chunk, high - k))
+                    p, q, hp, hq = (part.column(c).to_numpy() for c in ("p", "q", "hp", "hq"))
+                    wins, lost = _replicate_weights(hp, p, replicates, seed), _replicate_weights(hq, q, replicates, seed)
+                    below = np.cumsum(lost, 0) - lost / 2 + sums[2]  # ties count half
+                    sums[0] += (wins * below).sum(0)
+                    sums[1] += wins.sum(0)
+                    sums[2] += lost.sum(0)
+        if at is not None:
+            yield told()
+
+    key = placed.schema["_key"].dataType.simpleString()
+    told = placed.mapInArrow(run, f"_key {key}, _part int, won array<double>, positive array<double>, negative array<double>")
+    each = told.select("_key", "_part", F.posexplode(F.arrays_zip("won", "positive", "negative")).alias("rep", "x")).select("_key", "_part", "rep", "x.*")
+    # one row a replicate and range of a group: as few as ranges times replicates
+    earlier = F.coalesce(F.sum("negative").over(Window.partitionBy("_key", "rep").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    auc = each.withColumn("won", F.col("won") + F.col("positive") * earlier).groupBy("_key", "rep").agg(F.try_divide(F.sum("won"), F.sum("positive") * F.sum("negative")).alias("auc"))
     low, high = (1 - level) / 2, (1 + level) / 2
-    out = drawn.groupBy(group).agg(F.max("auc").alias("auc"), F.percentile("d", F.array(F.lit(low), F.lit(high))).alias("ci"), F.count("d").alias("n_used"))
-    return out.select(group, "auc", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "n_used")
+    drawn = F.when(F.col("rep") > 0, F.col("auc"))
+    out = auc.groupBy("_key").agg(F.max(F.when(F.col("rep") == 0, F.col("auc"))).alias("auc"), F.percentile(drawn, F.array(F.lit(low), F.lit(high))).alias("ci"), F.count(drawn).alias("n_used"))
+    return out.select(*(F.col("_key")[c].alias(c) for c in group), "auc", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "n_used")
 
 
 def power_in_full(preds: DataFrame, arm: str, item: str, classes: int, replicates: int, family: str | None = None, fraction: float = 0.5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import prefix
+
 
 def confusion(preds: DataFrame, run: list[str], classes: int) -> DataFrame:
     """Counts on the whole grid, zero cells included."""
@@ -34,12 +36,11 @@ def averages(preds: DataFrame, run: list[str], classes: int) -> DataFrame:
     )
 
 
-def binary_auc(scores: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
+def binary_auc(scores: DataFrame, group: list[str], score: str, label: str, few: int = prefix.FEW) -> DataFrame:
     """Mann-Whitney AUC with average ranks; null where a class is missing. Scores are ranked after being counted by
-    value, so ties and repeated rows cost one row."""
+    value, so ties and repeated rows cost one row, and a group's values are ranked by many tasks."""
     cells = scores.groupBy(*group, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    w = Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = prefix.prefix_sums(cells, group, [score], {"before": "n"}, few).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*group).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return sums.select(*group, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import prefix
+
 
 def seed_summary(rows: DataFrame, by: list[str], seed: str, metrics: list[str]) -> DataFrame:
     """Distinct seeds, mean and sample deviation of each metric; one seed has a null deviation."""
@@ -21,14 +23,17 @@ def robustness(rows: DataFrame, run: list[str], condition: str, metric: str, cle
     return out.select(*run, "clean", "mean_stress", F.col(f"w.{metric}").alias("worst"), F.col(f"w.{condition}").alias("worst_condition"), (F.col("clean") - F.col("mean_stress")).alias("drop"), "mean_ratio")
 
 
-def percentiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+def percentiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float], few: int = prefix.FEW) -> DataFrame:
     """(by, n, one column for each of ``at``): percentiles by linear interpolation, nulls left out. Rows are counted by
-    value first and the counts are summed up in a window, so no buffer holds a group."""
+    value first and the counts summed up in order by many tasks, so no buffer and no task holds a group."""
     counted = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count(value).alias("_c"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    cells = counted.select(*by, "_v", "_c", upto.alias("_hi"), F.sum("_c").over(w).alias("_n"))
-    held = lambda k: (F.col("_hi") - F.col("_c") <= k) & (k < F.col("_hi"))
+    cells = prefix.prefix_sums(counted, by, ["_v"], {"_lo": "_c"}, few)
+    sizes = cells.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}"))
+    cells = cells.alias("c").join(sizes.alias("s"), same).select("c.*", "s._n") if by else cells.join(F.broadcast(sizes))  # one row
+    held = lambda k: (F.col("_lo") <= k) & (k < F.col("_lo") + F.col("_c"))
     place = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in at.items()}
     ends = [F.max(F.when(held(f(x)), F.col("_v").cast("double"))).alias(f"_{name}{k}") for name, x in place.items() for k, f in enumerate((F.floor, F.ceil))]
     out = cells.groupBy(*by).agg(F.max("_n").alias("_n"), *ends)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import keys as K
 from quillon.functions import masks as M
 from quillon.functions import vectors as V
-from quillon.operators import graph, inference, metrics, pairs, pixels, probe
+from quillon.operators import graph, inference, metrics, pairs, pixels, prefix, probe
 from quillon.plans.catalog import AB, ASSETS, CELLS, PIXELS, PREDS, VECTORS, _ab, _epochs, _pairs, query
 from quillon.sources import sinks
 from quillon.sources.tables import ARMS, CLASSES, SEEDS, assets, predictions, table, vectors
@@ -109,7 +109,7 @@ def mann_whitney(spark, sf_dir):
  SELECT seed, round(max(auc) FILTER (rep = -1), 6) AS auc, round(quantile_cont(auc, 0.025) FILTER (rep >= 0), 6) AS ci_low, round(quantile_cont(auc, 0.975) FILTER (rep >= 0), 6) AS ci_high, count(auc) FILTER (rep >= 0) AS n_used FROM au GROUP BY seed""")
 def bootstrap_auc(spark, sf_dir):
     p = predictions(spark, sf_dir).filter("arm = 'A3'").withColumn("ok", F.col("pred") == F.col("target"))
-    p = p.withColumn("k", (F.row_number().over(Window.partitionBy("seed").orderBy("image_id")) - 1).cast("long"))
+    p = prefix.numbered(p, ["seed"], ["image_id"], "k")
     return inference.bootstrap_auc(p, ["seed"], "k", "p_true", "ok", 60)
 
 

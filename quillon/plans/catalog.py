@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import keys as K
 from quillon.functions import vectors as V
-from quillon.operators import audit, consensus, inference, metrics, pairs, summary, training_log
+from quillon.operators import audit, consensus, inference, metrics, pairs, prefix, summary, training_log
 from quillon.sources.tables import CLASSES, assets, predictions, table, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,9 +246,7 @@ def spearman(spark, sf_dir):
  st AS (SELECT dr.seed, rep, avg(d) AS delta FROM dr JOIN n ON n.seed = dr.seed AND n.k = dr.k GROUP BY ALL)
  SELECT seed, round(any_value(observed), 6) AS observed, round(quantile_cont(delta, 0.025), 6) AS ci_low, round(quantile_cont(delta, 0.975), 6) AS ci_high, round(avg((delta > 0)::INT), 6) AS fraction_above, round(2.801585 * stddev_samp(delta), 6) AS mde80 FROM st JOIN s USING (seed) GROUP BY seed""")
 def paired_bootstrap_ci(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = _ab(spark, sf_dir).withColumn("k", (F.row_number().over(Window.partitionBy("seed").orderBy("image_id")) - 1).cast("long"))
+    rows = prefix.numbered(_ab(spark, sf_dir), ["seed"], ["image_id"], "k")
     return inference.bootstrap_accuracy(rows, ["seed"], "k", 200)
 
 

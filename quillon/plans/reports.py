@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import keys as K
 from quillon.functions import masks as M
 from quillon.functions import vectors as V
-from quillon.operators import consensus, contracts, inference, metrics, pairs, summary
+from quillon.operators import consensus, contracts, inference, metrics, pairs, prefix, summary
 from quillon.plans.catalog import AB, ASSETS, CELLS, DECIDE, PREDS, VECTORS, _ab, _decided, _pairs, query
 from quillon.sources.tables import ARMS, CLASSES, assets, predictions, table, vectors
 
@@ -236,9 +235,9 @@ def family_pairs(spark, sf_dir):
 @query(f"WITH {ASSETS} SELECT doc_id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY doc_id) - 1 AS pos, dense_rank() OVER (PARTITION BY class_name ORDER BY canonical_id) - 1 AS root FROM assets WHERE split <> 'train' AND NOT is_derived")
 def dense_positions(spark, sf_dir):
     """Rows that a filter left, numbered anew within their class, and their roots mapped to 0..k."""
-    w = Window.partitionBy("class_name")
-    kept = assets(spark, sf_dir).filter("split <> 'train' and not is_derived")
-    return kept.select("doc_id", "class_name", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("pos"), (F.dense_rank().over(w.orderBy("canonical_id")) - 1).alias("root"))
+    kept = assets(spark, sf_dir).filter("split <> 'train' and not is_derived").select("doc_id", "class_name", "canonical_id")
+    placed = prefix.numbered(kept, ["class_name"], ["doc_id"], "pos")
+    return prefix.dense_numbers(placed, ["class_name"], "canonical_id", "root").select("doc_id", "class_name", "pos", "root")
 
 
 @query("SELECT epoch, round(least(1.0, epoch / 10.0), 6)::DOUBLE AS gate, round(CASE WHEN epoch <= 5 THEN 0.001 * epoch / 5 ELSE 1e-5 + 0.5 * (0.001 - 1e-5) * (1 + cos(pi() * (epoch - 5) / 45.0)) END, 10)::DOUBLE AS rate FROM (SELECT range AS epoch FROM range(1, 51))", digits=10)
@@ -368,7 +367,7 @@ def paired_bootstrap(spark, sf_dir):
 def bootstrap_auc_in_full(spark, sf_dir):
     """AUC with the interval of 2,000 resamples; replicates that lack a class are left out."""
     p = predictions(spark, sf_dir).filter(F.col("arm") == list(ARMS)[-1]).withColumn("ok", F.col("pred") == F.col("target"))
-    return inference.counted_bootstrap_auc(p, "seed", "p_true", "ok", 2_000)
+    return inference.poisson_bootstrap_auc(p, ["seed"], "p_true", "ok", 2_000)
 
 
 @query(None)

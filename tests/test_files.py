@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import keys as K
-from quillon.operators import contracts, inference, pairs, summary
+from quillon.operators import contracts, inference, metric, pairs, summary
 from quillon.sources import scans, sinks, tables
 
 
@@ -174,7 +174,7 @@ def test_pair_blocks_change_nothing(spark, monkeypatch):
     told = lambda: sorted((r.i, r.j, r.hamming, round(r.cosine, 9)) for r in pairs.near_pairs(rows, 30, 0.1, "both").collect())
     across = lambda: [tuple(r) for r in pairs.across_classes(rows, 0.1, 50).collect()]
     one, first = told(), across()
-    monkeypatch.setattr(pairs, "BLOCK", 7)
+    monkeypatch.setattr(metric, "BLOCK", 7)
     assert told() == one and across() == first and len(one) > 10 and all(i < j for i, j, *_ in one)
 
 
@@ -200,14 +200,14 @@ def test_paired_bootstrap_against_resampling(spark, metric):
         inference.paired_bootstrap(rows, "seed", 4, 10, "other")
 
 
-def test_counted_auc_against_resampling(spark):
+def test_poisson_auc_against_resampling(spark):
     rng = np.random.default_rng(4)
     label = rng.random(120) < 0.4
     score = np.round(rng.random(120) + 0.3 * label, 1)
     auc = lambda s, f: np.mean([(x > z) + (x == z) / 2 for x in s[f] for z in s[~f]])
     draws = [auc(score[k], label[k]) for k in (rng.integers(0, 120, 120) for _ in range(600))]
     rows = spark.createDataFrame([(1, float(s), bool(f)) for s, f in zip(score, label)], "g int, s double, f boolean")
-    got = inference.counted_bootstrap_auc(rows, "g", "s", "f", 2000).first()
+    got = inference.poisson_bootstrap_auc(rows, ["g"], "s", "f", 2000).first()
     assert abs(got.auc - auc(score, label)) < 1e-12 and got.n_used == 2000 and abs(got.ci_low - np.quantile(draws, 0.025)) < 0.03 and abs(got.ci_high - np.quantile(draws, 0.975)) < 0.03
 
 
