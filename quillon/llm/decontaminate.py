@@ -1,9 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are lower-cased runs of letters and digits. A document and a benchmark item that share a run of ``seed``
-words become a pair; the pair is tiled by running Karp-Rabin matching: rolling hashes find the common runs of a
-search length, the longest are marked first, marked words take no further part, and the search length falls until
-``least``. As tiles may stand in any order, a passage whose sentences were moved is covered like an untouched one.
+words become a pair. A count over all items at once tells how much of each the document's runs of ``least`` words cover,
+which tiles can't exceed, so a phrase that thousands of items open with costs one count. The pairs left are tiled by
+running Karp-Rabin matching: rolling hashes find the longest common run, tiles of its length are marked, marked words
+take no further part, and the length falls until ``least``. As tiles may stand in any order, a passage whose sentences were moved is covered like an untouched one.
 A document is contaminated by an item when the tiles cover at least ``threshold`` of its words, or when one tile has
 ``verbatim`` words or more, which shows a long item that is quoted in part.
 
@@ -29,71 +30,111 @@ from .common import filter_rows, map_batches, named
 
 WORDS = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
+class Runs:
+    """Karp-Rabin hashes of all runs of any length of an id array, modulo 2**64, from sums over its beginnings."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        x = ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        self.n, powers = len(ids), np.cumprod(np.r_[np.uint64(1), np.full(len(ids), BASE)], dtype=np.uint64)
+        self.sums = np.cumsum(np.r_[np.uint64(0), x * powers[:-1]], dtype=np.uint64)
+        self.back = np.cumprod(np.r_[np.uint64(1), np.full(len(ids), INVERSE)], dtype=np.uint64)
+
+    def of(self, n: int) -> np.ndarray:
+        if self.n < n:
+            return np.zeros(0, np.uint64)
+        return (self.sums[n:] - self.sums[: self.n - n + 1]) * self.back[: self.n - n + 1]
+
+
 def rolling(ids: np.ndarray, n: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of n ids, modulo 2**64."""
-    if len(ids) < n:
-        return np.zeros(0, np.uint64)
-    out, x = np.zeros(len(ids) - n + 1, np.uint64), ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    for k in range(n):
-        out = out * BASE + x[k : len(ids) - n + 1 + k]
-    return out
+    return Runs(ids).of(n)
+
 
+def tiles(doc: np.ndarray, item: np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two id arrays: non-overlapping (length, item start, doc start), longest first, of equal
+    ones the first in the item and then in the document.
 
-def _matches(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, s: int) -> list[tuple[int, int, int]]:
-    """(length, item start, doc start) of maximal free common runs of at least s words."""
-    hi, hd = rolling(item, s), rolling(doc, s)
-    open_i = np.flatnonzero(np.convolve(free_item, np.ones(s, int), "valid") == s) if len(hi) else []
-    if not len(open_i) or not len(hd):
-        return []
-    order = open_i[np.argsort(hi[open_i], kind="stable")]
-    keys = hi[order]
-    run = np.concatenate([[0], np.cumsum(free_doc)])
-    spots = np.flatnonzero((run[s:] - run[:-s] == s) & (keys[np.minimum(np.searchsorted(keys, hd), len(keys) - 1)] == hd))
-    lows, highs = np.searchsorted(keys, hd[spots]), np.searchsorted(keys, hd[spots], "right")
-    times = highs - lows
-    p, t = order[np.repeat(lows - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())], np.repeat(spots, times)
-    by = np.lexsort((p, t - p))  # along diagonals: neighbours are parts of one run
-    p, t = p[by], t[by]
-    first = np.flatnonzero(np.r_[True, (np.diff(p) != 1) | (np.diff(t) != 1)]) if len(p) else np.zeros(0, np.int64)
-    out = []
-    for a, n in zip(first, np.diff(np.r_[first, len(p)]) + s - 1):
-        x, y = item[p[a] : p[a] + n], doc[t[a] : t[a] + n]
-        if (x == y).all():
-            out.append((int(n), int(p[a]), int(t[a])))
-        else:  # hashes agree by chance somewhere: cut there
-            ends = np.r_[-1, np.flatnonzero(x != y), n]
-            out += [(int(v - u - 1), int(p[a] + u + 1), int(t[a] + u + 1)) for u, v in zip(ends, ends[1:]) if v - u - 1 >= s]
+    The longest free run that both hold is found by bisection: runs of a length exist if longer ones do. All tiles of that
+    length are marked at once, each item run with the first free document run of its hash, so repeated words cost no pair
+    of places, and the next length is shorter. An item's words are marked once, so lengths and tiles are bounded by it.
+    """
+    out: list[tuple[int, int, int]] = []
+    if min(len(doc), len(item)) < least:
+        return out
+    in_doc, in_item = Runs(doc), Runs(item)
+    free_doc, free_item = doc > 0, np.ones(len(item), bool)
+
+    def open_runs(runs: Runs, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        upto = np.r_[0, np.cumsum(free)]
+        at = np.flatnonzero(upto[n:] - upto[:-n] == n)
+        return at, runs.of(n)[at]
+
+    def shared(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        p, hp = open_runs(in_item, free_item, n)
+        t, ht = open_runs(in_doc, free_doc, n)
+        if not len(p) or not len(t):
+            return None
+        keys = np.unique(hp)
+        hit = keys[np.minimum(np.searchsorted(keys, ht), len(keys) - 1)] == ht
+        return (p, hp, t[hit], ht[hit]) if hit.any() else None
+
+    top = min(len(doc), len(item))
+    while top >= least:
+        low, found = least, shared(least)
+        if found is None:
+            break
+        step = least
+        while low < top:  # doubling, then halving
+            n = min(top, low + step)
+            more = shared(n)
+            if more is None:
+                top = n - 1
+                break
+            low, found, step = n, more, 2 * step
+        while low < top:
+            n = (low + top + 1) // 2
+            more = shared(n)
+            if more is None:
+                top = n - 1
+            else:
+                low, found = n, more
+        p, hp, t, ht = found
+        order = np.argsort(ht, kind="stable")
+        keys, spots = ht[order], t[order]
+        first, last = np.searchsorted(keys, hp), np.searchsorted(keys, hp, "right")
+        reached: dict[int, int] = {}  # by hash class: document runs before are no longer free
+        for start, a, b in zip(p.tolist(), first.tolist(), last.tolist()):
+            if a == b or not free_item[start : start + low].all():
+                continue
+            k = reached.get(a, a)
+            while k < b and not free_doc[spots[k] : spots[k] + low].all():
+                k += 1
+            reached[a] = k
+            if k < b and (item[start : start + low] == doc[spots[k] : spots[k] + low]).all():
+                free_item[start : start + low] = False
+                free_doc[spots[k] : spots[k] + low] = False
+                out.append((low, start, int(spots[k])))
+        top = low - 1
     return out
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, least: int = 3, first: int = 16) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two id arrays: non-overlapping (length, item start, doc start), longest first."""
-    free_doc, free_item, out = (doc > 0).astype(int), np.ones(len(item), int), []
-    s = max(least, min(first, len(item)))
-    while True:
-        found = _matches(doc, item, free_doc, free_item, s)
-        longest = max((n for n, _, _ in found), default=0)
-        if longest > 2 * s:
-            s = longest  # mark only the longest first
-            continue
-        marked = False
-        for n, p, t in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if free_item[p : p + n].all() and free_doc[t : t + n].all():
-                free_item[p : p + n] = free_doc[t : t + n] = 0
-                out.append((n, p, t))
-                marked = True
-        if marked:
-            continue  # what the marks cut short may still reach s
-        if s <= least:
-            return out
-        s = max(least, s // 2)
+def around(doc: np.ndarray, hashes: np.ndarray, item_hashes: np.ndarray, least: int) -> np.ndarray:
+    """The stretches of doc whose runs of ``least`` words the item holds too, with a 0 between them: all that tiles can be in."""
+    hit = np.flatnonzero(np.isin(hashes, item_hashes))
+    change = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(change, hit, 1)
+    np.add.at(change, hit + least, -1)
+    inside = np.cumsum(change[:-1]) > 0
+    edge = np.r_[False, ~inside[1:] & inside[:-1]]
+    return np.where(inside, doc, 0)[inside | edge]
 
 
 class Vocabulary(dict):
@@ -104,7 +145,8 @@ class Vocabulary(dict):
 
 
 class Benchmark:
-    """One block of items: ids of words, hashes of seed runs and the items that hold each."""
+    """One block of items: ids of words, hashes of seed runs and the items that hold each, and of all runs of ``least`` words
+    with their places in the items laid end to end."""
 
     def __init__(self, items: list[tuple[object, str | None]], seed: int, least: int) -> None:
         self.seed, self.least, self.vocabulary = seed, least, Vocabulary()
@@ -113,6 +155,7 @@ class Benchmark:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int64)
             if len(ids):
                 self.items.append((key, ids))
+        self.lengths = np.array([len(ids) for _, ids in self.items], np.int64)
         self.by_length = {}
         for k, (_, ids) in enumerate(self.items):
             self.by_length.setdefault(min(seed, len(ids)), []).append(k)
@@ -122,26 +165,59 @@ class Benchmark:
             flat, owner = np.concatenate(hashes), np.repeat(members, list(map(len, hashes)))
             order = np.argsort(flat, kind="stable")
             self.runs.append((n, flat[order], owner[order]))
+        starts = np.cumsum(self.lengths) - self.lengths
+        self.short = [rolling(ids, least) for _, ids in self.items]
+        flat = np.concatenate([*self.short, np.zeros(0, np.uint64)])
+        place = np.concatenate([*(s + np.arange(len(h)) for s, h in zip(starts, self.short)), np.zeros(0, np.int64)])
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.places = flat[order], place[order]
+        self.owner = np.repeat(np.arange(len(self.items)), self.lengths)
+
+    def reachable(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(most words that tiles can cover, longest tile there can be) of each item, from the hashes of a document's runs of
+        ``least`` words: what the item's runs that the document holds cover, and the longest chain of them."""
+        hit = np.unique(hashes)
+        lows, highs = np.searchsorted(self.keys, hit), np.searchsorted(self.keys, hit, "right")
+        times = highs - lows
+        most, longest = np.zeros(len(self.items), np.int64), np.zeros(len(self.items), np.int64)
+        if not times.sum():
+            return most, longest
+        at = np.sort(self.places[np.repeat(lows - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())])
+        gap = np.r_[np.diff(at), self.least]
+        np.add.at(most, self.owner[at], np.minimum(gap, self.least))
+        first = np.flatnonzero(np.r_[True, (gap[:-1] != 1) | (self.owner[at[1:]] != self.owner[at[:-1]])])
+        np.maximum.at(longest, self.owner[at[first]], np.diff(np.r_[first, len(at)]) + self.least - 1)
+        return most, longest
 
     def leaks(self, text: str | None, threshold: float, verbatim: int = 50) -> list[tuple[object, int, int, int, int]]:
-        """(item, its words, covered words, tiles, longest tile) of the items that the text holds."""
-        words, out = words_of(text), []
+        """(item, its words, covered words, tiles, longest tile) of the items that the text holds. Of the items that share a
+        seed run, those whose runs in the document can't cover enough are told by one count for all; the others are tiled,
+        on the stretches that they share."""
+        words, out, candidates = words_of(text), [], []
         ids = np.fromiter(map(self.vocabulary.__getitem__, words), np.int64, len(words))
+        hashed = Runs(ids)
         for n, keys, owner in self.runs:
-            hashes = rolling(ids, n)
+            hashes = hashed.of(n)
             if not len(hashes):
                 continue
             at = np.searchsorted(keys, hashes)
             hit = np.unique(hashes[keys[np.minimum(at, len(keys) - 1)] == hashes])
-            if not len(hit):
-                continue
-            lows, highs = np.searchsorted(keys, hit), np.searchsorted(keys, hit, "right")
-            for k in sorted({int(o) for a, b in zip(lows, highs) for o in owner[a:b]}):
-                key, item = self.items[k]
-                found = tiles(ids, item, min(self.least, len(item)))
-                covered, longest = sum(t[0] for t in found), max((t[0] for t in found), default=0)
-                if covered >= threshold * len(item) or longest >= verbatim:
-                    out.append((key, len(item), covered, len(found), longest))
+            if len(hit):
+                lows, highs = np.searchsorted(keys, hit), np.searchsorted(keys, hit, "right")
+                candidates.append(np.unique(np.concatenate([owner[a:b] for a, b in zip(lows, highs)])))
+        if not candidates:
+            return out
+        found, hashes = np.unique(np.concatenate(candidates)), hashed.of(self.least)
+        most, longest = self.reachable(hashes)
+        lengths = self.lengths[found]
+        for k in found[(lengths < self.least) | (most[found] >= threshold * lengths) | (longest[found] >= verbatim)]:
+            key, item = self.items[k]
+            least = min(self.least, len(item))
+            near = around(ids, hashes, self.short[k], least) if least == self.least else ids
+            made = tiles(near, item, least)
+            covered, top = sum(t[0] for t in made), max((t[0] for t in made), default=0)
+            if covered >= threshold * len(item) or top >= verbatim:
+                out.append((key, len(item), covered, len(made), top))
         return out
 
 

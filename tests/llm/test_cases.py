@@ -105,6 +105,70 @@ def test_fresh_names():
     assert fresh(["_ID", "_id_"], "_id", "x", "X") == ["_id__", "x", "X_"]
 
 
+def plain_tiles(doc, item, least):
+    """Greedy string tiling by the book: mark the longest common free runs, again and again."""
+    free_d, free_i, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best, found = least - 1, []
+        for p, t in itertools.product(range(len(item)), range(len(doc))):
+            n = 0
+            while p + n < len(item) and t + n < len(doc) and item[p + n] == doc[t + n] and free_i[p + n] and free_d[t + n]:
+                n += 1
+            if n > best:
+                best, found = n, [(p, t)]
+            elif n == best >= least:
+                found.append((p, t))
+        if best < least:
+            return out
+        for p, t in found:
+            if all(free_i[p : p + best]) and all(free_d[t : t + best]):
+                free_i[p : p + best], free_d[t : t + best] = [False] * best, [False] * best
+                out.append((best, p, t))
+
+
+def test_tiles_equal_the_plain_ones():
+    rng = random.Random(3)
+    for _ in range(400):
+        letters = rng.choice([1, 2, 3, 6])
+        item, doc = [rng.randint(1, letters) for _ in range(rng.randint(0, 20))], [rng.randint(0, letters) for _ in range(rng.randint(0, 36))]
+        want = plain_tiles([x or 100 + k for k, x in enumerate(doc)], item, 3)  # 0 is a word of no item
+        assert decontaminate.tiles(np.array(doc, np.int64), np.array(item, np.int64), 3) == want
+
+
+def test_bound_on_coverage_loses_no_leak():
+    """The count before tiling, and tiling on shared stretches alone, against tiling every item on every text."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(1, 16)))) for k in range(60)]
+    bench = decontaminate.Benchmark(items, 3, 3)
+    for _ in range(60):
+        text = " ".join(rng.choices(words + ["other", "more"], k=rng.randint(0, 60)))
+        want = []
+        for k, t in items:
+            own, doc = t.split(), text.split()
+            n = min(3, len(own))
+            if any(doc[j : j + n] == own[p : p + n] for j in range(len(doc) - n + 1) for p in range(len(own) - n + 1)):
+                made = plain_tiles(doc, own, n)
+                covered, top = sum(x[0] for x in made), max((x[0] for x in made), default=0)
+                if covered >= 0.7 * len(own) or top >= 9:
+                    want.append((k, len(own), covered, len(made), top))
+        assert bench.leaks(text, 0.7, 9) == want
+
+
+def test_hot_phrase_and_repeated_words():
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(20_000)]
+    bench = decontaminate.Benchmark([(k, "which of the following statements " + " ".join(rng.choices(words, k=40))) for k in range(8000)], 5, 3)
+    text = " ".join(rng.choices(words, k=500)) + " which of the following statements " + " ".join(rng.choices(words, k=500))
+    began = time.monotonic()
+    assert bench.leaks(text, 0.7) == [] and time.monotonic() - began < 0.5  # some 5 ms
+    zeros = decontaminate.Benchmark([(0, "zero " * 300), (1, "zero one " * 3000)], 5, 3)
+    began = time.monotonic()
+    assert zeros.leaks("zero " * 1_000_000, 0.7) == [(0, 300, 300, 1, 300)]
+    assert zeros.leaks("one zero zero " * 50_000 + "zero one " * 50_000, 0.7) == [(1, 6000, 6000, 1, 6000)]
+    assert time.monotonic() - began < 30
+
+
 def test_contaminated_against_brute_force(spark):
     rng = random.Random(8)
     items = [(k, " ".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 25)))) for k in range(12)] + [(99, " ".join(f"w{k}" for k in range(200)))]
