@@ -66,6 +66,7 @@ def drift(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def table_digest(rows: DataFrame, group: str, keys: list[str]) -> DataFrame:
-    """SHA-256 of each group's rows in key order. One group's keys meet in one task: for lists of locked names."""
+    """SHA-256 of each group's rows in key order. One group's keys meet in one task: for lists of
+    locked names. Tables have ``merkle.tree``."""
     line = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
     return rows.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha256"), F.count("*").alias("n"))

@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,18 @@ def _checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(made)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as Parquet below the checkpoint folder, read back: it cuts the lineage and outlives executors, and goes when
+    the JVM ends."""
+    spark = df.sparkSession
+    _checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round over edges (u, v) with u > v: all of a node's larger (or smaller) neighbours go to the least of its own."""
     seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import keys as K
 from quillon.functions import masks as M
 from quillon.functions import vectors as V
-from quillon.operators import consensus, contracts, inference, metrics, pairs, prefix, summary
+from quillon.operators import consensus, contracts, inference, merkle, metrics, pairs, prefix, summary
 from quillon.plans.catalog import AB, ASSETS, CELLS, DECIDE, PREDS, VECTORS, _ab, _decided, _pairs, query
 from quillon.sources.tables import ARMS, CLASSES, assets, predictions, table, vectors
 
@@ -420,3 +420,27 @@ def runs_share_items(spark, sf_dir):
 def prune_keeping_val_test(spark, sf_dir):
     """The prune with pairs of validation and test rows let be."""
     return pairs.prune(_pairs(spark, sf_dir), keep_val_test=True)
+
+
+#: A later state of the orders: some have another price, some are gone, some are there twice.
+LATER = """l AS (SELECT * REPLACE (CASE WHEN o_orderkey % 997 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 1009 <> 5
+  UNION ALL SELECT * FROM orders WHERE o_orderkey % 1013 = 7 AND o_orderkey % 997 <> 3 AND o_orderkey % 1009 <> 5)"""
+
+
+def _later(orders):
+    edited = orders.filter("o_orderkey % 1009 != 5").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 997 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return edited.unionByName(orders.filter("o_orderkey % 1013 = 7 and o_orderkey % 997 != 3 and o_orderkey % 1009 != 5"))
+
+
+@query(f"""WITH {LATER}, x AS (SELECT 'left' AS side, * FROM (SELECT * FROM orders EXCEPT ALL SELECT * FROM l) UNION ALL SELECT 'right', * FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM orders))
+ SELECT side, o_orderpriority, o_orderkey, count(*) AS n FROM x GROUP BY ALL""")
+def changed_rows(spark, sf_dir):
+    """Rows that two states of a table don't share, found from the roots of their hash trees down."""
+    orders = table(spark, sf_dir, "orders")
+    return merkle.changed_rows(orders, _later(orders), ["o_orderpriority"], ["o_orderkey"], 64).select("side", "o_orderpriority", "o_orderkey", "n")
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def table_roots(spark, sf_dir):
+    """Rows of each priority's hash tree; the digest itself is left out, as it follows from Spark's JSON."""
+    return merkle.tree(table(spark, sf_dir, "orders"), ["o_orderpriority"], ["o_orderkey"], 64).roots().select("o_orderpriority", "n")
