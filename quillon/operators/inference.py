@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -182,27 +183,44 @@ def power(hits: DataFrame, arm: str, item: str, hit: str, replicates: int) -> Da
     return se.crossJoin(se.agg((2.801585 * F.percentile("se", F.lit(0.5))).alias("median_mde80"))).withColumn("mde80", 2.801585 * F.col("se"))  # one row
 
 
-def _macro_f1(cells: np.ndarray, pred: np.ndarray, weights: np.ndarray, classes: int) -> np.ndarray:
-    """Fixed-label macro-F1 of each row of weights over cells (target, ...); classes without rows give 0."""
+def _macro_f1(target: np.ndarray, pred: np.ndarray, weights: np.ndarray, classes: int) -> np.ndarray:
+    """Fixed-label macro-F1 of each row of weights over cells (target, pred); classes without rows give 0."""
     total = np.zeros(len(weights))
     for c in range(classes):
-        tp = weights[:, (cells == c) & (pred == c)].sum(1)
-        both = weights[:, cells == c].sum(1) + weights[:, pred == c].sum(1)
+        tp = weights[:, (target == c) & (pred == c)].sum(1)
+        both = weights[:, target == c].sum(1) + weights[:, pred == c].sum(1)
         total += np.divide(2 * tp, both, out=np.zeros(len(weights)), where=both > 0)
     return total / classes
 
 
-def paired_bootstrap(pairs: DataFrame, group: str, classes: int, replicates: int, metric: str = "macro_f1", level: float = 0.95, seed: int = 1, part: int = 500, weight: str | None = None) -> DataFrame:
+def _accuracy(target: np.ndarray, pred: np.ndarray, weights: np.ndarray, classes: int) -> np.ndarray:
+    return weights[:, pred == target].sum(1) / weights.sum(1)
+
+
+#: A metric takes the targets and predictions of cells, a weight for each replicate and cell, and the number of classes.
+Metric = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+METRICS: dict[str, Metric] = {"macro_f1": _macro_f1, "accuracy": _accuracy}
+
+
+def replicate_deltas(target: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray, metric: Metric, classes: int, replicates: int, seed: list[int]) -> tuple[float, np.ndarray]:
+    """The metric's difference, b less a, of the counts themselves and of multinomial draws of them."""
+    drawn = np.random.default_rng(seed).multinomial(int(counts.sum()), counts / counts.sum(), replicates)
+    delta = lambda w: metric(target, b, w, classes) - metric(target, a, w, classes)
+    return float(delta(counts[None].astype(float))[0]), delta(drawn)
+
+
+def paired_bootstrap(pairs: DataFrame, group: str, classes: int, replicates: int, metric: str | Metric = "macro_f1", level: float = 0.95, seed: int = 1, part: int = 500, weight: str | None = None) -> DataFrame:
     """(group, n, observed, delta_mean, delta_std, ci_low, ci_high, fraction_above, excludes_zero, mde80) of the metric's
     difference, b less a, over paired resamples of rows (group, target, a, b).
 
-    Both metrics (macro_f1 over ``classes`` fixed labels, accuracy) depend on the counts of (target, a, b) alone, of which
-    there are classes**3 at most. So rows are counted first, and a replicate is one multinomial draw of these counts,
+    ``metric`` is macro_f1 (over ``classes`` fixed labels), accuracy or a function of one's own (see ``Metric``). All depend
+    on the counts of (target, a, b) alone, of which there are classes**3 at most. So rows are counted first, and a replicate is one multinomial draw of these counts,
     the same for both sides: the very distribution of resampled rows, at a cost that doesn't depend on their number.
     Replicates are drawn in parts by the tasks. ``weight`` names a column by which a row stands for several.
     """
-    if metric not in ("macro_f1", "accuracy"):
+    if not callable(metric) and metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
+    found = metric if callable(metric) else METRICS[metric]
     kind = pairs.schema[group].dataType.simpleString()
     many = F.sum(weight) if weight else F.count("*")
     cells = pairs.groupBy(group).agg(many.alias("n")).join(
@@ -210,21 +228,14 @@ def paired_bootstrap(pairs: DataFrame, group: str, classes: int, replicates: int
     )
     parts = cells.join(pairs.sparkSession.range(-(-replicates // part)).select(F.col("id").alias("part")), how="cross")  # a group's replicates, few rows
 
-    def values(cells, weights: np.ndarray) -> np.ndarray:
-        y, a, b = (np.array([x[k] for x in cells]) for k in ("target", "a", "b"))
-        if metric == "accuracy":
-            return (weights[:, b == y].sum(1) - weights[:, a == y].sum(1)) / weights.sum(1)
-        return _macro_f1(y, b, weights, classes) - _macro_f1(y, a, weights, classes)
-
     def draw(batches):
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                counts = np.array([x["c"] for x in row["cells"]], float)
+                y, a, b, counts = (np.array([x[k] for x in row["cells"]]) for k in ("target", "a", "b", "c"))
                 size = min(part, replicates - row["part"] * part)
-                rng = np.random.default_rng([seed, int(row["part"]), zlib.crc32(str(row[group]).encode())])
-                drawn = rng.multinomial(int(row["n"]), counts / counts.sum(), size)
-                out.append((row[group], row["n"], float(values(row["cells"], counts[None])[0]), values(row["cells"], drawn).tolist()))
+                observed, deltas = replicate_deltas(y, a, b, counts, found, classes, size, [seed, int(row["part"]), zlib.crc32(str(row[group]).encode())])
+                out.append((row[group], row["n"], observed, deltas.tolist()))
             yield pd.DataFrame(out, columns=[group, "n", "observed", "deltas"])
 
     drawn = parts.repartition("part").mapInPandas(draw, f"{group} {kind}, n long, observed double, deltas array<double>")
