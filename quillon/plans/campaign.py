@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import keys as K
 from quillon.operators import audit, contracts, inference, pairs, partition, summary
 from quillon.plans.catalog import ASSETS, PREDS, VECTORS, query
+from quillon.sources import documents
 from quillon.sources import sinks
 from quillon.sources.tables import ARMS, SEEDS, assets, predictions, table, vectors
 
@@ -181,16 +182,21 @@ def declared_order(spark, sf_dir):
     return summary.in_declared_order(counts, "o_orderpriority", ["3-MEDIUM", "1-URGENT", "2-HIGH"])
 
 
-@query("""WITH n AS (SELECT n_regionkey, 'c' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::VARCHAR AS class, n_nationkey / 25.0::DOUBLE AS value FROM nation) SELECT n_regionkey, class, round(value, 6) AS value FROM n""")
-def nested_metrics(spark, sf_dir):
-    """Metric documents of three shapes (by region) as rows."""
+def _metric_documents(spark, sf_dir):
+    """(n_regionkey, text): a region's metrics as JSON, in one of three shapes."""
     n = table(spark, sf_dir, "nation").withColumn("k", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).withColumn("v", F.col("n_nationkey") / F.lit(25.0))
     g = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("e"))
     name = lambda e: F.concat(F.lit("c"), e["k"].cast("string"))
     flat = F.map_from_arrays(F.transform("e", name), F.transform("e", lambda e: e["v"]))
     shape = F.when(F.col("n_regionkey") % 3 == 0, F.to_json(F.map_from_arrays(F.transform("e", name), F.transform("e", lambda e: F.struct(e["v"].alias("f1"), F.lit(1.0).alias("recall"))))))
     shape = shape.when(F.col("n_regionkey") % 3 == 1, F.to_json(F.struct(flat.alias("f1"), F.lit(0.5).alias("macro")))).otherwise(F.to_json(F.struct(F.transform("e", lambda e: e["v"]).alias("f1"))))
-    return contracts.metric_map(g.select("n_regionkey", shape.alias("text")), ["n_regionkey"], "text", "f1", [f"c{k}" for k in range(5)])
+    return g.select("n_regionkey", shape.alias("text"))
+
+
+@query("""WITH n AS (SELECT n_regionkey, 'c' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::VARCHAR AS class, n_nationkey / 25.0::DOUBLE AS value FROM nation) SELECT n_regionkey, class, round(value, 6) AS value FROM n""")
+def nested_metrics(spark, sf_dir):
+    """Metric documents of three shapes (by region) as rows."""
+    return contracts.metric_map(_metric_documents(spark, sf_dir), ["n_regionkey"], "text", "f1", [f"c{k}" for k in range(5)])
 
 
 @query("""WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' TRUE ' WHEN 1 THEN 'no' WHEN 2 THEN '1' END AS flag, CASE event_id % 5 WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE ELSE round(value, 2) END AS score, event_type || '_s_x_s' || (event_id % 3)::VARCHAR AS run, 'module.layer_' || (event_id % 10)::VARCHAR || '.module.w' AS weight FROM events)
@@ -228,3 +234,12 @@ def power_analysis(spark, sf_dir):
     """Standard error and least detectable difference of every pair of arms from one set of resamples."""
     hits = predictions(spark, sf_dir).filter("seed = 42").select("arm", "image_id", (F.col("pred") == F.col("target")).cast("int").alias("hit"))
     return inference.power(hits, "arm", "image_id", "hit", 100)
+
+
+@query("""WITH n AS (SELECT n_regionkey, 'c' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::VARCHAR AS class_name, n_nationkey / 25.0::DOUBLE AS v FROM nation),
+ s AS (SELECT *, CASE n_regionkey % 3 WHEN 0 THEN 'by_class' WHEN 1 THEN 'by_metric' ELSE 'by_order' END AS shape FROM n)
+ SELECT n_regionkey, shape, class_name, 'f1' AS metric, round(v, 6) AS value FROM s UNION ALL SELECT n_regionkey, shape, class_name, 'recall', 1.0 FROM s WHERE shape = 'by_class'
+ UNION ALL SELECT DISTINCT n_regionkey, shape, NULL, 'macro', 0.5 FROM s WHERE shape = 'by_metric'""")
+def metrics_of_any_name(spark, sf_dir):
+    """The documents of ``nested_metrics`` without a schema: every metric, and what stands beside the classes."""
+    return documents.class_metrics(_metric_documents(spark, sf_dir), ["n_regionkey"], "text", [f"c{k}" for k in range(5)]).drop("raw")
