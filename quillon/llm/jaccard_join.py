@@ -11,8 +11,12 @@ are not in y, which prefix filtering uses:
   alone. Frequent tokens fall into G classes by hash; a class with n tokens in the prefix covers n - 1, and its
   pairs of tokens are indexed. If x and y link, the shorter of their two prefixes holds a common rare token or two
   common tokens of one class, and the longer holds them too - so they meet in an index bucket.
-* sets with under 256 tokens index frequent tokens alone; G grows with the set's size to keep pairs few. Sets near
+* sets with under 24 tokens index frequent tokens alone; G grows with the set's size to keep pairs few. Sets near
   a change of G index both ways, wide enough that no linked pair falls between.
+* a set whose prefix reaches its frequent tokens has all its rare ones in the index. So two sets that share a rare token
+  meet there as well, and those that meet by frequent tokens alone need compare only if these suffice for a link: if
+  each holds at least ``percent * (|x| + |y|) / (100 + percent)`` of them. Pages that share a template and differ in
+  their own words by too much for a link aren't compared, however many they are.
 
 Rare tokens that only one set holds can't meet anything and aren't indexed; a bitmap with eight slots for each token
 that several sets hold tells most of them (it has ``MOST_SLOT_BITS`` at most; where that is too few for the corpus,
@@ -52,7 +56,7 @@ BLOCK = 1024  # members of a large bucket that meet another block in one place
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 MASK, HALF = (1 << 64) - 1, 1 << 63
 #: (least set size, classes of frequent tokens); 0 classes: alone.
-MODES = ((0, 0), (256, 64), (2048, 512), (16384, 4096), (131072, 32768), (1 << 20, 1 << 18))
+MODES = ((0, 0), (24, 4), (64, 8), (128, 16), (256, 64), (2048, 512), (16384, 4096), (131072, 32768), (1 << 20, 1 << 18))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -93,10 +97,11 @@ def modes_of(n: int, percent: int) -> list[int]:
 
 
 def signatures(tokens: np.ndarray, repeated: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set; tokens are sorted, the flags say which are held by several sets and by many."""
+    """Index keys of a set, even for rare tokens and odd for frequent ones; tokens are sorted, the flags say which are held by
+    several sets and by many."""
     need = slack(len(tokens), percent) + 1
     rare = np.flatnonzero(~frequent)[:need]
-    keys, need = [tokens[rare[repeated[rare]]]], need - len(rare)
+    alone, keys, need = tokens[rare[repeated[rare]]] & ~np.uint64(1), [np.zeros(0, np.uint64)], need - len(rare)
     if need > 0:
         often = tokens[frequent]
         for classes in modes_of(len(tokens), percent):
@@ -122,7 +127,7 @@ def signatures(tokens: np.ndarray, repeated: np.ndarray, frequent: np.ndarray, p
                 right.append(member[b])
             if left:
                 keys.append(mixed(np.concatenate(left) * ODD[2] + np.concatenate(right) * ODD[3] + np.uint64(classes)))
-    return np.unique(np.concatenate(keys))
+    return np.unique(np.r_[alone, np.concatenate(keys) | np.uint64(1)])
 
 
 def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
@@ -421,13 +426,20 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         left = ws.save(renamed.join(open_keys, "key"), f"open{k}")
         last = ws.save(heads.select("key", F.col("a").alias("node")).join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("c0")), f"last{k}")
         ws.drop("shared", f"heads{k}", f"pairs{k}", *([f"open{k - 1}", f"last{k - 1}"] if k else []))
-    # What is left: all pairs of different components in a bucket, by pairs of blocks of its members.
+    # What is left: pairs of different components in a bucket, by pairs of blocks of its members, the smaller set first. In
+    # buckets of frequent tokens these must suffice: most smaller sets of a template have too few and meet no one.
+    sized = keyed.select("sid", "n", "parity", F.round(F.col("central") * F.col("n")).cast("long").alias("often"))
     blocks = left.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows_open = left.join(blocks, "key").join(parities, "sid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows_open = ws.save(rows_open.select("key", "sid", "comp", "n", "parity", "blocks", "own"), "open")
-    one = rows_open.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("sid").alias("a"), F.col("comp").alias("c1"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
-    two = rows_open.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("sid").alias("b"), F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("parity").alias("p2"))
-    met = one.join(two, ["key", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (F.col("c1") != F.col("c2")) & _may_link(percent))
+    rows_open = left.join(blocks, "key").join(sized, "sid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows_open = ws.save(rows_open.select("key", "sid", "comp", "n", "often", "parity", "blocks", "own"), "open")
+    rare = F.col("key").bitwiseAND(F.lit(1)) == 0
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    small = rows_open.filter(rare | (F.col("often") * (100 + percent) >= 2 * percent * F.col("n")))
+    one = small.select("key", F.col("own").alias("i"), every.alias("j"), *(F.col(c).alias(f"{d}1") for c, d in (("comp", "c"), ("n", "n"), ("often", "f"), ("parity", "p"))), F.col("sid").alias("a"))
+    two = rows_open.select("key", every.alias("i"), F.col("own").alias("j"), *(F.col(c).alias(f"{d}2") for c, d in (("comp", "c"), ("n", "n"), ("often", "f"), ("parity", "p"))), F.col("sid").alias("b"))
+    suffice = rare | (F.least("f1", "f2") * (100 + percent) >= percent * (F.col("n1") + F.col("n2")))
+    first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))
+    met = one.join(two, ["key", "i", "j"]).filter(first & (F.col("c1") != F.col("c2")) & suffice & _may_link(percent))
     second = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = ws.save(_finely(ws.save(second, "candidates"), keyed, percent), "pairs")
     links = links.unionByName(_verified(second, nodes, texts, size, percent, ws, "cross"))

@@ -410,3 +410,54 @@ def test_twin(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
     assert sorted(map(tuple, got[columns].astype(str).to_numpy())) == sorted(map(tuple, want[columns].astype(str).to_numpy()))
+
+
+def test_template_pages_are_not_compared(spark, monkeypatch):
+    """Pages of 36 shared and 4 own words: too far apart for links, and never compared, but the one that lacks own words is."""
+    made = []
+    saved = jaccard_join.Workspace.save
+
+    def counting(self, df, name):
+        out = saved(self, df, name)
+        if name in ("candidates", "pairs"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join.Workspace, "save", counting)
+    shared = " ".join(f"t{k}" for k in range(36))
+    rows = [(k, shared + " " + " ".join(f"x{k}y{j}" for j in range(4))) for k in range(3000)]
+    plain = [(5000, shared), (5001, shared + " z0"), (5002, shared + " z1 z2 z3 z4 z5")]
+    docs = spark.createDataFrame(rows + plain, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs).collect()}
+    assert all(got[k] == 0 or k > 4000 for k in got)  # all link with the bare template: 33 of 37 shingles
+    apart = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs.filter("doc_id < 5000")).collect()}
+    assert all(k == v for k, v in apart.items()) and made[-1] == made[-2] == 0
+
+
+@pytest.mark.parametrize("size", [20, 40, 90, 200])
+def test_links_of_texts_of_shared_parts(spark, size):
+    """Texts put together from few blocks, so that all shingles are frequent: links by plain loops."""
+    rng = random.Random(size)
+    blocks = [[f"b{b}w{k}" for k in range(5)] for b in range(60)]
+    rows = []
+    for k in range(260):
+        base = random.Random(k % 20)
+        own = [base.choice(blocks) for _ in range(size // 5)]
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(len(own))] = rng.choice(blocks)
+        rows.append((k, " ".join(w for b in own for w in b)))
+    sets = [set(jaccard_join.shingle_sets([t], 4)[0].tolist()) for _, t in rows]
+    low = list(range(len(rows)))
+
+    def top(n):
+        while low[n] != n:
+            n = low[n]
+        return n
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((top(a), top(b)))
+            low[y] = x
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frequent=4).collect()}
+    assert got == {k: top(k) for k in got}
