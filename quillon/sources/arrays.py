@@ -217,7 +217,7 @@ class NpyWriter(DataSourceArrowWriter):
             if sum(m.rows for m in done) != self.rows:
                 os.remove(self.aside)
                 raise ValueError(f"{sum(m.rows for m in done)} of {self.rows} rows came")
-            os.replace(self.aside, _store(self.path)[1])
+            _store(self.path)[0].move(self.aside, _store(self.path)[1])
             return
         store, at = _store(self.path)
         store.create_dir(at, recursive=True)

@@ -105,22 +105,23 @@ def write_npy(rows: DataFrame, path: str, values: str, by: list[str], dtype: str
 
 def materialise(rows: DataFrame, root: str, overwrite: bool = False) -> DataFrame:
     """Writes rows (split, class_name, filename, content) as root/split/class/file from the tasks; (path, status): written,
-    kept (it was there) or replaced. ``root`` is a folder that all executors mount. Files are written aside and renamed,
-    so a retried task does no harm."""
-    import os
+    kept (it was there) or replaced. Files are written aside and moved, so a retried task does no harm; ``releases.publish``
+    makes a whole tree count at once."""
+    from quillon.sources.arrays import _store
 
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, at = _store(root)
         for batch in batches:
             out = []
             for split, name, file, content in zip(batch["split"], batch["class_name"], batch["filename"], batch["content"]):
-                path = os.path.join(root, split, name, os.path.basename(file))
-                there = os.path.exists(path)
+                path = f"{at}/{split}/{name}/{file.rpartition('/')[2]}"
+                there = store.get_file_info(path).is_file
                 if overwrite or not there:
-                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    store.create_dir(path.rpartition("/")[0], recursive=True)
                     aside = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
-                    with open(aside, "wb") as f:
+                    with store.open_output_stream(aside) as f:
                         f.write(content)
-                    os.replace(aside, path)
+                    store.move(aside, path)
                 out.append((path, "replaced" if there and overwrite else "kept" if there else "written"))
             yield pd.DataFrame(out, columns=["path", "status"])
 
