@@ -12,7 +12,8 @@ above the threshold of a kind are generalised, wherever they stand in any text o
 number of distinct windows, so that copies of one text or a single chance meeting are no evidence.
 
 One pass over the texts writes spans and window words; a second counts the candidate words over all texts; a third
-finds the disclosing words in all texts. Up to ``most_words`` of them (counted first) are broadcast; more are met by
+finds the disclosing words in all texts. The second is left out where no word has windows enough, the third where no
+word discloses. Up to ``most_words`` of them (counted first) are broadcast; more are met by
 a shuffled join.
 
 Cases: null text is empty and has no spans. Rows are told apart by position, so repeated rows and repeated or null
@@ -181,6 +182,38 @@ def term_spans(texts: DataFrame, actions: DataFrame, most_words: int) -> DataFra
     return met.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "action"))).alias("term_spans"))
 
 
+def disclosing(texts: DataFrame, found: DataFrame, near: DataFrame, pairs: DataFrame, ws: Workspace, value_threshold: float, kind_threshold: float) -> DataFrame | None:
+    """(word, action), written, of the words at or above a threshold; None if no word is evidence at all."""
+    if pairs.isEmpty():
+        return None
+    sent = texts.sparkSession.sparkContext.broadcast(Slots(pairs))
+
+    def count():
+        wanted = sent.value
+
+        def step(cols: dict) -> dict:
+            seen: Counter = Counter()
+            for t in cols["text"]:
+                if t:
+                    seen.update(LETTERS.findall(t.lower()))
+            kept = [(w, n) for w, n in seen.items() if w in wanted]
+            return {"word": [w for w, _ in kept], "n_t": [n for _, n in kept]}
+
+        return step
+
+    counts = map_batches(texts.select("text"), count, "word string, n_t bigint", rows=4096).groupBy("word").agg(F.sum("n_t").alias("n_t"))
+    total = found.agg(F.sum("n_words")).first()[0] or 1
+    n_kind = near.groupBy("kind").agg(F.count("*").alias("n_c")).withColumn("value", F.lit(None).cast("long"))
+    n_value = near.join(F.broadcast(pairs.select("kind").distinct()), "kind").groupBy("kind", "value").agg(F.count("*").alias("n_c"))
+    sizes = n_value.unionByName(n_kind)
+    scored = pairs.join(counts, "word").join(sizes, [pairs.kind == sizes.kind, pairs.value.eqNullSafe(sizes.value)]).drop(sizes.kind, sizes.value)
+    ic = -F.log2(F.col("n_c") / total)
+    pmi = F.log2(F.col("n_tc") * F.lit(float(total)) / (F.col("n_t") * F.col("n_c")))
+    scored = scored.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= F.when(F.col("level") == "value", value_threshold).otherwise(kind_threshold))
+    scored = ws.save(scored.select("word", "kind", "value", "level", "disclosure"), "disclosing")
+    return ws.save(scored.groupBy("word").agg(F.when(F.max("level") == "value", "remove").otherwise("generalise").alias("action")), "actions")  # remove outranks generalise
+
+
 def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", value_threshold: float = 0.9, kind_threshold: float = 0.9, least_value_windows: int = 3, least_kind_windows: int = 5, most_words: int = 200_000) -> DataFrame:
     """Per row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, term_spans (array of start, end, action)."""
     ws = Workspace(docs.sparkSession, "pii")
@@ -211,34 +244,12 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     of_value, of_kind = evidence(["kind", "value"], least_value_windows), evidence(["kind"], least_kind_windows)
     pairs = ws.save(of_value.withColumn("level", F.lit("value")).unionByName(of_kind.withColumn("value", F.lit(None).cast("long")).withColumn("level", F.lit("kind"))), "pairs")
-    sent = docs.sparkSession.sparkContext.broadcast(Slots(pairs))
-
-    def count():
-        wanted = sent.value
-
-        def step(cols: dict) -> dict:
-            seen: Counter = Counter()
-            for t in cols["text"]:
-                if t:
-                    seen.update(LETTERS.findall(t.lower()))
-            kept = [(w, n) for w, n in seen.items() if w in wanted]
-            return {"word": [w for w, _ in kept], "n_t": [n for _, n in kept]}
-
-        return step
-
-    counts = map_batches(texts.select("text"), count, "word string, n_t bigint", rows=4096).groupBy("word").agg(F.sum("n_t").alias("n_t"))
-    total = found.agg(F.sum("n_words")).first()[0] or 1
-    n_kind = near.groupBy("kind").agg(F.count("*").alias("n_c")).withColumn("value", F.lit(None).cast("long"))
-    n_value = near.join(F.broadcast(pairs.select("kind").distinct()), "kind").groupBy("kind", "value").agg(F.count("*").alias("n_c"))
-    sizes = n_value.unionByName(n_kind)
-    scored = pairs.join(counts, "word").join(sizes, [pairs.kind == sizes.kind, pairs.value.eqNullSafe(sizes.value)]).drop(sizes.kind, sizes.value)
-    ic = -F.log2(F.col("n_c") / total)
-    pmi = F.log2(F.col("n_tc") * F.lit(float(total)) / (F.col("n_t") * F.col("n_c")))
-    scored = scored.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= F.when(F.col("level") == "value", value_threshold).otherwise(kind_threshold))
-    scored = ws.save(scored.select("word", "kind", "value", "level", "disclosure"), "disclosing")
-    actions = ws.save(scored.groupBy("word").agg(F.when(F.max("level") == "value", "remove").otherwise("generalise").alias("action")), "actions")  # remove outranks generalise
-    terms = term_spans(texts, actions, most_words)
-    out = found.drop("near", "n_words").join(terms, "row_id", "left")
+    actions = disclosing(texts, found, near, pairs, ws, value_threshold, kind_threshold)
+    if actions is None or actions.isEmpty():
+        kind = "array<struct<start:int,stop:int,action:string>>"
+        out = found.drop("near", "n_words").withColumn("term_spans", F.lit(None).cast(kind))
+    else:
+        out = found.drop("near", "n_words").join(term_spans(texts, actions, most_words), "row_id", "left")
     spoken = F.transform("term_spans", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["stop"].cast("string")))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("term_spans") > 0, F.array_join(spoken, ",")))
     return out.select(F.col("_id").alias(id_column), *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("term_spans"), F.lit(0)).cast("long").alias("n_term"), "term_spans")

@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, hmm, jaccard_join, mixing, pii, quality, toxicity
 from quillon.llm.common import Workspace
@@ -171,6 +172,19 @@ def test_personal_data(spark, docs, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+def test_planted_cues_in_given_documents(spark):
+    """Of the words of the given documents none gives a value away; two planted ones, one of them at other places too, do."""
+    given = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    plain = pii.find_personal_data(given).agg({"n_term": "sum"}).first()[0]
+    cue = F.when(F.col("doc_id") % 400 == 7, F.concat("text", F.lit(" the qqmailcue of "), F.concat(F.lit("n"), "doc_id", F.lit("@corp.example.org")), F.lit(" and the qqcallcue +44 20 7946 0123 in")))
+    lone = F.when(F.col("doc_id") % 1000 == 11, F.concat("text", F.lit(" the qqmailcue stands alone")))
+    planted = given.withColumn("text", F.coalesce(cue, lone, "text"))
+    got = pii.find_personal_data(planted).filter("n_term > 0").join(planted, "doc_id").collect()
+    words = Counter(r.text[s.start : s.stop] for r in got for s in r.term_spans)
+    assert plain == 0 and set(words) == {"qqmailcue", "qqcallcue"}
+    assert words["qqcallcue"] == planted.filter("doc_id % 400 = 7").count() == 25 and words["qqmailcue"] == 35
+
+
 @pytest.mark.parametrize("most_words", [1000, 0])
 def test_disclosing_terms_far_from_spans(spark, docs, most_words):
     """A disclosing word is marked everywhere: far from the span, in texts without one, but not inside a span."""
