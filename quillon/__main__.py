@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from quillon.plans import analyses, campaign, catalog, rasters, reports  # noqa: F401
+from quillon.plans import analyses, campaign, catalog, papers, rasters, reports  # noqa: F401
 
 
 def parser() -> argparse.ArgumentParser:

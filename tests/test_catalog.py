@@ -9,7 +9,7 @@ import pytest
 
 from quillon.functions import keys as K
 from quillon.operators import pairs as P
-from quillon.plans import analyses, campaign, catalog, rasters, reports  # noqa: F401
+from quillon.plans import analyses, campaign, catalog, papers, rasters, reports  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
