@@ -146,16 +146,16 @@ def family_settings(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), same("p_size").alias("size_agrees"), same("p_type").alias("type_agrees"))
 
 
-LOGITS = "l AS (SELECT vec_id, label, [exp(x::DOUBLE * 10) FOR x IN embedding[1:5]] AS e FROM embeddings), p AS (SELECT vec_id, [x / list_sum(e) FOR x IN e] AS p, label % 5 + 1 AS k FROM l)"
+LOGITS = "l AS (SELECT vec_id, label, [exp(x::DOUBLE * 10) FOR x IN embedding] AS e FROM embeddings), p AS (SELECT vec_id, [x / list_sum(e) FOR x IN e] AS p, label + 1 AS k FROM l)"
 
 
-@query(f"WITH {LOGITS} SELECT vec_id, (list_position(p, list_max(p)) - 1)::INTEGER AS top, round(list_max(p) - list_reverse_sort(p)[2], 6) AS margin, round(list_sum([x * x FOR x IN p]), 6) AS collision, round(-ln(greatest(p[k], 1e-12)), 6) AS nll, round(-ln(0.8 * p[k] + 0.2 / 5), 6) AS mixed_nll FROM p")
+@query(f"WITH {LOGITS} SELECT vec_id, (list_position(p, list_max(p)) - 1)::INTEGER AS top, round(list_max(p) - list_reverse_sort(p)[2], 6) AS margin, round(list_sum([x * x FOR x IN p]), 6) AS collision, round(-ln(greatest(p[k], 1e-12)), 6) AS nll, round(-ln(0.8 * p[k] + 0.2 / 64), 6) AS mixed_nll FROM p")
 def confidence_scores(spark, sf_dir):
-    """Softmax of five logits: top class, margin, collision probability, and losses with and without a uniform share."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 10).alias("v"))
+    """Softmax of the vectors as logits: top class, margin, collision probability, and losses with and without a uniform share."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * 10).alias("v"))
     s = e.select("vec_id", "label", V.softmax(F.col("v")).alias("p"))
-    own = F.element_at("p", (F.col("label") % 5 + 1).cast("int"))
-    return s.select("vec_id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("top"), V.top_margin(F.col("p")).alias("margin"), M.total(F.transform("p", lambda x: x * x)).alias("collision"), (-F.ln(F.greatest(own, F.lit(1e-12)))).alias("nll"), (-F.ln(0.8 * own + 0.2 / 5)).alias("mixed_nll"))
+    own = F.element_at("p", (F.col("label") + 1).cast("int"))
+    return s.select("vec_id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("top"), V.top_margin(F.col("p")).alias("margin"), M.total(F.transform("p", lambda x: x * x)).alias("collision"), (-F.ln(F.greatest(own, F.lit(1e-12)))).alias("nll"), (-F.ln(0.8 * own + 0.2 / 64)).alias("mixed_nll"))
 
 
 @query(f"WITH {PIXELS}, hh AS (SELECT vec_id % 11 AS grp, 2 * pi() * CASE WHEN h0 < 0 THEN h0 + 1 ELSE h0 END AS a FROM h), m2 AS (SELECT grp, avg(sin(a)) AS s, avg(cos(a)) AS c FROM hh GROUP BY 1) SELECT grp, round(CASE WHEN degrees(atan2(s, c)) < 0 THEN degrees(atan2(s, c)) + 360 ELSE degrees(atan2(s, c)) END, 4) AS hue, round(sqrt(s * s + c * c), 6) AS strength FROM m2")

@@ -135,11 +135,12 @@ def _confused(spark, sf_dir):
     return p.withColumns({"confused": F.col("target").isin(0, 1) & wrong & F.col("pred").isin(0, 1), "p_cross": F.when(wrong, 1 - F.col("p_true")).otherwise((1 - F.col("p_true")) / 9)})
 
 
-@query(f"WITH {PREDS} SELECT image_id, count(*) FILTER (pred <> target) AS n_wrong, count(*) FILTER (target IN (0, 1) AND pred <> target AND pred IN (0, 1)) AS n_confused, count(*) FILTER (target IN (0, 1) AND pred <> target AND pred IN (0, 1)) * 2 > count(*) AS majority FROM preds WHERE seed = 42 GROUP BY 1 HAVING count(*) FILTER (pred <> target) > 0")
+@query(f"""WITH {PREDS} SELECT image_id, seed, count(*) FILTER (pred <> target) AS n_wrong, count(*) FILTER (target IN (0, 1) AND pred <> target AND pred IN (0, 1)) AS n_confused,
+ count(*) FILTER (target IN (0, 1) AND pred <> target AND pred IN (0, 1)) * 2 > count(*) AS majority FROM preds GROUP BY ALL HAVING count(*) FILTER (pred <> target) > 0""")
 def image_confusions(spark, sf_dir):
-    """By image of the first seed's runs: arms wrong, arms that confuse the pair, and whether most do."""
-    out = _confused(spark, sf_dir).filter("seed = 42").groupBy("image_id").agg(F.count_if(F.col("pred") != F.col("target")).alias("n_wrong"), F.count_if("confused").alias("n_confused"), F.count("*").alias("_n"))
-    return out.filter("n_wrong > 0").select("image_id", "n_wrong", "n_confused", (F.col("n_confused") * 2 > F.col("_n")).alias("majority"))
+    """By image and seed: arms wrong, arms that confuse the pair, and whether most do."""
+    out = _confused(spark, sf_dir).groupBy("image_id", "seed").agg(F.count_if(F.col("pred") != F.col("target")).alias("n_wrong"), F.count_if("confused").alias("n_confused"), F.count("*").alias("_n"))
+    return out.filter("n_wrong > 0").select("image_id", "seed", "n_wrong", "n_confused", (F.col("n_confused") * 2 > F.col("_n")).alias("majority"))
 
 
 @query(f"""WITH {DECIDE} SELECT coalesce(label::VARCHAR, 'Overall') AS class_name, count(*) AS total, count(*) FILTER (status NOT IN ('rejected', 'uncertain')) AS eligible, count(*) FILTER (status = 'accepted') AS accepted, round(min(confidence) FILTER (status <> 'rejected'), 6) AS confidence_min,
@@ -205,16 +206,17 @@ def block_costs(spark, sf_dir):
     return out.withColumn("name", F.coalesce("name", F.lit("total")))
 
 
-@query("""WITH c AS (SELECT label, [list_avg(list(embedding[i]::DOUBLE)) FOR i IN range(1, 2)] AS dummy, avg(embedding[1]::DOUBLE) AS c1, avg(embedding[2]::DOUBLE) AS c2, avg(embedding[3]::DOUBLE) AS c3, avg(embedding[4]::DOUBLE) AS c4 FROM embeddings GROUP BY 1),
- x AS (SELECT vec_id, label, list_sum([v::DOUBLE * v::DOUBLE FOR v IN embedding]) AS sq, len(embedding) AS n, embedding[1]::DOUBLE * c1 + embedding[2]::DOUBLE * c2 + embedding[3]::DOUBLE * c3 + embedding[4]::DOUBLE * c4 AS dot, sqrt(embedding[1]::DOUBLE ** 2 + embedding[2]::DOUBLE ** 2 + embedding[3]::DOUBLE ** 2 + embedding[4]::DOUBLE ** 2) AS l, sqrt(c1 * c1 + c2 * c2 + c3 * c3 + c4 * c4) AS r FROM embeddings JOIN c USING (label))
- SELECT label, count(*) AS n, round(avg(sqrt(sq / n)), 6) AS rms, round(avg(dot / nullif(l * r, 0)), 6) AS cosine FROM x GROUP BY 1""".replace("[list_avg(list(embedding[i]::DOUBLE)) FOR i IN range(1, 2)] AS dummy, ", ""))
+@query("""WITH c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY 1),
+ x AS (SELECT label, list_transform(embedding, lambda v: v::DOUBLE) AS v, c FROM embeddings JOIN c USING (label))
+ SELECT label, count(*) AS n, round(avg(sqrt(list_inner_product(v, v) / len(v))), 6) AS rms, round(avg(list_inner_product(v, c) / nullif(sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(c, c)), 0)), 6) AS cosine FROM x GROUP BY 1""")
 def vector_diagnostics(spark, sf_dir):
-    """By class: the vectors' mean root mean square, and the mean cosine of their first four values with the class's mean."""
+    """By class: the vectors' mean root mean square, and their mean cosine with the class's mean vector."""
     e = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    means = e.groupBy("label").agg(F.array(*(F.avg(F.col("v")[k]) for k in range(4))).alias("c"))
-    first, size = F.slice("v", 1, 4), lambda a: F.sqrt(V.dot(a, a))
+    each = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    means = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))  # a vector's values
+    size = lambda a: F.sqrt(V.dot(a, a))
     x = e.join(F.broadcast(means), "label")  # one row a class
-    return x.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.sqrt(V.dot(F.col("v"), F.col("v")) / F.size("v"))).alias("rms"), F.avg(F.try_divide(V.dot(first, F.col("c")), size(first) * size(F.col("c")))).alias("cosine"))
+    return x.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.sqrt(V.dot(F.col("v"), F.col("v")) / F.size("v"))).alias("rms"), F.avg(F.try_divide(V.dot(F.col("v"), F.col("c")), size(F.col("v")) * size(F.col("c")))).alias("cosine"))
 
 
 @query(f"WITH {PREDS}, t(arm, title) AS (VALUES ('A0', 'Baseline'), ('A1', 'Baseline, longer'), ('A2', 'Wide')) SELECT arm, coalesce(title, arm) AS title, round(avg((pred = target)::INT), 6) AS accuracy FROM preds LEFT JOIN t USING (arm) GROUP BY ALL")
