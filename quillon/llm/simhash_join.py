@@ -71,11 +71,16 @@ def signed(mask: int) -> int:
 def linked(nodes: DataFrame, ws: Workspace, radius: int, most: int = MOST) -> DataFrame:
     """(a, b): each pair of distinct fingerprints ``fp`` of the written table ``nodes`` within the radius, once."""
     spark = nodes.sparkSession
-    found, level, open_rows = spark.createDataFrame([], "a bigint, b bigint"), [(0, 0, [])], nodes.select("fp", F.lit(0).alias("parent"))
+    found, level, open_rows = spark.createDataFrame([], "a bigint, b bigint"), [(0, 0, [])], None
     for k in range(64):
         made = tables(level, radius)
         masks = spark.createDataFrame([(a, b, signed(m), [signed(x) for x in e]) for a, b, m, e in made], "parent int, path int, mask bigint, earlier array<bigint>")
-        keyed = ws.save(open_rows.join(F.broadcast(masks.drop("earlier")), "parent").select("path", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), f"keyed{k}")
+        if open_rows is None:  # every node in each table
+            first = F.array(*(F.struct(F.lit(path).alias("path"), F.lit(signed(m)).cast("long").alias("mask")) for _, path, m, _ in made))
+            met = nodes.select("fp", F.explode(first).alias("t")).select("fp", "t.path", "t.mask")
+        else:
+            met = open_rows.join(F.broadcast(masks.drop("earlier")), "parent")
+        keyed = ws.save(met.select("path", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), f"keyed{k}")
         size = ws.save(keyed.groupBy("path", "key").agg(F.count("*").alias("size")).filter("size > 1"), f"size{k}")
         held = ws.save(met_evenly(keyed, size, ["path", "key"], "size"), f"held{k}")
         small, large = held.filter(F.col("size") <= most), held.filter(F.col("size") > most)
