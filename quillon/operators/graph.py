@@ -11,8 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import workers
+
 
 def _checkpoints(spark: SparkSession) -> None:
+    workers.ready(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import rasters as R
 from quillon.functions import registration as G
+from quillon.functions import workers
 
 IMAGE = ("height", "width", "channels", "data")
 
@@ -40,6 +41,7 @@ def _rgb(height, width, channels, data) -> np.ndarray | None:
 
 
 def _each(images: DataFrame, key: str, schema: str, f: Callable[[np.ndarray | None], tuple]) -> DataFrame:
+    workers.ready(images.sparkSession)
     kind = images.schema[key].dataType.simpleString()
     names = [key, *(c.split()[0] for c in schema.split(", "))]
 
@@ -203,6 +205,7 @@ def turned(images: DataFrame, key: str, angle: str, zoom: str) -> DataFrame:
     ``zoom`` about their middle; grey 128 enters from outside. A null angle is 0, a null zoom 1; both columns are kept."""
     kind = images.schema[key].dataType.simpleString()
     names = [key, angle, zoom, *IMAGE]
+    workers.ready(images.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -224,6 +227,7 @@ def derivative_parameters(derivatives: DataFrame, parents: DataFrame, on: list[s
     (``registration.similarity``); for the others the target is brought to the source's size by area. Status is ok;
     affine_failed if too few corners match or agree; blur_fit_failed if no blur explains the difference; gain_fit_failed
     if the source has one value only; an operation outside ESTIMATES is ok without figures."""
+    workers.ready(parents.sparkSession)
     old = parents.select(*on, *(F.col(c).alias(f"_{c}") for c in IMAGE))
     both = derivatives.select(key, *on, F.col(op).alias("op"), *IMAGE).join(old, on)
     head = [key, *on, "op"]

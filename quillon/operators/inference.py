@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.keys import md5_mod
+from quillon.functions import workers
 from quillon.operators import prefix
 from quillon.operators.metrics import averages, binary_auc
 
@@ -221,6 +222,7 @@ def paired_bootstrap(pairs: DataFrame, group: str, classes: int, replicates: int
     if not callable(metric) and metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     found = metric if callable(metric) else METRICS[metric]
+    workers.ready(pairs.sparkSession)
     kind = pairs.schema[group].dataType.simpleString()
     many = F.sum(weight) if weight else F.count("*")
     cells = pairs.groupBy(group).agg(many.alias("n")).join(
@@ -274,6 +276,7 @@ def poisson_bootstrap_auc(rows: DataFrame, group: list[str], score: str, label:
     added from each range's totals. So memory is some numbers a replicate, whatever the rows. Null scores and labels are
     left out; replicates that lack a class aren't used.
     """
+    workers.ready(rows.sparkSession)
     cell = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*group, F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
     named = cell.withColumns({"hp": F.xxhash64(*group, "s", F.lit("p")), "hq": F.xxhash64(*group, "s", F.lit("q"))})
     placed = prefix.ranges(named, group, ["s"], parts).select("_key", "_g", "_part", "p", "q", "hp", "hq")

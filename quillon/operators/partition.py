@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import workers
 from quillon.operators import prefix
 
 SPLITS = ("train", "val", "test")
@@ -71,6 +72,7 @@ def balanced_split(members: DataFrame, strata: str, cluster: str, shares: tuple[
     with how many clusters have them, pass through a task in order, and every cluster's split follows from its place in its
     size, numbered by many tasks. The result is that of dealing cluster by cluster. Null strata form one stratum.
     """
+    workers.ready(members.sparkSession)
     sizes = members.groupBy(strata, cluster).agg(F.count("*").alias("n"))
     runs = sizes.groupBy(strata, "n").agg(F.count("*").alias("_m"))
     totals = runs.groupBy(F.col(strata).alias("_stratum")).agg(F.sum(F.col("n") * F.col("_m")).alias("_total"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udtf
 
+from quillon.functions import workers
 from quillon.operators.audit import EVALUATION
 from quillon.operators.inference import METRICS, Metric, replicate_deltas
 
@@ -93,6 +94,7 @@ def _bootstrap(known: dict[str, Metric]) -> type:
 
 
 def register(spark: SparkSession, metrics: dict[str, Metric] | None = None) -> None:
+    workers.ready(spark)
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     spark.udtf.register("leak_audit", arrow_udtf(LeakAudit, returnType="leak_key string, n_train long, n_evaluation long, splits string"))

@@ -261,6 +261,9 @@ class NpySource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Makes the format known to the session."""
+    from quillon.functions import workers
+
+    workers.ready(spark)
     spark.dataSource.register(NpySource)
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import workers
 from quillon.sources.arrays import _store
 from quillon.sources.sinks import _fs, read_text
 
@@ -45,6 +46,7 @@ def publish(rows: DataFrame, root: str, overwrite: bool = False) -> DataFrame:
     """Publishes rows (split, class_name, filename, content) beside what the last release has; (path, status): written, kept (it
     was there) or replaced. All of it counts at once, or nothing."""
     spark = rows.sparkSession
+    workers.ready(spark)
     number, before = latest(spark, root)
     had, job = files(spark, root, before) if before else spark.createDataFrame([], MANIFEST), uuid.uuid4().hex[:12]
     named = rows.filter("content is not null").select(F.concat("split", F.lit("/"), "class_name", F.lit("/"), "filename").alias("path"), "content")

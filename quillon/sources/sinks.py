@@ -107,8 +107,11 @@ def materialise(rows: DataFrame, root: str, overwrite: bool = False) -> DataFram
     """Writes rows (split, class_name, filename, content) as root/split/class/file from the tasks; (path, status): written,
     kept (it was there) or replaced. Files are written aside and moved, so a retried task does no harm; ``releases.publish``
     makes a whole tree count at once."""
+    from quillon.functions import workers
     from quillon.sources.arrays import _store
 
+    workers.ready(rows.sparkSession)
+
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, at = _store(root)
         for batch in batches:

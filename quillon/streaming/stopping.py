@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quillon.functions import workers
+
 OUT = "run string, epoch long, metric double, improved boolean, best double, since long, stop boolean, status string"
 NAMES = [c.split()[0] for c in OUT.split(", ")]
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -88,6 +90,7 @@ def early_stops(rows: DataFrame, patience: int, silence: str, lateness: str) ->
 
 
 def stateful(spark: SparkSession) -> None:
+    workers.ready(spark)
     spark.conf.set(PROVIDER, ROCKS)
 
 
