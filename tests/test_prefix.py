@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.operators import inference, metrics, prefix, summary
+from quillon.operators import inference, metrics, prefix, summary, training_log
 
 SCHEMA = "g string, h int, k long, n long, x double"
 
@@ -105,3 +105,17 @@ def test_poisson_bootstrap_over_ranges(spark):
         assert point == pytest.approx(auc(s, f)) and used == 800 and abs(low - np.quantile(draws, 0.025)) < 0.025 and abs(high - np.quantile(draws, 0.975)) < 0.025
     lone = inference.poisson_bootstrap_auc(frame.filter("f"), ["g"], "s", "f", 30).first()
     assert lone.auc is None and lone.n_used == 0
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_moving_average_is_the_recurrence(spark, few):
+    rng = np.random.default_rng(8)
+    logs = {"a": rng.random(3000).tolist(), "b": [0.25], None: [1.0, 2.0, 4.0], "c": [1.0, None, 2.0]}
+    rows = spark.createDataFrame([(r, k, x) for r, v in logs.items() for k, x in enumerate(v)], "run string, epoch long, x double").repartition(4)
+    got = {r.run: r.ema for r in training_log.smoothed(rows, "run", "epoch", "x", 0.9, few).collect()}
+    for r, v in logs.items():
+        s = v[0]
+        for x in v[1:]:
+            s = None if x is None or s is None else 0.9 * s + 0.1 * x
+        assert got[r] == (None if s is None else pytest.approx(s, rel=1e-9))
+    assert training_log.smoothed(rows.limit(0), "run", "epoch", "x", 0.9, few).count() == 0
