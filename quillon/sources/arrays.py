@@ -1,6 +1,7 @@
 """NumPy's array files as a data source: ``spark.read.format("npy")`` and ``df.write.format("npy")``.
 
-Reading: a path is a file, a folder or a pattern. A file's header is read once, on the driver; its rows (entries of the first
+Reading: a path is a file, a folder or a pattern. A file's header is read once, on the driver; its rows, or those from the
+option ``first`` to before ``last``, (entries of the first
 axis, the rest flattened) are dealt into ranges of some ``range_mb``, and each task seeks to its own. Arrays in column order
 are read column by column; pickled ones and those without numbers are refused. A folder with a manifest is read by it alone.
 
@@ -75,6 +76,7 @@ class Range(InputPartition):
 class NpyReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.range_bytes = options["path"], int(float(options.get("range_mb", 64)) * (1 << 20))
+        self.first, self.last = int(options.get("first", 0)), int(options.get("last", 1 << 62))
 
     def _files(self) -> list[tuple[str, int]]:
         """(path, rows before it in the table) in order."""
@@ -106,7 +108,8 @@ class NpyReader(DataSourceReader):
                 dtype, fortran, shape, offset = _header(f)
             rows, width = (shape[0] if shape else 1), math.prod(shape[1:])
             step = max(1, self.range_bytes // max(1, width * dtype.itemsize))
-            out += [Range(path, dtype.str, fortran and len(shape) > 1, tuple(shape), offset, k, min(step, rows - k), before) for k in range(0, rows, step)]
+            low, high = max(0, self.first - before), min(rows, self.last - before)
+            out += [Range(path, dtype.str, fortran and len(shape) > 1, tuple(shape), offset, k, min(step, high - k), before) for k in range(low, high, step)]
         return out
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
@@ -267,10 +270,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(NpySource)
 
 
-def read_arrays(spark: SparkSession, path: str, range_mb: float = 64) -> DataFrame:
-    """(path, pos, values) of array files, as many tasks as ranges."""
+def read_arrays(spark: SparkSession, path: str, range_mb: float = 64, first: int = 0, last: int | None = None) -> DataFrame:
+    """(path, pos, values) of array files, as many tasks as ranges; only the rows from ``first`` to before ``last`` are read."""
     register(spark)
-    return spark.read.format("npy").option("path", path).option("range_mb", str(range_mb)).load()
+    found = spark.read.format("npy").option("path", path).option("range_mb", str(range_mb)).option("first", str(first))
+    return (found if last is None else found.option("last", str(last))).load()
 
 
 def write_array(rows: DataFrame, path: str, values: str, by: list[str], dtype: str = "float32", overwrite: bool = True) -> None:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import io
 import json
-import math
 import re
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +34,10 @@ def latex_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def npy_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, values) of .npy files: one row for each entry of the first axis, the rest flattened. A file is read
-    whole by one task; pickled arrays are refused."""
+    """(path, pos, values) of .npy files, as ``arrays.read_arrays`` reads them: by row ranges, many tasks a file."""
+    from quillon.sources.arrays import read_arrays
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                a = a.reshape(a.shape[0] if a.ndim else 1, math.prod(a.shape[1:])).astype("float64")
-                for k in range(0, len(a), 10_000):
-                    part = a[k : k + 10_000]
-                    yield pd.DataFrame({"path": name, "pos": np.arange(k, k + len(part)), "values": list(part)})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-    return files.mapInPandas(read, "path string, pos long, values array<double>")
+    return read_arrays(spark, path)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -93,14 +80,11 @@ def complete(spark: SparkSession, folder: str, marker: str, facts: dict) -> None
     write_text(spark, f"{folder}/{marker}", json.dumps(facts, indent=2, sort_keys=True))
 
 
-def write_npy(rows: DataFrame, path: str, values: str, by: list[str], dtype: str = "float32", most: int = 1_000_000) -> None:
-    """One .npy file of a column of equally long arrays, in the order of ``by``; more than ``most`` rows are refused."""
-    found = rows.orderBy(*by).select(values).limit(most + 1).toArrow()[values].to_pylist()
-    if len(found) > most:
-        raise ValueError(f"an array of over {most} rows: write a table instead")
-    out = io.BytesIO()
-    np.save(out, np.array(found, dtype), allow_pickle=False)
-    write_text(rows.sparkSession, path, out.getvalue())
+def write_npy(rows: DataFrame, path: str, values: str, by: list[str], dtype: str = "float32") -> None:
+    """One .npy file of a column of equally long arrays, in the order of ``by``, filled by the tasks."""
+    from quillon.sources.arrays import write_array
+
+    write_array(rows, path, values, by, dtype)
 
 
 def materialise(rows: DataFrame, root: str, overwrite: bool = False) -> DataFrame:

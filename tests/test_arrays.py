@@ -34,6 +34,8 @@ def test_folder_pattern_and_refusals(spark, tmp_path):
     (tmp_path / "note.txt").write_text("no array")
     assert [r[0] for r in got(spark, f"file://{tmp_path}")[1]] == ["b1.npy"] * 2 + ["b2.npy"] * 3
     assert len(got(spark, tmp_path / "b2*.npy")[1]) == 3
+    some = arrays.read_arrays(spark, str(tmp_path / "b2.npy"), first=1, last=2).collect()
+    assert [(r.pos, r["values"]) for r in some] == [(1, [0.0])] and arrays.read_arrays(spark, str(tmp_path / "b2.npy"), first=7).count() == 0
     np.save(tmp_path / "c.npy", np.array([{}], object), allow_pickle=True)
     for bad in (tmp_path / "c.npy", tmp_path / "none.npy"):
         with pytest.raises(Exception, match="numbers only|none.npy"):
