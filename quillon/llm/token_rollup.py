@@ -80,10 +80,10 @@ def counted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 class TokenRollup:
-    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 64, most_commits: int = 64) -> None:
-        """``buckets`` counts for a new folder; one that has commits keeps its own. One task holds a bucket of a batch: take
-        as many as the documents need."""
-        self.spark, self.buckets, self.most_commits = spark, buckets, most_commits
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 64, most_commits: int = 64, part_rows: int = 1_000_000) -> None:
+        """``buckets`` counts for a new folder; one that has commits keeps its own. A task holds a part of a bucket of a batch,
+        some ``part_rows`` rows."""
+        self.spark, self.buckets, self.most_commits, self.part_rows = spark, buckets, most_commits, part_rows
         self.folder = folder or f"{base_folder(spark).rstrip('/')}/quillon/rollup-{uuid.uuid4().hex[:12]}"
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -203,9 +203,16 @@ class TokenRollup:
         finally:
             self._fs.delete(self._path(staged), True)
 
+    def _spread(self, rows: DataFrame, n: int, buckets: int) -> DataFrame:
+        """Rows dealt by bucket and ``_part``: a bucket has as many parts, by the document's hash, as keep a part near
+        ``part_rows``, so a large batch isn't held to one task a bucket. A bucket is then as many files."""
+        parts = max(1, -(-n // (buckets * self.part_rows)))
+        dealt = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(parts)).cast("int"))
+        return dealt.repartition("bucket", "_part") if parts == 1 else dealt.repartition(min(buckets * parts, 100_000), "bucket", "_part")
+
     def _signed(self, commits: list[dict], changes: DataFrame, id_type: str, buckets: int) -> DataFrame:
         """The ledger rows of a batch, given the commits before it."""
-        last = changes.repartition("bucket").groupBy("bucket", "doc_id", "version").agg(F.max_by(F.struct("source", "lang", "n_tokens"), F.struct("seq", "n_tokens")).alias("x")).select("bucket", "doc_id", "version", "x.*")
+        last = self._spread(changes, changes.count(), buckets).groupBy("bucket", "_part", "doc_id", "version").agg(F.max_by(F.struct("source", "lang", "n_tokens"), F.struct("seq", "n_tokens")).alias("x")).select("bucket", "doc_id", "version", "x.*")
         blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
         added = last.filter("n_tokens is not null and version is not null").select("doc_id", blank("source"), blank("lang"), "version", F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"), "bucket")
         if not commits:
@@ -231,8 +238,8 @@ class TokenRollup:
         if not later or (sum(c["rows"] for c in later) < first["rows"] and len(later) < self.most_commits):
             return
         id_type = first["id_type"]
-        held = self._read(commits, "ledger", self._ledger_schema(id_type)).repartition("bucket")
-        data, n = self._write(self._summed(held, "bucket", "doc_id", *KEYS), id_type)
+        held = self._spread(self._read(commits, "ledger", self._ledger_schema(id_type)), sum(c["rows"] for c in (first, *later)), first["buckets"])
+        data, n = self._write(self._summed(held, "bucket", "_part", "doc_id", *KEYS).drop("_part"), id_type)
         if not self._publish(len(commits), {"batch": None, "data": data, "rows": n, "id_type": id_type, "buckets": first["buckets"]}):
             self._drop(data)
 

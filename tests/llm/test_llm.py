@@ -291,10 +291,11 @@ def test_interaction_is_learned():
 CHANGE = "doc_id long, source string, lang string, version string, n_tokens long, seq int"
 
 
-def test_rollup_against_a_dictionary(spark):
-    """A random history of inserts, revisions and deletions, with snapshots between."""
+@pytest.mark.parametrize("part_rows", [10**6, 1])
+def test_rollup_against_a_dictionary(spark, part_rows):
+    """A random history of inserts, revisions and deletions, with snapshots between; buckets whole and in parts."""
     rng, model = random.Random(0), {}
-    rollup = TokenRollup(spark, buckets=4, most_commits=2)
+    rollup = TokenRollup(spark, buckets=4, most_commits=2, part_rows=part_rows)
     for batch in range(6):
         changes = []
         for _ in range(rng.randint(0, 12)):
