@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import decontaminate, hmm, jaccard_join, language, mixing, pii, quality, queries, toxicity
+from quillon.llm import decontaminate, hmm, jaccard_join, language, lexical, mixing, pii, quality, queries, simhash_join, toxicity
 from quillon.llm.common import fresh
 from quillon.llm.exact_dedup import distinct_texts, exact_dedup
 from quillon.llm.token_rollup import counted
@@ -58,6 +58,7 @@ OPERATORS = {
     "op8": lambda docs, labels, bench: hmm.hmm_scores(docs),
     "op9": lambda docs, labels, bench: jaccard_join.jaccard_join(docs),
     "op10": lambda docs, labels, bench: counted(docs),
+    "op12": lambda docs, labels, bench: simhash_join.simhash_groups(docs),
 }
 STAGES = {
     "quality": lambda docs, labels, bench: quality.of_quality(docs, labels),
@@ -102,6 +103,14 @@ def test_operator_on_long_texts(spark, labels, benchmark, name):
     assert time.monotonic() - began < 150
 
 
+def test_ranked_search_on_long_texts(spark, benchmark):
+    docs = table(spark, list(LONG.values())).repartition(4)
+    began = time.monotonic()
+    got = lexical.ranked_search(docs, docs.selectExpr("doc_id item_id", "text").unionByName(benchmark)).collect()
+    assert {r.item_id for r in got} >= {0, 2, None} and all(r.score > 0 for r in got) and time.monotonic() - began < 150
+    assert lexical.ranked_search(table(spark, SMALL), benchmark).count() > 0
+
+
 def test_fresh_names():
     assert fresh(["_ID", "_id_"], "_id", "x", "X") == ["_id__", "x", "X_"]
 
