@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.graph import _checkpoints
 
-FEW = 100_000  # rows that a window sums up as well, counted first
+FEW = 1_000_000  # rows that a window sums up as well, counted first; as many as a range has
 RANGE = 1_000_000  # rows of a range
 
 
