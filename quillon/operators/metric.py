@@ -5,20 +5,25 @@ largest one. Rows are dealt to cells by their nearest pivot, again and again unt
 cell's pivots (four for each ``MOST`` rows, ``FAN`` at most) are taken from a sample of it, each the farthest from those
 before, until all of the sample is near one. A row also visits each later cell that its ball may reach: if y is nearest
 to pivot q and x to p, then y lies beyond the plane halfway between p and q, so x visits q's cell if it is within r of
-that plane. So a pair in reach meets in one cell: that of the two rows' cells which comes later. In a cell, two rows are
-compared only if their distances from its pivot differ by no more than the ball's radius.
+that plane. So a pair in reach meets in one cell, once: that of the two rows' cells which comes later.
 
 A cell whose rows would visit more than ``DENSE`` of the pivots gains nothing by that, nor does one of equal vectors: it
-stays as it is and its rows meet by pairs of blocks of some ``BLOCK`` rows. No task holds more than one part of a cell.
+stays as it is. All rows of a cell meet by pairs of blocks of some ``BLOCK`` rows, each pair once: a matrix product of two
+blocks, strip by strip, finds the candidates, and these are summed up again in the order of ``vectors.dot``. A task holds
+two blocks and one strip, whatever the cell's size and however many pairs it has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import workers
 from quillon.functions.vectors import dot
 from quillon.operators.graph import _checkpoints
 
@@ -26,6 +31,7 @@ FAN, MOST, BLOCK, PART = 1024, 256, 4096, 8192
 DRAWN, JUDGED = 4, 64  # rows sampled for each pivot, and to judge the visits by
 DENSE, LEVELS = 0.5, 12
 SLACK = 1e-6  # of distances, for rounding
+STRIP = 1 << 19  # products that a task holds
 SMALL = 1_000_000  # rows of a table that is broadcast
 
 
@@ -35,7 +41,88 @@ def _met(small: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def _fold(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of columns i of x and j of y, summed up as ``vectors.dot`` does: the same to the bit."""
+    out = np.zeros(len(i))
+    for a, b in zip(x, y):
+        out += a[i] * b[j]
+    return out
+
+
+def _second(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values by place, length) of vectors that may be null, have nulls or differ in length; nulls count as length -1."""
+    rows = column.to_pylist()
+    size = np.array([-1 if v is None or any(x is None for x in v) else len(v) for v in rows])
+    out = np.zeros((max(size.max(initial=0), 0), len(rows)))
+    for k, v in enumerate(rows):
+        if size[k] > 0:
+            out[: size[k], k] = v
+    return out, size
+
+
+def _meeting(least: float, on: list[str], carried: list[str], beside: str | None, forward: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs of one group of rows (left, right, second, id, vector and others): those of its first block with its second
+    one, or within it where left is right; with ``forward`` only those whose first row has the lesser id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(list(batches)).combine_chunks()
+        same = both["left"][0] == both["right"][0]
+        one = both.filter(pc.invert(both["second"]))
+        two = one if same else both.filter(both["second"])
+        if not one.num_rows or not two.num_rows:
+            return
+        both = one if same else pa.concat_tables([one, two]).combine_chunks()
+        shift = 0 if same else one.num_rows
+        width = len(one["vector"][0])
+        x, y = (_matrix(t["vector"], width) for t in (one, two))
+        xs, ys = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+        ids = both["id"].to_numpy()
+        extra, size = _second(both[beside]) if beside else (None, None)
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = least - 1e-9 * (1 + np.sqrt((x**2).sum(1).max(initial=0)) * np.sqrt((y**2).sum(1).max(initial=0)))  # the matrix product rounds otherwise
+            step = max(1, STRIP // len(y))
+            for at in range(0, len(x), step):
+                low = at if same else 0
+                i, j = np.nonzero(~(x[at : at + step] @ y[low:].T < bound))
+                i, j = i + at, j + low
+                if same:
+                    i, j = i[j > i], j[j > i]
+                product = _fold(xs, ys, i, j)
+                a, b = ids[i], ids[j + shift]
+                keep = ~(product < least) & ((a < b) if forward else (a != b))
+                i, j, product, turn = i[keep], j[keep] + shift, product[keep], (a > b)[keep]
+                if not len(i):
+                    continue
+                p, q = np.where(turn, j, i), np.where(turn, i, j)
+                first, last = pa.array(p), pa.array(q)
+                columns = {c: both[c].take(first) for c in on} | {"i": both["id"].take(first), "j": both["id"].take(last)}
+                for c in carried:
+                    columns |= {f"{c}_i": both[c].take(first), f"{c}_j": both[c].take(last)}
+                columns["product"] = pa.array(product)
+                if beside:
+                    columns["beside"] = pa.array(_fold(extra, extra, p, q), mask=(size[p] != size[q]) | (size[p] < 0))
+                made = pa.table(columns).combine_chunks()
+                yield from made.to_batches()
+
+    return run
+
+
+def _meet(rows: DataFrame, least: float, on: list[str], keys: list[str], carried: list[str], beside: str | None = None, forward: bool = False) -> DataFrame:
+    """(``on``, i, j, carried columns with these endings, product, beside) of rows dealt to groups by ``keys``, left and right."""
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = [*((c, kind[c]) for c in on), ("i", kind["id"]), ("j", kind["id"]), *((f"{c}_{s}", kind[c]) for c in carried for s in "ij"), ("product", "double"), *([("beside", "double")] if beside else [])]
+    names = list(dict.fromkeys([*keys, "left", "right", "second", "id", "vector", *carried, *([beside] if beside else [])]))
+    return rows.select(*names).groupBy(*keys, "left", "right").applyInArrow(_meeting(least, on, carried, beside, forward), ", ".join(f"`{c}` {t}" for c, t in schema))
+
+
+def _whole(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Rows that can be in a pair, their vectors as doubles."""
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = rows.withColumn("vector", F.col("vector").cast("array<double>")).dropna(subset=[*on, "id", "vector"])
+    return rows.filter(fine)
 
 
 def _reach(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,9 +214,7 @@ class MetricIndex:
         _checkpoints(rows.sparkSession)
         self.on, self.least = on, float(min_dot)
         self.carried = [c for c in rows.columns if c not in (*on, "id", "vector")]
-        whole = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-        rows = rows.withColumn("vector", F.col("vector").cast("array<double>")).filter("vector is not null").filter(whole)
-        rows = rows.withColumn("square", dot(F.col("vector"), F.col("vector")))
+        rows = _whole(rows, on).withColumn("square", dot(F.col("vector"), F.col("vector")))
         top = rows.agg(F.max("square")).first()[0] or 0.0
         ball = F.col("square") + top - 2 * self.least + SLACK
         rows = rows.filter(ball >= 0).withColumns({"radius": F.sqrt(ball), "cell": F.xxhash64(*(on or [F.lit(0)]), F.size("vector")), "home": F.lit(True), "far": F.lit(0.0)})
@@ -157,21 +242,16 @@ class MetricIndex:
         cells = self.rows.groupBy(*self.on, "cell").agg(F.count_if("home").alias("h"), F.count("*").alias("n"))
         return int(cells.agg(F.sum(F.expr("h * (h - 1) div 2 + (n - h) * h"))).first()[0] or 0)
 
-    def pairs(self) -> DataFrame:
-        """(``on``, i, j, other columns of i and j with these endings, product): pairs i < j from the bound on; a pair may be given
-        twice."""
+    def pairs(self, beside: str | None = None) -> DataFrame:
+        """(``on``, i, j, other columns of i and j with these endings, product): pairs i < j from the bound on, each once. ``beside``
+        names a column of other vectors, whose inner product is given as well, null where one is null or lengths differ."""
         keys = [*self.on, "cell"]
-        size = self.rows.groupBy(*keys).agg(F.count_if("home").alias("h"), F.count("*").alias("n")).filter((F.col("n") > BLOCK) & (F.col("h") > 0)).checkpoint()
-        blocks = size.select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("h") / BLOCK).cast("int").alias("rights"))
-        rows = self.rows.join(_met(blocks), keys, "left").na.fill(1, ["lefts", "rights"])
-        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "vector", "square", "far", "home", *self.carried)]
-        left = rows.withColumns({"left": own("lefts"), "right": every("rights")}).select(*keys, "left", "right", *side("i"))
-        right = rows.filter("home").withColumns({"right": own("rights"), "left": every("lefts")}).select(*keys, "left", "right", *side("j"))
-        near = F.pow(F.col("far_i") - F.col("far_j"), 2) <= F.col("square_i") + F.col("square_j") - 2 * self.least + SLACK
-        met = left.join(right, [*keys, "left", "right"]).filter(F.when(F.col("home_i"), F.col("id_i") < F.col("id_j")).otherwise(F.col("id_i") != F.col("id_j")) & near)
-        met = met.withColumn("product", dot(F.col("vector_i"), F.col("vector_j"))).filter(F.col("product") >= self.least)
-        turn = F.col("id_i") > F.col("id_j")
-        pick = lambda c, x, y, name: F.when(turn, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(name)
-        return met.select(*self.on, pick("id", "i", "j", "i"), pick("id", "j", "i", "j"), *(pick(c, x, y, f"{c}_{x}") for c in self.carried for x, y in (("i", "j"), ("j", "i"))), "product")
+        size = self.rows.groupBy(*keys).agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v")).filter("h > 0")
+        blocks = size.select(*keys, F.ceil(F.col("h") / BLOCK).cast("int").alias("own"), F.ceil(F.col("v") / BLOCK).cast("int").alias("guests")).checkpoint()
+        part = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.col(n), F.lit(1))).cast("int")
+        rows = self.rows.join(_met(blocks), keys).withColumn("at", F.when(F.col("home"), part("own")).otherwise(F.col("own") + part("guests")))
+        # blocks of residents are 0..own - 1 and meet those from themselves on; blocks of visitors follow and meet all of these
+        left = rows.withColumns({"left": F.col("at"), "right": F.explode(F.when(F.col("home"), F.sequence("at", F.col("own") - 1)).otherwise(F.sequence(F.lit(0), F.col("own") - 1))), "second": F.lit(False)})
+        every = F.filter(F.sequence(F.lit(0), F.col("own") + F.col("guests") - 1), lambda k: (k < F.col("at")) | (k >= F.col("own")))
+        right = rows.filter("home").withColumns({"left": F.explode(every), "right": F.col("at"), "second": F.lit(True)})
+        return _meet(left.unionByName(right), self.least, self.on, keys, [c for c in self.carried if c != beside], beside)

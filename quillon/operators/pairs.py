@@ -23,49 +23,51 @@ def _signs(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(F.bit_get(word, k) == 1, 1.0).otherwise(-1.0))
 
 
-def near_pairs(rows: DataFrame, max_hamming: int | None, min_cosine: float | None, mode: str = "both", within_class: bool = True) -> DataFrame:
-    """Pairs i < j of rows (id, class_name, word, vector) with hamming and cosine.
+def near_pairs(rows: DataFrame, max_hamming: int | None, min_cosine: float | None, mode: str = "both", within_class: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs i < j of rows (id, class_name, word, vector) with hamming and cosine, and the columns of ``carry`` of both ends.
 
     mode: both, any, hash or vector. Where the hash must agree within 15 bits, candidates come from equal bands of the word
     (pigeon hole). Other bounds on hash or vector are inner products, and candidates come from a metric index
-    (``metric.MetricIndex``), which gives all of them. ``any`` is the union of both. A bound that is None is met by all
-    rows; where no other holds, every pair of a class is a candidate. Rows with a null or non-finite component have no
-    near vector.
+    (``metric.MetricIndex``), which gives each of them once. ``any`` is those of the hash and then those of the vector that
+    the hash doesn't give. A bound that is None is met by all rows; where no other holds, every pair of a class is a
+    candidate. Rows with a null or non-finite component have no near vector.
     """
-    on, base = (["class_name"] if within_class else []), ["class_name", "id", "word", "vector"]
+    on, base = (["class_name"] if within_class else []), ["class_name", "id", "word", "vector", *carry]
     rows = rows.select(*base)
     near = F.col("hamming") <= max_hamming if max_hamming is not None else F.lit(True)
     like = F.col("cosine") >= min_cosine if min_cosine is not None else F.lit(True)
     keep: Column = {"both": near & like, "any": near | like, "hash": near, "vector": like}[mode]
+    out = [*on, "i", "j", "hamming", "cosine", *(f"{c}_{s}" for c in carry for s in "ij")]
+    kept = ["word", *carry, *([] if within_class else ["class_name"])]
+    bits = hamming(F.col("word_i"), F.col("word_j"))
 
     def banded() -> DataFrame:
         parts, keys = _banded(rows, max_hamming + 1), [*on, "band", "piece"]
-        a = parts.select(*keys, F.col("id").alias("i"), F.col("word").alias("wi"), F.col("vector").alias("vi"))
-        b = parts.select(*keys, F.col("id").alias("j"), F.col("word").alias("wj"), F.col("vector").alias("vj"))
-        return a.join(b, keys).filter("i < j").select(*on, "i", "j", "wi", "wj", "vi", "vj")
+        side = lambda s: parts.select(*keys, F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("word", "vector", *carry)))
+        met = side("i").join(side("j"), keys).filter("i < j").withColumns({"hamming": bits, "cosine": dot(F.col("vector_i"), F.col("vector_j"))})
+        return met.filter(keep).select(*out).distinct()  # a pair may share several bands
 
     def by_vector(least: float) -> DataFrame:
-        given = rows.select(*on, "id", "vector", "word", F.col("vector").alias("whole"))
-        return metric.MetricIndex(given, least, on).pairs().selectExpr(*on, "i", "j", "word_i as wi", "word_j as wj", "whole_i as vi", "whole_j as vj")
+        met = metric.MetricIndex(rows.select(*on, "id", "vector", *kept), least, on).pairs()
+        return met.withColumns({"hamming": bits, "cosine": F.col("product")}).filter(keep).select(*out)
 
     def by_hash() -> DataFrame:
         if max_hamming is not None and max_hamming < 16:
             return banded()
-        given = rows.select(*on, "id", _signs(F.col("word")).alias("vector"), "word", F.col("vector").alias("whole"))
+        given = rows.select(*on, "id", _signs(F.col("word")).alias("vector"), *kept, F.col("vector").alias("whole"))
         least = 64 - 2 * (64 if max_hamming is None else max_hamming)
-        return metric.MetricIndex(given.filter("word is not null"), least, on).pairs().selectExpr(*on, "i", "j", "word_i as wi", "word_j as wj", "whole_i as vi", "whole_j as vj")
+        met = metric.MetricIndex(given.filter("word is not null"), least, on).pairs("whole")
+        return met.withColumns({"hamming": bits, "cosine": F.col("beside")}).filter(keep).select(*out)
 
     small = max_hamming is not None and max_hamming < 16
     if mode == "hash" or mode == "both" and (small or min_cosine is None):
-        met = by_hash()
-    elif mode == "any" and min_cosine is not None and max_hamming is not None:
-        met = by_hash().unionByName(by_vector(min_cosine))
-    elif mode == "any" or min_cosine is None:
-        met = by_hash() if min_cosine is not None else by_vector(float("-inf"))
-    else:
-        met = by_vector(min_cosine)
-    met = met.withColumns({"hamming": hamming(F.col("wi"), F.col("wj")), "cosine": dot(F.col("vi"), F.col("vj"))})
-    return met.filter(keep).select(*on, "i", "j", "hamming", "cosine").distinct()
+        return by_hash()
+    if mode == "any" and min_cosine is not None and max_hamming is not None:
+        told = F.coalesce(near, F.lit(False))
+        return by_hash().filter(told).unionByName(by_vector(min_cosine).filter(~told))
+    if mode == "any" or min_cosine is None:
+        return by_hash() if min_cosine is not None else by_vector(float("-inf"))
+    return by_vector(min_cosine)
 
 
 def prune(pairs: DataFrame, keep_val_test: bool = False) -> DataFrame:
@@ -97,7 +99,7 @@ def sweep(pairs: DataFrame, grid: list[tuple[int, float]]) -> DataFrame:
 def across_classes(rows: DataFrame, min_cosine: float, n: int) -> DataFrame:
     """The first n pairs i < j of different classes by (i, j) with at least the cosine; the limit is the feature. Candidates
     come from the metric index."""
-    met = metric.MetricIndex(rows.select("id", "class_name", "vector"), min_cosine, []).pairs().filter("class_name_i != class_name_j").distinct()
+    met = metric.MetricIndex(rows.select("id", "class_name", "vector"), min_cosine, []).pairs().filter("class_name_i != class_name_j")
     return met.orderBy("i", "j").limit(n).selectExpr("i", "j", "class_name_i as class_i", "class_name_j as class_j", "product as cosine")
 
 

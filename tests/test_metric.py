@@ -86,3 +86,23 @@ def test_near_pairs_modes(spark, mode, bits, cosine):
                 want.add((i, j))
     got = pairs.near_pairs(rows, bits, cosine, mode).collect()
     assert len(got) == len(want) and {(r.i, r.j) for r in got} == want
+
+
+def test_pairs_need_no_join_by_pair(spark):
+    rows = spark.createDataFrame([(k, "c", v.tolist(), k * 7919, f"s{k % 3}") for k, v in enumerate(clustered(200, 9, 8, 0.3, 7))], "id long, class_name string, vector array<double>, word long, split string")
+    met = pairs.near_pairs(rows, None, 0.3, "vector", carry=("split",))
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 2 and "Distinct" not in plan and plan.count("Aggregate") == 0  # candidates are made by blocks and each comes once
+    got = met.collect()
+    assert got and all((r.split_i, r.split_j) == (f"s{r.i % 3}", f"s{r.j % 3}") for r in got)
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_blocks_of_one_group_are_bounded_and_exact(spark, monkeypatch, groups):
+    monkeypatch.setattr(metric, "BLOCK", 64)
+    monkeypatch.setattr(metric, "STRIP", 500)
+    x = np.repeat(np.random.default_rng(8).normal(size=(groups, 6)), 300 // groups, 0)  # copies: every pair of a group is one
+    index = metric.MetricIndex(rows_of(spark, x), float((x**2).sum(1).min()) * 0.9, [])
+    got = [tuple(r) for r in index.pairs().select("i", "j").collect()]
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= float((x**2).sum(1).min()) * 0.9, 1)))}
+    assert len(got) == len(set(got)) and set(got) == want
