@@ -125,6 +125,22 @@ def _whole(rows: DataFrame, on: list[str]) -> DataFrame:
     return rows.filter(fine)
 
 
+def led(rows: DataFrame, min_dot: float, lead: int) -> DataFrame | None:
+    """(i, j, other columns with these endings, product) of all pairs i < j whose i is among the ``lead`` least ids, or None if
+    these have more than BLOCK rows: the leading rows meet every block of the others."""
+    workers.ready(rows.sparkSession)
+    rows = _whole(rows, [])
+    last = rows.select("id").orderBy("id").limit(lead).agg(F.max("id")).first()[0]
+    front = rows.filter(F.col("id") <= F.lit(last))
+    if front.count() > BLOCK:
+        return None
+    parts = max(1, -(-rows.count() // BLOCK))
+    left = front.withColumns({"left": F.lit(-1), "right": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "second": F.lit(False)})
+    right = rows.withColumns({"left": F.lit(-1), "right": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), "second": F.lit(True)})
+    width = F.size("vector")  # vectors of different lengths don't meet
+    return _meet(left.unionByName(right).withColumn("width", width), float(min_dot), [], ["width"], [c for c in rows.columns if c not in ("id", "vector")], forward=True)
+
+
 def _reach(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nearest pivot, distances to all, which cells each row's ball may reach)."""
     far = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import dot, hamming
-from quillon.operators import metric
+from quillon.operators import graph, metric
 
 SEVERITY = {("test", "train"): 0, ("train", "val"): 1, ("test", "val"): 2}
 
@@ -96,11 +96,21 @@ def sweep(pairs: DataFrame, grid: list[tuple[int, float]]) -> DataFrame:
     return cells.join(counts, ["max_hamming", "min_cosine"], "left").na.fill(0, ["n_pairs", "n_cross"])
 
 
-def across_classes(rows: DataFrame, min_cosine: float, n: int) -> DataFrame:
-    """The first n pairs i < j of different classes by (i, j) with at least the cosine; the limit is the feature. Candidates
-    come from the metric index."""
-    met = metric.MetricIndex(rows.select("id", "class_name", "vector"), min_cosine, []).pairs().filter("class_name_i != class_name_j")
-    return met.orderBy("i", "j").limit(n).selectExpr("i", "j", "class_name_i as class_i", "class_name_j as class_j", "product as cosine")
+def across_classes(rows: DataFrame, min_cosine: float, n: int, leads: tuple[int, ...] = (64, 4096)) -> DataFrame:
+    """The first n pairs i < j of different classes by (i, j) with at least the cosine; the limit is the feature. The rows of
+    least id meet all others first: if these give n pairs, no later row can. Else all pairs come from the metric index."""
+    graph._checkpoints(rows.sparkSession)
+    given = rows.select("id", "class_name", "vector")
+    for lead in leads:
+        met = metric.led(given, min_cosine, lead)
+        if met is not None:
+            found = met.filter("class_name_i != class_name_j").orderBy("i", "j").limit(n).checkpoint()
+            if found.count() == n:
+                break
+    else:
+        met = metric.MetricIndex(given, min_cosine, []).pairs().filter("class_name_i != class_name_j")
+        found = met.orderBy("i", "j").limit(n)
+    return found.orderBy("i", "j").selectExpr("i", "j", "class_name_i as class_i", "class_name_j as class_j", "product as cosine")
 
 
 def bands(pairs: DataFrame, edges: list[int]) -> DataFrame:

@@ -106,3 +106,11 @@ def test_blocks_of_one_group_are_bounded_and_exact(spark, monkeypatch, groups):
     got = [tuple(r) for r in index.pairs().select("i", "j").collect()]
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= float((x**2).sum(1).min()) * 0.9, 1)))}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("n, leads", [(5, (64, 4096)), (40, (2, 10)), (10_000, (2, 10)), (40, ())])
+def test_first_pairs_across_classes(spark, n, leads):
+    x = clustered(120, 6, 5, 0.4, 9)
+    want = [(i, j) for i in range(120) for j in range(i + 1, 120) if i % 4 != j % 4 and float(x[i] @ x[j]) >= 0.8]
+    got = pairs.across_classes(rows_of(spark, x, 4), 0.8, n, leads).collect()
+    assert [(r.i, r.j) for r in got] == want[:n] and all((r.class_i, r.class_j) == (f"c{r.i % 4}", f"c{r.j % 4}") for r in got)
