@@ -165,3 +165,19 @@ def test_rules_and_fits(spark):
     fit = inference.clipped_fit(pts, ["g"], "x", "y", 3.5, 8.5, 5).first()
     assert (fit.gain, fit.shift, fit.n_inner, fit.n) == (pytest.approx(2), pytest.approx(1), 5, 12)
     assert inference.clipped_fit(pts, ["g"], "x", "y", 3.5, 8.5, 6).first().gain != pytest.approx(2)
+
+
+def test_draws_are_dealt_and_shared_by_size(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.operators import inference
+
+    sizes = spark.createDataFrame([("a", 9000), ("b", 9000), ("c", 5)], "g string, n long").coalesce(1)
+    drawn = inference.resamples(sizes, ["g"], "k", 12).withColumn("task", F.spark_partition_id())
+    by_task = [r.n for r in drawn.groupBy("task").agg(F.count("*").alias("n")).collect()]
+    assert sum(by_task) == 12 * 18005 and len(by_task) >= 3 and max(by_task) < 0.7 * sum(by_task)
+    rows = spark.range(9000).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("g"), F.col("id").alias("k"), (F.col("id") % 7 == 0).alias("ok_a"), (F.col("id") % 5 == 0).alias("ok_b"))
+    plan = inference._drawn(rows, sizes, ["g"], "k", 12)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan  # neither the draws nor the rows go through the driver
+    a, b = sorted(tuple(r)[1:] for r in inference.bootstrap_accuracy(rows, ["g"], "k", 12).collect())
+    assert a == pytest.approx(b, rel=1e-9)
