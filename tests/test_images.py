@@ -318,3 +318,43 @@ def test_command_line(tmp_path, capsys, spark):
     assert spark.read.json(f"{tmp_path}/out").count() > 0
     with pytest.raises(SystemExit):
         main(["run", "no_such_query", "--tables", "x"])
+
+
+def test_batches_of_images_are_bounded(spark, monkeypatch):
+    images.workers.bounded(spark)
+    one = np.zeros((120, 120, 3), np.uint8)
+    rows = rows_of(spark, [one]).select("height", "width", "channels", "data").crossJoin(spark.range(1200).coalesce(1).withColumnRenamed("id", "id"))
+    seen = rows.select("id", "data").mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]][:1] for b in batches), "n long").collect()
+    assert max(r.n for r in seen) * one.size <= 1.2 * images.workers.BATCH
+    given = [len(f) for f in images._parts(((k, bytes(1 << 20)) for k in range(100)), ["k", "data"])]
+    assert sum(given) == 100 and max(given) <= 33
+    assert images.centre_crops(rows.limit(3), "id", 20, 10).filter("height = 10").count() == 3
+
+
+def test_blurs_of_small_images_equal_those_of_large_ones():
+    rng = np.random.default_rng(4)
+    for h, w in ((8, 8), (3, 11), (1, 5)):
+        a = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        down, along = R.blurs(h, images.SIGMAS), R.blurs(w, images.SIGMAS)
+        for k, s in enumerate(images.SIGMAS):
+            assert np.allclose(down[k] @ a.astype(float) @ along[k].T, R.gaussian(a, s))
+
+
+@pytest.mark.parametrize("side", [8, 128])
+def test_blur_needs_no_join_by_pixel(spark, side):
+    a = np.random.default_rng(5).random((19, 26, 3))
+    lacking = {(3, 4), (18, 25), (8, 8)}
+    df = spark.createDataFrame([(7, y, x, *map(float, a[y, x])) for y in range(19) for x in range(26) if (y, x) not in lacking], "image_id long, y int, x int, r double, g double, b double").repartition(3)
+    k = np.exp(-(np.arange(-3, 4) ** 2) / 2)
+    k /= k.sum()
+    there = np.ones((19, 26, 1))
+    for p in lacking:
+        there[p] = 0
+    wide = sum(w * (a * there)[:, np.clip(np.arange(26) + s, 0, 25)] for s, w in zip(range(-3, 4), k)) * there
+    want = sum(w * wide[np.clip(np.arange(19) + s, 0, 18)] for s, w in zip(range(-3, 4), k))
+    made = pixels.blur(1.0, side)(df)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "hint" in plan.lower() or "shuffle_hash" in plan.lower()
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in made.collect()}
+    assert set(got) == {(y, x) for y in range(19) for x in range(26)} - lacking
+    assert all(np.allclose(got[p], want[p]) for p in got)
