@@ -38,12 +38,20 @@ def _told(rows: DataFrame, group: list[str], keys: list[str]) -> DataFrame:
     return rows.select(*group, *keys, sha.alias("sha")).groupBy(*group, *keys, "sha").agg(F.count("*").alias("n"))
 
 
-def _ranges(told: DataFrame, group: list[str], keys: list[str], about: int, few: int) -> DataFrame:
-    """(group, place, first, digest, n) of the rows' ranges."""
+def _placed(told: DataFrame, group: list[str], keys: list[str], about: int, few: int) -> DataFrame:
+    """Told rows with their range's place."""
     marked = prefix.prefix_sums(told.withColumn("mark", _ends("sha", 0, about)), group, [*keys, "sha"], {"before": "mark"}, few)
-    first = F.struct(*keys, "sha")
+    return marked.select(*group, *keys, "sha", "n", (F.col("before") + F.col("mark")).alias("place"))
+
+
+def _leaves(placed: DataFrame, group: list[str], keys: list[str]) -> DataFrame:
+    """(group, place, first, digest, n) of the rows' ranges."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(*keys, "sha", "n"))), lambda x: F.concat_ws(":", x["sha"], x["n"].cast("string")))
-    return marked.withColumn("place", F.col("before") + F.col("mark")).groupBy(*group, "place").agg(F.min(first).alias("first"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+    return placed.groupBy(*group, "place").agg(F.min(F.struct(*keys, "sha")).alias("first"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+
+
+def _ranges(told: DataFrame, group: list[str], keys: list[str], about: int, few: int) -> DataFrame:
+    return _leaves(_placed(told, group, keys, about, few), group, keys)
 
 
 class Tree:
@@ -148,19 +156,15 @@ def tree(rows: DataFrame, group: list[str], keys: list[str], about: int = 1024,
 
 
 def changed_rows(old: DataFrame, new: DataFrame, group: list[str], keys: list[str], about: int = 1024, fan: int = 16, few: int = prefix.FEW) -> DataFrame:
-    """(side, group, keys, sha, n) of the rows that one table has more of than the other, from the ranges that differ alone."""
-    a, b = tree(old, group, keys, about, fan, few), tree(new, group, keys, about, fan, few)
+    """(side, group, keys, sha, n) of the rows that one table has more of than the other, from the ranges that differ alone. Rows
+    are hashed and placed once a table, and kept for the ranges' rows."""
+    placed = {side: written(_placed(_told(rows, group, keys), group, keys, about, few)) for side, rows in (("left", old), ("right", new))}
+    a, b = (Tree(_leaves(rows, group, keys), group, keys, about, fan, few) for rows in placed.values())
     ranges, _ = a.differing(b)
-    ends = ranges.select(*group, F.struct(*(F.col("first")[k].alias(k) for k in keys)).alias("low"), "side", "place")
     out = None
-    for side, rows, t in (("left", old, a), ("right", new, b)):
-        told = _told(rows, group, keys)
-        marks = t.leaves().select(*group, F.col("first").alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("mark"), F.lit(0).cast("long").alias("n"))
-        own = told.select(*group, F.struct(*keys, "sha").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("mark"), "n")
-        at = prefix.prefix_sums(marks.unionByName(own), group, ["at", "kind"], {"m": "mark"}, few).filter("kind = 1").withColumn("k", F.col("m") - 1)
-        numbers = prefix.numbered(t.leaves().select(*group, "place", "first"), group, ["first"], "k", few).select(*group, "place", "k")
-        wanted = numbers.alias("a").join(ends.filter(F.col("side") == side).alias("b"), _same([*group, "place"]), "left_semi")
-        part = at.alias("a").join(F.broadcast(wanted.alias("b")), _same([*group, "k"]), "left_semi").select(*group, *(F.col("at")[k].alias(k) for k in keys), F.col("at.sha").alias("sha"), F.when(F.lit(side == "left"), -F.col("n")).otherwise(F.col("n")).alias("n"))
+    for side, rows in placed.items():
+        wanted = ranges.filter(F.col("side") == side).select(*group, "place")
+        part = rows.alias("a").join(wanted.alias("b"), _same([*group, "place"]), "left_semi").select(*group, *keys, "sha", F.when(F.lit(side == "left"), -F.col("n")).otherwise(F.col("n")).alias("n"))
         out = part if out is None else out.unionByName(part)
     net = out.groupBy(*group, *keys, "sha").agg(F.sum("n").alias("n")).filter("n != 0")
     return net.select(F.when(F.col("n") < 0, "left").otherwise("right").alias("side"), *group, *keys, "sha", F.abs("n").alias("n"))

@@ -107,3 +107,13 @@ def test_many_changes_are_rehashed(spark, plain):
     assert roots(again) == roots(merkle.tree(new, ["g"], ["k"], 20, 4)) and (None,) not in roots(again)
     few, hashed = plain.rehashed(frame(spark, rows_of(1500)), spark.createDataFrame([], "g string, k long"))
     assert roots(few) == roots(plain) and hashed == 0
+
+
+def test_changed_rows_hash_each_table_once(spark, monkeypatch):
+    seen = []
+    told = merkle._told
+    monkeypatch.setattr(merkle, "_told", lambda *a: seen.append(1) or told(*a))
+    old = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"), F.lit("x").alias("v"))
+    new = old.withColumn("v", F.when(F.col("k") == 77, "y").otherwise(F.col("v"))).filter("k != 5").unionByName(old.filter("k = 9"))
+    got = {(r.side, r.g, r.k, r.n) for r in merkle.changed_rows(old, new, ["g"], ["k"], 20, 4).collect()}
+    assert got == {("left", 2, 77, 1), ("right", 2, 77, 1), ("left", 2, 5, 1), ("right", 0, 9, 1)} and len(seen) == 2
