@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import decontaminate, hmm, jaccard_join, language, lexical, mixing, pii, quality, queries, simhash_join, toxicity
-from quillon.llm.common import fresh
+from quillon.llm.common import BATCH_BYTES, filter_rows, fresh
 from quillon.llm.exact_dedup import distinct_texts, exact_dedup
 from quillon.llm.token_rollup import counted
 
@@ -543,3 +543,17 @@ def test_links_of_texts_of_shared_parts(spark, size):
             low[y] = x
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frequent=4).collect()}
     assert got == {k: top(k) for k in got}
+
+
+def test_texts_reach_a_task_in_bounded_batches(spark):
+    """By rows alone, all 64 texts of 256 KB would be one batch; decontamination and the other steps hold a few at a time."""
+    size, conf = 1 << 18, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.unset(conf)
+    try:
+        docs = spark.range(64, numPartitions=1).select("id", F.repeat(F.lit("a"), size).alias("text"))
+        assert filter_rows(docs, lambda: lambda texts: [len(texts) <= BATCH_BYTES // size + 1] * len(texts)).count() == 64
+        wide = spark.range(3, numPartitions=1).select("id", F.repeat(F.lit("a"), 2 * BATCH_BYTES).alias("text"))  # more than a batch each
+        assert filter_rows(wide, lambda: lambda texts: [len(t) == 2 * BATCH_BYTES for t in texts]).count() == 3
+    finally:
+        spark.conf.set(conf, before)
