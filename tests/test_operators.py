@@ -181,3 +181,16 @@ def test_draws_are_dealt_and_shared_by_size(spark):
     assert "ShuffledHashJoin" in plan  # neither the draws nor the rows go through the driver
     a, b = sorted(tuple(r)[1:] for r in inference.bootstrap_accuracy(rows, ["g"], "k", 12).collect())
     assert a == pytest.approx(b, rel=1e-9)
+
+
+def test_power_sends_no_rows_through_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.operators import inference
+
+    hits = spark.range(3000).select(F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), (F.col("id") % m > 0).cast("int").alias("hit")) for a, m in (("x", 3), ("y", 5), ("z", 7))))).alias("s"), F.col("id").alias("item")).select("s.arm", "item", "s.hit")
+    out = inference.power(hits, "arm", "item", "hit", 20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    rows = {(r.a, r.b): r for r in out.collect()}
+    assert set(rows) == {("x", "y"), ("x", "z"), ("y", "z")} and all(0 < r.se < 0.05 and r.mde80 == pytest.approx(2.801585 * r.se) for r in rows.values())
