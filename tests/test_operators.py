@@ -194,3 +194,31 @@ def test_power_sends_no_rows_through_the_driver(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     rows = {(r.a, r.b): r for r in out.collect()}
     assert set(rows) == {("x", "y"), ("x", "z"), ("y", "z")} and all(0 < r.se < 0.05 and r.mde80 == pytest.approx(2.801585 * r.se) for r in rows.values())
+
+
+def test_bootstrap_auc_is_that_of_the_drawn_rows(spark):
+    """All 2,000 replicates against plain loops, over ties, null scores and labels, a group of one class, and keys of several buckets."""
+    import hashlib
+
+    from quillon.plans import analyses
+
+    assert {r.n_used for r in analyses.bootstrap_auc(spark, "/root/testdata/sf0.001").collect()} == {2000}
+    rng = np.random.default_rng(5)
+    score, label = np.round(rng.random(30), 1), rng.random(30) < 0.4
+    rows = [("a", k, float(s) if k else None, bool(f) if k != 7 else None) for k, (s, f) in enumerate(zip(score, label))] + [("b", k, k / 9, True) for k in range(30)] + [("c", k, float(k % 11), k % 3 == 0) for k in range(5000)]
+    frame = spark.createDataFrame(rows, "g string, k long, s double, f boolean").repartition(3)
+    got = {r.g: r for r in inference.bootstrap_auc(frame, ["g"], "k", "s", "f", 70).collect()}
+
+    def auc(s, f):
+        w = [(x > z) + (x == z) / 2 for x in s[f] for z in s[~f]]
+        return np.mean(w) if w else None
+
+    draw = lambda n, rep: [int(hashlib.md5(b"%d|%d" % (rep, p)).hexdigest()[:8], 16) % n for p in range(n)]
+    score[0], label[7] = -1, False
+    every = [auc(score[k], label[k]) for k in (draw(30, rep) for rep in range(70))]
+    assert got["a"].n_used == 70 and got["a"].auc == pytest.approx(auc(score, label), rel=1e-12)
+    assert [got["a"].ci_low, got["a"].ci_high] == pytest.approx(np.quantile(every, [0.025, 0.975]), rel=1e-12)
+    assert got["b"].auc is None and got["b"].ci_low is None and got["b"].n_used == 0 and got["c"].n_used == 70
+    w = {r._k: np.frombuffer(r.w, np.uint8) for r in inference.resample_weights(spark.createDataFrame([(5000,)], "n long"), "_k", 70).collect()}
+    want = np.bincount(draw(5000, 69), minlength=5000)
+    assert set(w) == set(range(5000)) and [w[k][69] for k in range(5000)] == want.tolist() and sum(int(x.sum()) for x in w.values()) == 70 * 5000
