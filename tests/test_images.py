@@ -358,3 +358,13 @@ def test_blur_needs_no_join_by_pixel(spark, side):
     got = {(r.y, r.x): (r.r, r.g, r.b) for r in made.collect()}
     assert set(got) == {(y, x) for y in range(19) for x in range(26)} - lacking
     assert all(np.allclose(got[p], want[p]) for p in got)
+
+
+def test_images_are_not_broadcast(spark):
+    """Enlarged images are thought to be a few KB a table; the driver must see none of them."""
+    from quillon.plans import rasters
+
+    found = rasters.affine_parameters(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert found.columns == ["image_id", "op", "status", "angle_deg", "scale", "inliers", "planted_deg", "planted_scale"] and dict(found.dtypes)["planted_deg"] == "double"
